@@ -107,3 +107,8 @@ def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation over rows where both sides are present; null without spread on either side."""
     left, right = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(left) * F.stddev_pop(right), F.lit(0.0)))
+
+
+def doubles(values) -> Column:
+    """Array of finite doubles as one parsed literal instead of one driver call per element."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthspark.functions.columns import as_double, unpivot_values
+from synthspark.functions.columns import as_double, doubles, unpivot_values
 
 BUCKETS = 32
 
@@ -36,7 +36,7 @@ def running_totals(
     ``order`` values must be unique per key, which holds after counting by value. Cut points come from a
     quantile sketch: they shape the balance of the buckets, never the result.
     """
-    steps = [i / buckets for i in range(1, buckets)]
+    steps = doubles(i / buckets for i in range(1, buckets))
     # The condition on the first total keeps this branch's columns equal to the others', so that Spark
     # reuses the exchange under the counts.
     seen = F.when(sum(F.col(t) for t in totals) >= 0, F.col(order))
@@ -65,28 +65,31 @@ def chunked_running_totals(
     )
 
 
-# Points of the sketch grid, and how many rows a bracket may hold before it is narrowed once more.
+# Cuts of the sampled distribution, rows sampled for them, and how many rows a bracket may hold before it
+# is narrowed once more. Two cuts to each side are about five standard errors of the sample.
 GRID = 256
+SAMPLE = 100_000
 BRACKET_ROWS = 5_000_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between order statistics, as driver scalars.
 
-    A quantile sketch brackets each order statistic; a scan then counts what lies below a bracket and
-    groups only the values inside it. No pass shuffles the table: a bracket holds about 2 % of the rows and
-    is narrowed again while it is large.
+    A sample brackets each order statistic; a scan then counts what lies below a bracket and groups only the
+    values inside it. No pass shuffles the table: a bracket holds about 2 % of the rows and is narrowed again
+    while it is large. Counts tell whether a bracket holds its rank; if not, all values are ranked instead.
     """
     number = {c: as_double(df, c) + F.lit(0.0) for c in columns}
     targets = [(c, p) for c in columns for p in probabilities]
     low = {t: float("-inf") for t in targets}
     high = {t: float("inf") for t in targets}
     sizes: dict[str, int] = {}
+    expected = df.count()
     while True:
-        rows = _bracket_sketch(df, number, targets, low, high)
+        rows = _bracket_sketch(df, number, targets, low, high, min(1.0, SAMPLE / max(expected, 1)))
         if not sizes:
             sizes = {c: rows[(c, probabilities[0])]["inside"] for c in columns}
-        widest = 0
+        expected = 0
         for t in targets:
             r, n = rows[t], sizes[t[0]]
             cuts = r["cuts"]
@@ -97,32 +100,35 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             first, last = int(at) - 2, int(at) + 3
             low[t] = cuts[first] if first >= 0 else low[t]
             high[t] = cuts[last] if last < len(cuts) else high[t]
-            widest = max(widest, int(r["inside"] * 5 / GRID))
-        if widest <= BRACKET_ROWS:
+            expected = max(expected, int(r["inside"] * 5 / GRID))
+        if expected <= BRACKET_ROWS:
             break
     found = _select_ranks(df, number, targets, low, high, sizes)
     return {c: [found[(c, p)] for p in probabilities] for c in columns}
 
 
-def _bracket_sketch(df: DataFrame, number: dict[str, Column], targets: list, low: dict, high: dict) -> dict:
-    """Counts below and inside each bracket plus evenly spaced cuts of its inside, one row for the whole table."""
-    steps = [i / GRID for i in range(GRID + 1)]
-    aggs, seen, same = [], {}, {}
+def _bracket_sketch(
+    df: DataFrame, number: dict[str, Column], targets: list, low: dict, high: dict, fraction: float
+) -> dict:
+    """Counts below and inside each bracket plus evenly spaced cuts of a sample of its inside, in one row."""
+    steps = doubles(i / GRID for i in range(GRID + 1))
+    aggs, seen = [], {}
     for t in targets:
         key = (t[0], low[t], high[t])
-        same[t] = seen.setdefault(key, len(seen))
-        if same[t] < len(aggs) // 3:
+        if key in seen:
             continue
+        i = seen[key] = len(seen)
         x = number[t[0]]
         inside = F.when((x >= low[t]) & (x <= high[t]), x)
-        i = same[t]
         aggs += [
             F.count_if(x < low[t]).alias(f"b{i}"),
             F.count(inside).alias(f"n{i}"),
-            F.percentile_approx(inside, steps, 10_000).alias(f"c{i}"),
+            F.percentile_approx(F.when(F.col("_keep"), inside), steps, 2_000).alias(f"c{i}"),
         ]
-    row = df.agg(*aggs).first()
-    return {t: {"below": row[f"b{same[t]}"], "inside": row[f"n{same[t]}"], "cuts": row[f"c{same[t]}"]} for t in targets}
+    # The draw shapes the brackets only, never a result.
+    row = df.withColumn("_keep", F.rand(42) < fraction).agg(*aggs).first()
+    place = {t: seen[(t[0], low[t], high[t])] for t in targets}
+    return {t: {"below": row[f"b{i}"], "inside": row[f"n{i}"], "cuts": row[f"c{i}"]} for t, i in place.items()}
 
 
 def _select_ranks(df: DataFrame, number: dict, targets: list, low: dict, high: dict, sizes: dict) -> dict:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthspark.functions.columns import doubles
 from synthspark.functions.distribution import chunked_running_totals
 from synthspark.session import cut_lineage
 from synthspark.spec import PRIVACY_LEVELS
@@ -74,7 +75,7 @@ def budget_allocate(requests: DataFrame, budgets: DataFrame, chunks: int = 64) -
     once, the longest run that fits and rejects everything larger than what is left; what remains open goes
     to the next round. Sums run over time chunks, so a tenant with most of the requests is many tasks.
     """
-    steps = [i / chunks for i in range(1, chunks)]
+    steps = doubles(i / chunks for i in range(1, chunks))
     cuts = requests.agg(F.percentile_approx("seq", steps, 1000).alias("c")).first()["c"] or []
     place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>"), lambda c: c < F.col("seq")))
     base = cut_lineage(

@@ -40,7 +40,7 @@ def singling_out_univariate(real: DataFrame, synthetic: DataFrame, control: Data
     both = _tagged(real, synthetic, control, names)
     counts = value_counts(both, names, _side_flags())
     equal = counts.filter("n_syn = 1").agg(
-        F.count("*").alias("attempts"), F.count_if("n_real = 1").alias("hits"), F.count_if("n_control = 1").alias("control_hits")
+        F.count("*").alias("attempts"), F.count_if(F.col("n_real") == 1).alias("hits"), F.count_if(F.col("n_control") == 1).alias("control_hits")
     )
     numbers = [c for c in names if C.is_numeric(real.schema[c].dataType)]
     parts = [equal]
@@ -114,7 +114,7 @@ def singling_out_multivariate(
     )
     return _risk(
         counts.filter("n_syn = 1").agg(
-            F.count("*").alias("attempts"), F.count_if("n_real = 1").alias("hits"), F.count_if("n_control = 1").alias("control_hits")
+            F.count("*").alias("attempts"), F.count_if(F.col("n_real") == 1).alias("hits"), F.count_if(F.col("n_control") == 1).alias("control_hits")
         )
     )
 

@@ -631,8 +631,8 @@ def _(t):
 # --- run history -------------------------------------------------------------------------------------------
 
 # A user is a job; kinds of events stand for states.
-_STATES = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'training' WHEN 'add_to_cart' THEN 'generating'
-    WHEN 'purchase' THEN 'validating' ELSE 'complete' END"""
+_STATES = """CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'training' WHEN 'click' THEN 'generating'
+    WHEN 'purchase' THEN 'validating' WHEN 'error' THEN 'failed' ELSE 'complete' END"""
 JOB_EVENTS = f"event_id; user_id AS job_id; user_id % 7 AS tenant_id; {_STATES} AS status; ts"
 _JOBS = as_select(JOB_EVENTS, "events")
 
@@ -659,7 +659,8 @@ def _(t):
     f"""SELECT event_id, job_id, previous_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS previous_status
           FROM {_JOBS} e) WHERE NOT coalesce(CASE previous_status WHEN 'queued' THEN status IN ('training', 'failed')
             WHEN 'training' THEN status IN ('generating', 'failed') WHEN 'generating' THEN status IN ('validating', 'failed')
-            WHEN 'validating' THEN status IN ('complete', 'failed') WHEN 'complete' THEN false ELSE status = 'queued' END, false)""",
+            WHEN 'validating' THEN status IN ('complete', 'failed') WHEN 'complete' THEN false WHEN 'failed' THEN false
+            ELSE status = 'queued' END, false)""",
 )
 def _(t):
     return H.invalid_transitions(_events(t))

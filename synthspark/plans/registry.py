@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synthspark.session import tune
 from synthspark.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under a name, with its reference SQL when there is one."""
 
     def add(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(tune(spark), folder))
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -16,9 +16,20 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8,000 bytes of bytecode. Wide projections and aggregates pass
+    # that limit when fused into one method and then run interpreted, several times slower; below it Spark
+    # splits them into methods the JVM does compile.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "synthspark", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own session."""
     builder = (
