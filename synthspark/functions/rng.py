@@ -5,7 +5,7 @@ Generators use the 64-bit ``xxhash64`` counter. Repairs and samples use MD5, whi
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BITS = 53
@@ -50,14 +50,31 @@ _PHI = [1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530, 0.0]
 _PHI_P = 0.2316419
 
 
-def normal_quantile(u: Column) -> Column:
-    """Inverse of the standard normal distribution function as one codegen-able expression."""
-    tail = F.sqrt(-2.0 * F.log(F.least(u, 1.0 - u)))
+def quantile_tail(u: Column) -> Column:
+    """Part of the normal quantile that its formula uses many times."""
+    return F.sqrt(-2.0 * F.log(F.least(u, 1.0 - u)))
+
+
+def normal_quantile(u: Column, tail: Column | None = None) -> Column:
+    """Inverse of the standard normal distribution function as one codegen-able expression.
+
+    Pass ``quantile_tail(u)`` as a column of an earlier projection to keep the generated code short.
+    """
+    tail = quantile_tail(u) if tail is None else tail
     outer = _poly(tail, _QC) / _poly(tail, _QD)
     centre = u - 0.5
     square = centre * centre
     inner = centre * _poly(square, _QA) / _poly(square, _QB)
-    return F.when(u < _ACKLAM_SPLIT, outer).when(u > 1.0 - _ACKLAM_SPLIT, -outer).otherwise(inner)
+    return F.when(F.abs(centre) > 0.5 - _ACKLAM_SPLIT, outer * F.signum(-centre)).otherwise(inner)
+
+
+def with_normals(rows: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Replace unit columns by normals under new names, ``{unit column: normal column}``."""
+    others = [c for c in rows.columns if c not in units]
+    staged = rows.select("*", *[quantile_tail(F.col(u)).alias(f"_tail{u}") for u in units])
+    return staged.select(
+        *[F.col(f"`{c}`") for c in others], *[normal_quantile(F.col(u), F.col(f"_tail{u}")).alias(z) for u, z in units.items()]
+    )
 
 
 def normal_cdf(z: Column) -> Column:

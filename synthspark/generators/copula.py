@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthspark.functions import columns as C
-from synthspark.functions.rng import normal_cdf, normal_quantile, uniform
-from synthspark.generators.marginals import Marginal, fit_marginals
+from synthspark.functions.rng import normal_cdf, normal_quantile, uniform, with_normals
+from synthspark.generators.marginals import Marginal, fit_marginals, normal_scores
 from synthspark.spec import OUTPUT_PART_ROWS
 
 ROW = "__row"
@@ -54,13 +54,9 @@ class CopulaModel:
         fixed = [i for i, m in enumerate(joint) if m.name in conditions]
         free = [i for i in range(len(joint)) if i not in fixed]
         row = F.col(ROW)
-        # One projection per step: a value used several times is computed once.
         rows = rows.select("*", *[uniform(row, f"z:{joint[i].name}", seed).alias(f"_r{i}") for i in free])
-        rows = rows.select(
-            *[C.quoted(c) for c in rows.columns if not c.startswith("_r")],
-            *[normal_quantile(F.col(f"_r{i}")).alias(f"_z{i}") for i in free],
-            *[self._held(joint[i], conditions, seed).alias(f"_y{i}") for i in fixed],
-        )
+        rows = with_normals(rows, {f"_r{i}": f"_z{i}" for i in free})
+        rows = rows.select("*", *[self._held(joint[i], conditions, seed).alias(f"_y{i}") for i in fixed])
         mean, factor = conditional_normal(self.correlation, fixed, free)
         return rows.select(
             "*",
@@ -143,16 +139,22 @@ def factor_of(covariance: np.ndarray) -> np.ndarray:
     return vectors * np.sqrt(np.clip(values, 0.0, None))
 
 
-def score_correlation(df: DataFrame, scores: list[Column]) -> np.ndarray:
-    """Correlation matrix of score columns from one aggregate, made positive semi-definite."""
-    d = len(scores)
+def score_correlation(named: DataFrame, d: int) -> np.ndarray:
+    """Correlation matrix of columns ``s0 … s{d-1}`` from one aggregate, made positive semi-definite."""
     matrix = np.eye(d)
     if d > 1:
+        # Plain means suffice: scores are centred and of unit size already.
         pairs = list(itertools.combinations(range(d), 2))
-        named = df.select(*[s.alias(f"s{i}") for i, s in enumerate(scores)])
-        row = named.agg(*[C.correlation(F.col(f"s{a}"), F.col(f"s{b}")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
+        row = named.agg(
+            *[F.avg(F.col(f"s{i}")).alias(f"m{i}") for i in range(d)],
+            *[F.avg(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"q{i}") for i in range(d)],
+            *[F.avg(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)],
+        ).first()
+        spread = [math.sqrt(max((row[f"q{i}"] or 0.0) - (row[f"m{i}"] or 0.0) ** 2, 0.0)) for i in range(d)]
         for k, (a, b) in enumerate(pairs):
-            matrix[a, b] = matrix[b, a] = row[f"r{k}"] if row[f"r{k}"] is not None else 0.0
+            if row[f"r{k}"] is not None and spread[a] * spread[b] > 1e-12:
+                r = (row[f"r{k}"] - row[f"m{a}"] * row[f"m{b}"]) / (spread[a] * spread[b])
+                matrix[a, b] = matrix[b, a] = min(1.0, max(-1.0, r))
     values, vectors = np.linalg.eigh(matrix)
     fixed = (vectors * np.clip(values, 1e-9, None)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))
@@ -170,7 +172,7 @@ def copula_fit(
     """Fit column models and the correlation of their normal scores."""
     marginals = fit_marginals(df, sdtypes, distribution, per_column)
     joint = [m for m in marginals if m.modelled]
-    correlation = score_correlation(df, [m.score(df) for m in joint])
+    correlation = score_correlation(normal_scores(df, joint), len(joint))
     return CopulaModel(df.sparkSession, marginals, correlation, enforce_min_max, enforce_rounding)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthspark.functions.rng import normal_quantile, uniform
+from synthspark.functions.rng import uniform, with_normals
 from synthspark.generators.copula import ROW, CopulaModel, _combine, copula_fit, partitions_for
 
 
@@ -35,7 +35,7 @@ class LatentModel:
             *[uniform(row, f"f:{j}", seed).alias(f"_r{j}") for j in range(k)],
             *[uniform(row, f"e:{i}", seed).alias(f"_r{k + i}") for i in range(d)],
         )
-        rows = rows.select(row, *[normal_quantile(F.col(f"_r{j}")).alias(f"_z{j}") for j in range(k + d)])
+        rows = with_normals(rows, {f"_r{j}": f"_z{j}" for j in range(k + d)})
         rows = rows.select(
             row,
             *[

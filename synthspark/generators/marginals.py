@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 
 from synthspark.functions import columns as C
 from synthspark.functions.distribution import value_counts
-from synthspark.functions.rng import normal_quantile, uniform
+from synthspark.functions.rng import uniform, with_normals
 from synthspark.operators.profile import sdtypes as detect
 
 KNOTS = 64
 # Categories up to this many live in the plan as literals; longer lists stay a table.
-LITERAL_CATEGORIES = 256
+LITERAL_CATEGORIES = 100
 DECIMALS = 6
+# Cells of the tabulated distribution function.
+CELLS = 512
 EDGE = 1e-6
 DISTRIBUTIONS = ("beta", "gamma", "norm", "truncnorm", "uniform", "empirical")
 
@@ -51,11 +53,8 @@ class Marginal:
             u = _interpolate(C.as_double(df, self.name), *_knots(self.grid))
         else:
             u = _category_unit(C.as_text(df, self.name), self.categories, self.shares)
-        return F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), u))
-
-    def score(self, df: DataFrame) -> Column:
-        """Normal score; null stays null."""
-        return normal_quantile(self.unit(df))
+        # `least` and `greatest` skip nulls, so they come inside the null test.
+        return F.when(C.quoted(self.name).isNotNull(), F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), u)))
 
     def interval(self, value) -> tuple[float, float]:
         """Part of the unit interval a fixed value stands for."""
@@ -135,29 +134,39 @@ def _knots(grid: tuple[float, ...]) -> tuple[list[float], list[float]]:
 
 
 def _interpolate(x: Column, knots: list[float], units: list[float]) -> Column:
+    """Distribution function by lookup in a table over equal steps of asinh((x - middle) / scale).
+
+    The scale follows the quartiles, so both the bulk and long tails get fine cells. The lookup costs the
+    same for any number of cells and keeps the generated code small.
+    """
     if len(knots) == 1:
-        return F.when(x.isNotNull(), F.lit(0.5))
-    leaves = [F.lit(units[0])]
-    for (x0, x1), (u0, u1) in zip(zip(knots, knots[1:]), zip(units, units[1:])):
-        leaves.append(F.lit(u0) + (x - F.lit(x0)) * F.lit((u1 - u0) / (x1 - x0)))
-    leaves.append(F.lit(units[-1]))
-    return F.when(x.isNotNull(), _tree(x, knots, leaves))
+        return F.lit(0.5)
+    middle = float(np.interp(0.5, units, knots))
+    scale = float(np.interp(0.75, units, knots) - np.interp(0.25, units, knots)) or (knots[-1] - knots[0])
+    low, high = (float(np.arcsinh((k - middle) / scale)) for k in (knots[0], knots[-1]))
+    steps = np.linspace(low, high, CELLS + 1)
+    table = C.doubles(np.interp(middle + scale * np.sinh(steps), knots, units))
+    place = (F.asinh((x - middle) / scale) - low) * (CELLS / (high - low))
+    cell = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(place).cast("int")))
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), place - cell))
+    left, right = F.get(table, cell), F.get(table, cell + 1)
+    return left + (right - left) * part
 
 
 def _category_unit(text: Column, categories: tuple[str, ...], shares: tuple[float, ...]) -> Column:
     starts = (0.0, *shares[:-1])
-    middle = {c: (a + b) / 2 for c, a, b in zip(categories, starts, shares)}
-    names = sorted(categories)
-    return F.when(text.isNotNull(), _text_tree(text, names, middle))
+    middle = F.create_map(*[F.lit(x) for c, a, b in zip(categories, starts, shares) for x in (c, (a + b) / 2)])
+    return F.try_element_at(middle, text)
 
 
-def _text_tree(text: Column, names: list[str], middle: dict[str, float]) -> Column:
-    if len(names) == 1:
-        return F.when(text == F.lit(names[0]), F.lit(middle[names[0]]))
-    half = len(names) // 2
-    return F.when(text < F.lit(names[half]), _text_tree(text, names[:half], middle)).otherwise(
-        _text_tree(text, names[half:], middle)
-    )
+def normal_scores(df: DataFrame, marginals: list[Marginal], keep: list[Column] | None = None) -> DataFrame:
+    """``(_keep0, …, s0, s1, …)``: normal scores of the modelled columns; null stays null.
+
+    Unit positions are a projection of their own, so the quantile formula does not repeat their lookup.
+    """
+    kept = [k.alias(f"_keep{i}") for i, k in enumerate(keep or [])]
+    placed = df.select(*kept, *[m.unit(df).alias(f"_u{i}") for i, m in enumerate(marginals)])
+    return with_normals(placed, {f"_u{i}": f"s{i}" for i in range(len(marginals))})
 
 
 # --- fitting ---------------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthspark.functions import columns as C
-from synthspark.functions.rng import normal_quantile, uniform
+from synthspark.functions.rng import uniform, with_normals
 from synthspark.generators.copula import ROW, _combine, factor_of, partitions_for, score_correlation
 from synthspark.generators.marginals import Marginal, _tree, fit_marginals
 
@@ -79,7 +79,7 @@ class MixtureModel:
             *[uniform(row, f"g:{m.name}", seed).alias(f"_g{i}") for i, m in enumerate(self.categories)],
             *[uniform(row, f"k:{m.marginal.name}", seed).alias(f"_k{i}") for i, m in enumerate(self.numbers)],
         )
-        rows = rows.select("*", *[normal_quantile(F.col(f"_r{i}")).alias(f"_z{i}") for i in range(len(self.numbers))])
+        rows = with_normals(rows, {f"_r{i}": f"_z{i}" for i in range(len(self.numbers))})
         factor = factor_of(self.correlation)
         rows = rows.select(
             "*",
@@ -153,7 +153,7 @@ def mixture_fit(
         for k in range(len(f.means)):
             residual = F.when(mode == k, (x - f.means[k]) / f.deviations[k]).otherwise(residual)
         residuals.append(residual)
-    correlation = score_correlation(df, residuals)
+    correlation = score_correlation(df.select(*[r.alias(f"s{i}") for i, r in enumerate(residuals)]), len(residuals))
     used = {stratum, *[g.name for g in groups], *[f.marginal.name for f in fitted]}
     others = [m for c, m in marginals.items() if c not in used]
     long = [m.name for m in others if m.kind == "category"]
@@ -182,7 +182,7 @@ def _fit_modes(
     span = (m.high - m.low) or 1.0
     rows = spark.createDataFrame(bins, "x double, w double").coalesce(1)
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    fit = GaussianMixture(k=modes, seed=seed, maxIter=30, tol=0.01, weightCol="w").fit(data)
+    fit = GaussianMixture(k=modes, seed=seed, maxIter=15, tol=0.01, weightCol="w").fit(data)
     found = [(float(g.mean[0]), float(g.cov.toArray()[0, 0]) ** 0.5) for g in fit.gaussians]
     kept = sorted((mean, max(sd, 1e-4)) for (mean, sd), w in zip(found, fit.weights) if w > 0.005) or found[:1]
     return [m.low + span * a for a, _ in kept], [span * b for _, b in kept]
