@@ -112,3 +112,15 @@ def correlation(x: Column, y: Column) -> Column:
 def doubles(values) -> Column:
     """Array of finite doubles as one parsed literal instead of one driver call per element."""
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def computed_once(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add value columns that later filters and projections use as they are.
+
+    A plain projection is inlined into whatever follows it, which repeats long formulas in every condition.
+    The output of a generator is not.
+    """
+    if not values:
+        return df.select(*[quoted(k) for k in keep])
+    row = F.array(F.struct(*[v.alias(name) for name, v in values.items()]))
+    return df.select(*[quoted(k) for k in keep], F.inline(row))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthspark.functions.columns import computed_once
+
 _BITS = 53
 _ACKLAM_SPLIT = 0.02425
 
@@ -68,13 +70,14 @@ def normal_quantile(u: Column, tail: Column | None = None) -> Column:
     return F.when(F.abs(centre) > 0.5 - _ACKLAM_SPLIT, outer * F.signum(-centre)).otherwise(inner)
 
 
-def with_normals(rows: DataFrame, units: dict[str, str]) -> DataFrame:
+def with_normals(rows: DataFrame, units: dict[str, str], once: bool = False) -> DataFrame:
     """Replace unit columns by normals under new names, ``{unit column: normal column}``."""
     others = [c for c in rows.columns if c not in units]
     staged = rows.select("*", *[quantile_tail(F.col(u)).alias(f"_tail{u}") for u in units])
-    return staged.select(
-        *[F.col(f"`{c}`") for c in others], *[normal_quantile(F.col(u), F.col(f"_tail{u}")).alias(z) for u, z in units.items()]
-    )
+    normals = {z: normal_quantile(F.col(u), F.col(f"_tail{u}")) for u, z in units.items()}
+    if once:
+        return computed_once(staged, others, normals)
+    return staged.select(*[F.col(f"`{c}`") for c in others], *[v.alias(z) for z, v in normals.items()])
 
 
 def normal_cdf(z: Column) -> Column:

@@ -40,7 +40,11 @@ class CopulaModel:
     def sample(
         self, n: int, conditions: dict[str, Any] | None = None, seed: int = 0, start: int = 0, row_id: str | None = None
     ) -> DataFrame:
-        """``n`` rows numbered from ``start``; equal numbers and seeds give equal rows on any layout."""
+        """``n`` rows numbered from ``start``; equal numbers and seeds give equal rows on any layout.
+
+        The result is one long projection. Store it before analysing it: a condition on a sampled column would
+        otherwise repeat the formulas of that column.
+        """
         rows = self.spark.range(start, start + n, 1, partitions_for(self.spark, n)).withColumnRenamed("id", ROW)
         return self.decode(self.latent(rows, conditions, seed), conditions, seed, row_id)
 

@@ -166,7 +166,7 @@ def normal_scores(df: DataFrame, marginals: list[Marginal], keep: list[Column] |
     """
     kept = [k.alias(f"_keep{i}") for i, k in enumerate(keep or [])]
     placed = df.select(*kept, *[m.unit(df).alias(f"_u{i}") for i, m in enumerate(marginals)])
-    return with_normals(placed, {f"_u{i}": f"s{i}" for i in range(len(marginals))})
+    return with_normals(placed, {f"_u{i}": f"s{i}" for i in range(len(marginals))}, once=True)
 
 
 # --- fitting ---------------------------------------------------------------------------------------------

@@ -119,20 +119,7 @@ class SequenceModel:
                     total = total + float(w) * normal_quantile(uniform(F.xxhash64(F.col(ROW), s), f"e:{self.measures[k].name}", seed))
                 return total
 
-            a = self.coefficients[i]
-            fresh = math.sqrt(max(1 - a * a, 0.0))
-
-            def step(y: Column, s: Column, a=a, fresh=fresh, draw=draw) -> Column:
-                return y * a + fresh * draw(s)
-
-            first = F.greatest(F.lit(0), F.col("_start") - warm)
-            head = F.aggregate(F.sequence(first, F.col("_start")), F.lit(0.0), lambda y, s, step=step: step(y, s))
-            walk = F.aggregate(
-                F.sequence(F.col("_start") + 1, F.col("_end")),
-                F.array(head),
-                lambda ys, s, step=step: F.concat(ys, F.array(step(F.element_at(ys, -1), s))),
-            )
-            noise.append(F.when(F.col("_end") > F.col("_start"), walk).otherwise(F.array(head)).alias(f"_w{i}"))
+            noise.append(_walk(self.coefficients[i], warm, draw).alias(f"_w{i}"))
         made = rows.select("*", *noise)
         steps = F.sequence(F.col("_start"), F.col("_end"))
         zipped = F.arrays_zip(steps.alias("_t"), *[F.col(f"_w{i}").alias(f"_y{i}") for i in range(d)])
@@ -140,6 +127,21 @@ class SequenceModel:
         return made.select(*[C.quoted(c) for c in others], F.inline(zipped).alias("_t", *[f"_y{i}" for i in range(d)]))
 
 
+def _walk(a: float, warm: int, draw) -> Column:
+    """Steps ``_start`` to ``_end`` of one autoregression as an array; noise is a function of the step."""
+    fresh = math.sqrt(max(1 - a * a, 0.0))
+
+    def step(y: Column, s: Column) -> Column:
+        return y * a + fresh * draw(s)
+
+    def append(ys: Column, s: Column) -> Column:
+        return F.concat(ys, F.array(step(F.element_at(ys, -1), s)))
+
+    head = F.aggregate(F.sequence(F.greatest(F.lit(0), F.col("_start") - warm), F.col("_start")), F.lit(0.0), step)
+    walk = F.aggregate(F.sequence(F.col("_start") + 1, F.col("_end")), F.array(head), append)
+    return F.when(F.col("_end") > F.col("_start"), walk).otherwise(F.array(head))
+
+
 def steps_of(sequences: DataFrame, length: str) -> DataFrame:
     """One row per piece of a sequence with its first and last step, spread over tasks."""
     last = F.floor((F.col(length) - 1) / PIECE)

@@ -17,7 +17,7 @@ from synthspark.operators import fidelity as Q
 from synthspark.operators.profile import detect_sdtype
 from synthspark.plans.generation import RunConfig, benchmark_grid, run_job
 from synthspark.plans.registry import ORDERS_MISSING, as_select, query
-from synthspark.session import scratch_path
+from synthspark.session import scratch_path, stored
 from synthspark.sources import writers as W
 from synthspark.spec import Constraint, Relationship
 
@@ -61,7 +61,7 @@ def _(t):
 )
 def _(t):
     real = t.orders
-    made = _copula(t).sample(real.count())
+    made = stored(_copula(t).sample(real.count()))
     low = real.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
     floor = _shape_floor(real, made)
     return made.agg(
@@ -86,6 +86,7 @@ def _(t):
     parts = []
     for family in FAMILIES:
         made = G.copula_fit(real, {"p_size": "numerical", "p_retailprice": "numerical"}, "uniform", {"p_retailprice": family}).sample(n)
+        made = stored(made)
         score = Q.ks_complement(real, made, ["p_retailprice"]).first()["score"]
         parts.append(
             made.agg(
@@ -107,6 +108,7 @@ def _(t):
     outside = ~F.col("c_acctbal").between(edge[0], edge[1])
     kept = G.copula_fit(real, {"c_acctbal": "numerical"}, "norm").sample(n)
     free = G.copula_fit(real, {"c_acctbal": "numerical"}, "norm", enforce_min_max=False).sample(n)
+    kept, free = stored(kept), stored(free)
     beyond = free.filter(outside).count()
     return kept.agg(F.count("*").alias("n_rows"), F.count_if(outside).alias("outside"), F.lit(beyond > 0).alias("free_goes_beyond"))
 
@@ -122,6 +124,7 @@ def _(t):
     steps = lambda c, d: F.abs(F.col(c) * 10**d - F.round(F.col(c) * 10**d, 0)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(c))
     kept = G.copula_fit(real, kinds, "empirical").sample(n)
     free = G.copula_fit(real, kinds, "empirical", enforce_rounding=False).sample(n)
+    kept, free = stored(kept), stored(free)
     more = free.filter(steps("l_discount", 2)).count() > 0
     return kept.agg(
         F.count("*").alias("n_rows"), F.count_if(steps("l_extendedprice", 2)).alias("bad_price"),
@@ -137,6 +140,7 @@ def _(t):
     real = t.orders
     n = real.count()
     made = G.conditional_sample(_copula(t), {"o_orderstatus": "F", "o_totalprice": 1234.5}, n)
+    made = stored(made)
     score = Q.tv_complement(real, made, ["o_orderpriority"]).first()["score"]
     return made.agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("o_orderstatus") == "F").alias("n_status"),
@@ -152,7 +156,7 @@ def _(t):
     real = t.orders
     n = real.count()
     model = mixture_fit(real, "o_orderstatus", KINDS, modes=3)
-    made = model.sample(n)
+    made = stored(model.sample(n))
     edge = real.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
     close = _shape_floor(real, made) > 0.9
     fixed = model.sample(n, {"o_orderstatus": "P"}).filter("o_orderstatus = 'P'").count()
@@ -165,7 +169,7 @@ def _(t):
 @query("latent_factor_synth", "SELECT count(*) AS n_rows, true AS in_range, true AS close FROM orders")
 def _(t):
     real = t.orders
-    made = latent_fit(real, sdtypes=KINDS).sample(real.count())
+    made = stored(latent_fit(real, sdtypes=KINDS).sample(real.count()))
     edge = real.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
     close = _shape_floor(real, made) > 0.9
     return made.agg(
@@ -206,7 +210,7 @@ def _(t):
 def _private_facts(t, model):
     real = t.orders
     n = real.count()
-    made = model.sample(n)
+    made = stored(model.sample(n))
     kinds = {"o_orderstatus": "categorical", "o_orderpriority": "categorical", "o_totalprice": "numerical"}
     floor = _shape_floor(real, made, kinds)
     return made.agg(
@@ -251,7 +255,7 @@ def _(t):
     links = [
         Relationship("customer", "c_custkey", "orders", "o_custkey"), Relationship("orders", "o_orderkey", "lineitem", "l_orderkey")
     ]
-    made = hma_synth(tables, links)
+    made = {name: stored(df, name) for name, df in hma_synth(tables, links).items()}
     customers, orders, lines = made["customer"], made["orders"], made["lineitem"]
 
     def facts(name, df, key, foreign=None, parent=None, parent_key=None):
@@ -279,7 +283,7 @@ def _(t):
     real = t.events.select("user_id", "ts", "event_type", "value")
     model = par_fit(real, "user_id", "ts", sdtypes={"user_id": "id", "ts": "datetime", "event_type": "categorical", "value": "numerical"})
     n = real.select("user_id").distinct().count()
-    made = model.sample(n)
+    made = stored(model.sample(n))
     per = made.groupBy("user_id").agg(F.count("*").alias("m"), F.count_distinct("ts").alias("d"))
     spread = per.agg(F.count("*").alias("s"), F.avg("m").alias("m"), F.bool_and(F.col("m") == F.col("d")).alias("o")).first()
     mean = real.count() / n
@@ -299,7 +303,7 @@ def _(t):
     real = t.events.select("user_id", "ts", "value")
     model = long_sequence_fit(real, "user_id", "ts", "value", max_sequence_len=500, segment_size=10)
     n = real.select("user_id").distinct().count()
-    made = model.sample(n, 40)
+    made = stored(model.sample(n, 40))
     score = Q.ks_complement(real, made, ["value"]).first()["score"]
     return made.agg(F.count_distinct("user_id").alias("sequences"), F.count("*").alias("n_rows"), F.lit(score > 0.85).alias("value_close"))
 

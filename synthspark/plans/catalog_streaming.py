@@ -36,12 +36,12 @@ def _(t):
 @query(
     "stream_profile",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS rows,
-       count_if(value IS NULL) AS null_count, round(avg(value), 4) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY ALL""",
+       count_if(value IS NULL) AS null_count, round(avg(value), 9) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY ALL""",
 )
 def _(t):
     events = _stream(t, "events")
     out = J.stream_profile(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type", scratch_path(t.spark, "stream-profile"))
-    return out.withColumn("mean", F.round("mean", 4))
+    return out.withColumn("mean", F.round("mean", 9))
 
 
 @query(

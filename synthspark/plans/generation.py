@@ -18,7 +18,7 @@ from synthspark.operators import fidelity as Q
 from synthspark.operators import privacy as V
 from synthspark.operators.constraints import apply_constraints, validate
 from synthspark.operators.profile import sdtypes as detect
-from synthspark.session import scratch_path
+from synthspark.session import stored
 from synthspark.sources.writers import WRITERS
 from synthspark.spec import FIDELITY_THRESHOLD, PRIVACY_THRESHOLD, Constraint
 
@@ -76,10 +76,7 @@ def run_job(real: DataFrame, config: RunConfig, control: DataFrame | None = None
     model = GENERATORS[config.generator](real, kinds, **config.options)
     stages.append("generating")
     sampled = model.sample(config.num_rows, config.conditions, seed=config.seed)
-    spark = real.sparkSession
-    path = scratch_path(spark, "generated")
-    sampled.write.parquet(path)
-    synthetic = spark.read.parquet(path)
+    synthetic = stored(sampled, "generated")
     stages.append("validating")
     if config.constraints:
         synthetic = apply_constraints(synthetic, config.constraints, seed=config.seed)
@@ -137,9 +134,7 @@ def benchmark_grid(
 def _grid_scores(df: DataFrame, kinds: dict[str, str], generator: str, seed: int) -> tuple:
     if generator not in GENERATORS:
         raise ValueError(f"unknown generator '{generator}'")
-    path = scratch_path(df.sparkSession, "grid")
-    GENERATORS[generator](df, kinds).sample(df.count(), seed=seed).write.parquet(path)
-    synthetic = df.sparkSession.read.parquet(path)
+    synthetic = stored(GENERATORS[generator](df, kinds).sample(df.count(), seed=seed), "grid")
     numbers = [c for c, k in kinds.items() if k == "numerical"]
     groups = [c for c, k in kinds.items() if k in ("categorical", "boolean")]
     parts = []

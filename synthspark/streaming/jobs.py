@@ -113,7 +113,7 @@ def window_profile(df: DataFrame, time: str, value: str, group: str, width: str)
     return df.groupBy(F.window(time, width).alias("w"), C.quoted(group)).agg(
         F.count("*").alias("rows"),
         F.count_if(x.isNull()).alias("null_count"),
-        F.avg(x.cast("decimal(28,6)")).cast("double").alias("mean"),
+        (F.sum(x.cast("decimal(28,6)")).cast("double") / F.count(x)).alias("mean"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     ).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), group, "rows", "null_count", "mean", "min", "max")
