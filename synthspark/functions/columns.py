@@ -124,3 +124,9 @@ def computed_once(df: DataFrame, keep: list[str], values: dict[str, Column]) ->
         return df.select(*[quoted(k) for k in keep])
     row = F.array(F.struct(*[v.alias(name) for name, v in values.items()]))
     return df.select(*[quoted(k) for k in keep], F.inline(row))
+
+
+def side_by_side(frames: list[DataFrame]) -> DataFrame:
+    """Columns of several one-row frames in one row, by union and maximum instead of a join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from synthspark.functions.columns import as_double, doubles, unpivot_values
 
 BUCKETS = 32
+# Up to this many counted cells a plain window is cheaper than buckets, and small enough for one task.
+SMALL_CELLS = 2_000_000
 
 
 def value_counts(df: DataFrame, columns: list[str], tags: dict[str, Column] | None = None) -> DataFrame:
@@ -29,13 +31,18 @@ def value_counts(df: DataFrame, columns: list[str], tags: dict[str, Column] | No
 
 
 def running_totals(
-    counts: DataFrame, keys: list[str], order: str, totals: list[str], buckets: int = BUCKETS, prefix: str = "cum_"
+    counts: DataFrame, keys: list[str], order: str, totals: list[str], buckets: int = BUCKETS, prefix: str = "cum_",
+    cells: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` per key in the order of a number column.
 
     ``order`` values must be unique per key, which holds after counting by value. Cut points come from a
-    quantile sketch: they shape the balance of the buckets, never the result.
+    quantile sketch: they shape the balance of the buckets, never the result. ``cells`` is a checked bound of
+    the number of counts, if the caller knows one.
     """
+    if cells is not None and cells <= SMALL_CELLS:
+        inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select("*", *[F.sum(t).over(inside).alias(f"{prefix}{t}") for t in totals])
     steps = doubles(i / buckets for i in range(1, buckets))
     # The condition on the first total keeps this branch's columns equal to the others', so that Spark
     # reuses the exchange under the counts.

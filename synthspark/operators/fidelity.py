@@ -24,6 +24,11 @@ def paired_counts(real: DataFrame, synthetic: DataFrame, names: list[str]) -> Da
     return value_counts(both, names, {"n_real": F.col("_real"), "n_syn": ~F.col("_real")})
 
 
+def _cells(real: DataFrame, synthetic: DataFrame, names: list[str]) -> int:
+    """Bound of the number of value counts; row counts come from file footers."""
+    return (real.count() + synthetic.count()) * len(names)
+
+
 def _sizes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.sum("n_real").alias("real_total"), F.sum("n_syn").alias("syn_total"))
 
@@ -32,10 +37,10 @@ def _by_number(counts: DataFrame) -> DataFrame:
     return counts.filter("num is not null").groupBy("column", "num").agg(*[F.sum(s).alias(s) for s in SIDES])
 
 
-def _ks(counts: DataFrame) -> DataFrame:
+def _ks(counts: DataFrame, cells: int | None = None) -> DataFrame:
     """``(column, score)``: 1 - largest gap of the two step functions; null when a side is empty."""
     numbers = _by_number(counts)
-    running = running_totals(numbers, ["column"], "num", SIDES)
+    running = running_totals(numbers, ["column"], "num", SIDES, cells=cells)
     gap = F.abs(F.col("cum_n_real") / F.col("real_total") - F.col("cum_n_syn") / F.col("syn_total"))
     sizes = _sizes(numbers).filter("real_total > 0 and syn_total > 0")
     return running.join(F.broadcast(sizes), "column").groupBy("column").agg((1 - F.max(gap)).alias("score"))
@@ -60,7 +65,7 @@ def _scored(frame: DataFrame, names: list[str], metric: str) -> DataFrame:
 
 def ks_complement(real: DataFrame, synthetic: DataFrame, names: list[str]) -> DataFrame:
     """``(column, metric, score)`` of number columns."""
-    return _rounded(_scored(_ks(paired_counts(real, synthetic, names)), names, "KSComplement"))
+    return _rounded(_scored(_ks(paired_counts(real, synthetic, names), _cells(real, synthetic, names)), names, "KSComplement"))
 
 
 def tv_complement(real: DataFrame, synthetic: DataFrame, names: list[str]) -> DataFrame:
@@ -78,7 +83,7 @@ def _shapes(real: DataFrame, synthetic: DataFrame, sdtypes: dict[str, str]) -> D
     others = [c for c in shared if c not in numbers]
     parts = []
     if numbers:
-        parts.append(_scored(_ks(paired_counts(real, synthetic, numbers)), numbers, "KSComplement"))
+        parts.append(_scored(_ks(paired_counts(real, synthetic, numbers), _cells(real, synthetic, numbers)), numbers, "KSComplement"))
     if others:
         parts.append(_scored(_tv(paired_counts(real, synthetic, others)), others, "TVComplement"))
     kinds = F.create_map(*[F.lit(x) for c in shared for x in (c, sdtypes.get(c, "categorical"))])
@@ -199,7 +204,7 @@ def quality_report(
         ).alias("degraded_columns"),
     )
     pairs = pair_trends(real, synthetic, sdtypes).agg(F.avg("score").alias("pairs"))
-    both = shapes.withColumn("one", F.lit(1)).join(pairs.withColumn("one", F.lit(1)), "one")
+    both = C.side_by_side([shapes, pairs])
     shape = F.coalesce("shapes", F.lit(0.0))
     if compat:
         shape = F.when(F.col("pairs").isNotNull(), (shape + F.col("pairs")) / 2).otherwise(shape)

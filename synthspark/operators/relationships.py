@@ -73,7 +73,9 @@ def detect_relationships(tables: dict[str, DataFrame], min_name_score: float = 0
         .withColumn("name_score", score)
         .filter(F.col("name_score") >= min_name_score)
     )
-    held = values.groupBy("kind", "value").agg(F.collect_set(holder).alias("holders"))
+    # The condition on the count keeps the columns of this branch equal to the other one's, so both read one
+    # exchange and the tables are scanned once.
+    held = values.filter("n > 0").groupBy("kind", "value").agg(F.collect_set(holder).alias("holders"))
     met = (
         held.select("kind", "value", F.explode("holders").alias("c"), "holders")
         .select("kind", "value", "c", F.explode("holders").alias("p"))

@@ -102,9 +102,7 @@ def score_tables(real: DataFrame, synthetic: DataFrame, kinds: dict[str, str], c
     risks = [V.singling_out_univariate(a, b, outside, names)]
     if len(names) > 1:
         risks.append(V.singling_out_multivariate(a, b, outside, names, bins=10))
-    one = F.lit(1).alias("_one")
-    fid = report.select(F.col("overall_score").alias("fidelity_score"), one)
-    return fid.join(V.privacy_score(risks).select("privacy_score", one), "_one").drop("_one")
+    return C.side_by_side([report.select(F.col("overall_score").alias("fidelity_score")), V.privacy_score(risks)])
 
 
 def benchmark_grid(
