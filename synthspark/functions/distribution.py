@@ -96,19 +96,22 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         rows = _bracket_sketch(df, number, targets, low, high, min(1.0, SAMPLE / max(expected, 1)))
         if not sizes:
             sizes = {c: rows[(c, probabilities[0])]["inside"] for c in columns}
-        expected = 0
+        expected, moved = 0, False
         for t in targets:
             r, n = rows[t], sizes[t[0]]
             cuts = r["cuts"]
-            if n == 0 or not cuts:
+            if n == 0 or not cuts or low[t] == high[t]:
                 continue
             rank = (n - 1) * t[1]
             at = (rank - r["below"]) / max(r["inside"], 1) * GRID
             first, last = int(at) - 2, int(at) + 3
-            low[t] = cuts[first] if first >= 0 else low[t]
-            high[t] = cuts[last] if last < len(cuts) else high[t]
-            expected = max(expected, int(r["inside"] * 5 / GRID))
-        if expected <= BRACKET_ROWS:
+            bracket = (cuts[first] if first >= 0 else low[t], cuts[last] if last < len(cuts) else high[t])
+            moved = moved or bracket != (low[t], high[t])
+            low[t], high[t] = bracket
+            # A hot value fills a bracket that cannot shrink; grouping turns it into one row per task.
+            if low[t] < high[t]:
+                expected = max(expected, int(r["inside"] * 5 / GRID))
+        if expected <= BRACKET_ROWS or not moved:
             break
     found = _select_ranks(df, number, targets, low, high, sizes)
     return {c: [found[(c, p)] for p in probabilities] for c in columns}

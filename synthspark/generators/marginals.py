@@ -14,6 +14,7 @@ from synthspark.functions import columns as C
 from synthspark.functions.distribution import value_counts
 from synthspark.functions.rng import uniform, with_normals
 from synthspark.operators.profile import sdtypes as detect
+from synthspark.session import stored
 
 KNOTS = 64
 # Categories up to this many live in the plan as literals; longer lists stay a table.
@@ -255,7 +256,8 @@ def _category_shares(df: DataFrame, names: list[str]) -> dict:
     out = {}
     for c in names:
         if len(found[c]) > LITERAL_CATEGORIES:
-            out[c] = ((), (), category_table(counts.filter(F.col("column") == c).select("value", "n")))
+            # Stored once at fit time; every sample joins it.
+            out[c] = ((), (), stored(category_table(counts.filter(F.col("column") == c).select("value", "n")), "categories"))
             continue
         total = sum(n for _, n in found[c])
         cumulative = np.cumsum([n for _, n in found[c]]) / max(total, 1)

@@ -55,16 +55,18 @@ def missing_mechanism(df: DataFrame) -> DataFrame:
     MCAR. All pairs come from one aggregate.
     """
     numbers = C.numeric_columns(df, with_boolean=True)
+    holes = [c for c, n in null_counts(df).items() if n]
+    if not holes:
+        return df.sparkSession.createDataFrame([], "column string, max_correlation double, mechanism string")
     centre = medians(df.select(*[C.quoted(c).cast("double").alias(c) for c in numbers]), numbers)
     filled = {c: F.coalesce(C.quoted(c).cast("double"), F.lit(centre[c])) for c in numbers}
-    gone = {c: C.quoted(c).isNull().cast("double") for c in df.columns}
-    aggs = [F.count_if(C.quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    gone = {c: C.quoted(c).isNull().cast("double") for c in holes}
     strongest = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(holes):
         others = [F.abs(F.coalesce(C.correlation(filled[o], gone[c]), F.lit(0.0))) for o in numbers if o != c]
-        strongest.append((F.greatest(F.lit(0.0), F.lit(0.0), *others)).alias(f"r{i}"))
-    long = C.one_row_to_long(df.agg(*aggs, *strongest), df.columns, {"missing_count": "n", "r": "r"})
-    return long.filter("missing_count > 0").select(
+        strongest.append(F.greatest(F.lit(0.0), F.lit(0.0), *others).alias(f"r{i}"))
+    long = C.one_row_to_long(df.agg(*strongest), holes, {"r": "r"})
+    return long.select(
         "column",
         F.round("r", 4).alias("max_correlation"),
         F.when(F.col("r") > MAR_CORRELATION, "MAR").otherwise("MCAR").alias("mechanism"),

@@ -153,9 +153,44 @@ def _override(typed: DataFrame, overrides: dict[str, str] | None) -> DataFrame:
     return typed.withColumn("sdtype", F.coalesce(F.try_element_at(forced, F.col("column")), F.col("sdtype")))
 
 
+# Relative error of the distinct sketch; four times this decides when a rule needs the exact count.
+SKETCH_ERROR = 0.02
+
+
 def sdtypes(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
-    """Driver-side map column -> type; one short row per column."""
-    return {r["column"]: r["sdtype"] for r in detect_sdtype(df, overrides).collect()}
+    """Driver-side map column -> type, equal to ``detect_sdtype``.
+
+    Distinct counts come from sketches in one pass without a shuffle. Only columns whose sketch lies near a
+    limit of a rule are counted exactly.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    place = {c: i for i, c in enumerate(df.columns)}
+    aggs = [F.count("*").alias("_n")]
+    for c, i in place.items():
+        aggs.append(F.approx_count_distinct(C.quoted(c) if C.is_atomic(df.schema[c].dataType) else C.as_text(df, c), SKETCH_ERROR).alias(f"d{i}"))
+    for c in texts:
+        x = C.quoted(c)
+        aggs.append(F.bool_and(x.isin(BOOLEAN_TEXTS)).alias(f"b{place[c]}"))
+        aggs.append(F.bool_and(x.rlike(DATE_TEXT) & x.try_cast("timestamp").isNotNull()).alias(f"t{place[c]}"))
+    row = df.agg(*aggs).first().asDict()
+    total = row["_n"]
+    limits = (CATEGORY_COUNT, TEXT_COUNT, CATEGORY_RATIO * total, TEXT_RATIO * total, ID_RATIO * total)
+    distinct = {c: row[f"d{i}"] for c, i in place.items()}
+    near = [c for c, d in distinct.items() if any(abs(d - limit) <= 4 * SKETCH_ERROR * max(d, limit) for limit in limits)]
+    kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
+    near = [c for c in near if kinds[c] in ("integer", "number", "string")]
+    if near:
+        found = value_counts(df, near).groupBy("column").agg(F.count("*").alias("d")).collect()
+        distinct.update({c: 0 for c in near})
+        distinct.update({r["column"]: r["d"] for r in found})
+    facts = df.sparkSession.createDataFrame(
+        [
+            (c, kinds[c], distinct[c], distinct[c] / total if total else 0.0, row.get(f"b{i}"), row.get(f"t{i}"))
+            for c, i in place.items()
+        ],
+        "column string, kind string, unique_count long, unique_ratio double, only_boolean_text boolean, only_date_text boolean",
+    )
+    return {r["column"]: r["sdtype"] for r in _override(sdtype_rules(facts), overrides).collect()}
 
 
 def _moments(df: DataFrame, names: list[str]) -> DataFrame:

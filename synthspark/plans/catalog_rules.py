@@ -112,6 +112,19 @@ def _(t):
     return K.violation_messages(t.derived(ORDERS_BAD, "orders"), RULES, {"customer": t.customer})
 
 
+@query(
+    "referential",
+    f"""SELECT kind, count(*) AS violating_rows FROM (VALUES ('foreign_key'), ('referential')) k(kind), {BAD} x
+        WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY kind""",
+)
+def _(t):
+    rules = [
+        Constraint("o_custkey", kind, {"parent_table": "customer", "parent_key": "c_custkey"}) for kind in ("foreign_key", "referential")
+    ]
+    report = K.violation_report(t.derived(ORDERS_BAD, "orders"), rules, {"customer": t.customer})
+    return report.select(F.col("constraint_type").alias("kind"), "violating_rows")
+
+
 _REPORT = (
     _FACTS
     + """, r(position, constraint_type, "column") AS (VALUES (0, 'not_null', 'o_orderstatus'), (1, 'range', 'o_totalprice'),

@@ -23,6 +23,10 @@ SETTINGS = {
 }
 
 
+# Folders of local sessions that name none, by application.
+_local_folders: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that was built elsewhere."""
     for key, value in SETTINGS.items():
@@ -30,7 +34,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", app: str = "synthspark", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "synthspark", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own session."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -41,6 +47,8 @@ def local_session(cores: int | str = "*", app: str = "synthspark", shuffle_parti
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -56,9 +64,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="synthspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="synthspark-")
+    return _local_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,9 +13,15 @@ from synthspark.functions.rng import md5_text
 from synthspark.spec import SAMPLE_ROWS_MAX, SAMPLE_ROWS_MIN
 
 
-def read_parquet(spark: SparkSession, uri: str) -> DataFrame:
-    """Column-pruned, filter-pushed scan; NaN is read as null."""
-    return nan_to_null(spark.read.parquet(uri))
+def read_parquet(spark: SparkSession, uri: str, where: Column | str | None = None) -> DataFrame:
+    """Column-pruned scan; NaN is read as null.
+
+    ``where`` is applied before and after the NaN rule: the first reaches the file scan, the second drops rows
+    that only matched as NaN.
+    """
+    if where is None:
+        return nan_to_null(spark.read.parquet(uri))
+    return nan_to_null(spark.read.parquet(uri).filter(where)).filter(where)
 
 
 def read_csv(spark: SparkSession, uri: str, schema: T.StructType | str, sep: str = ",", **options: str) -> DataFrame:
