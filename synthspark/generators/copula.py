@@ -143,8 +143,12 @@ def factor_of(covariance: np.ndarray) -> np.ndarray:
     return vectors * np.sqrt(np.clip(values, 0.0, None))
 
 
-def score_correlation(named: DataFrame, d: int) -> np.ndarray:
-    """Correlation matrix of columns ``s0 … s{d-1}`` from one aggregate, made positive semi-definite."""
+def score_correlation(named: DataFrame, d: int, attenuation: list[float] | None = None) -> np.ndarray:
+    """Correlation matrix of columns ``s0 … s{d-1}`` from one aggregate, made positive semi-definite.
+
+    Cutting a normal variable into categories weakens its correlations; ``attenuation`` undoes that.
+    """
+    weak = attenuation or [1.0] * d
     matrix = np.eye(d)
     if d > 1:
         # Plain means suffice: scores are centred and of unit size already.
@@ -158,7 +162,7 @@ def score_correlation(named: DataFrame, d: int) -> np.ndarray:
         for k, (a, b) in enumerate(pairs):
             if row[f"r{k}"] is not None and spread[a] * spread[b] > 1e-12:
                 r = (row[f"r{k}"] - row[f"m{a}"] * row[f"m{b}"]) / (spread[a] * spread[b])
-                matrix[a, b] = matrix[b, a] = min(1.0, max(-1.0, r))
+                matrix[a, b] = matrix[b, a] = min(0.999, max(-0.999, r / (weak[a] * weak[b])))
     values, vectors = np.linalg.eigh(matrix)
     fixed = (vectors * np.clip(values, 1e-9, None)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))
@@ -176,7 +180,7 @@ def copula_fit(
     """Fit column models and the correlation of their normal scores."""
     marginals = fit_marginals(df, sdtypes, distribution, per_column)
     joint = [m for m in marginals if m.modelled]
-    correlation = score_correlation(normal_scores(df, joint), len(joint))
+    correlation = score_correlation(normal_scores(df, joint), len(joint), [m.attenuation() for m in joint])
     return CopulaModel(df.sparkSession, marginals, correlation, enforce_min_max, enforce_rounding)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,19 @@ class Marginal:
         # `least` and `greatest` skip nulls, so they come inside the null test.
         return F.when(C.quoted(self.name).isNotNull(), F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), u)))
 
+    def attenuation(self) -> float:
+        """Correlation of a column's scores with the normal variable its categories cut; 1 for numbers."""
+        if self.kind != "category" or len(self.shares) < 2:
+            return 1.0
+        bell = NormalDist()
+        edges = np.clip(np.array([0.0, *self.shares]), 0.0, 1.0)
+        share = np.diff(edges)
+        score = np.array([bell.inv_cdf(min(1 - EDGE, max(EDGE, m))) for m in (edges[1:] + edges[:-1]) / 2])
+        height = np.array([bell.pdf(bell.inv_cdf(e)) if 0 < e < 1 else 0.0 for e in edges])
+        mean = float(share @ score)
+        spread = math.sqrt(max(float(share @ (score - mean) ** 2), 1e-12))
+        return min(1.0, max(float(score @ (height[:-1] - height[1:])) / spread, 0.05))
+
     def interval(self, value) -> tuple[float, float]:
         """Part of the unit interval a fixed value stands for."""
         if self.kind == "category":

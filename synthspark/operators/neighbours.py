@@ -19,7 +19,7 @@ from synthspark.functions import columns as C
 from synthspark.session import cut_lineage
 
 GRID_COLUMNS = 3
-GROWTH = 3.0
+GROWTH = 4.0
 
 Distance = Callable[[str, str], Column]
 
@@ -84,6 +84,8 @@ def _search(queries, donors, row_id, k, dims, distance, payload, reach, scales)
         *[F.max(coord[c]).alias(f"hi{i}") for i, c in enumerate(dims)],
     ).first()
     n = row["n"]
+    if n == 0 or queries.isEmpty():
+        return _round(queries.limit(0), donors, row_id, k, dims[:1], coord, {c: 0.0 for c in dims}, {c: 0.0 for c in dims}, 1.0, distance, payload)
     low = {c: row[f"lo{i}"] or 0.0 for i, c in enumerate(dims)}
     span = {c: (row[f"hi{i}"] or 0.0) - low[c] for i, c in enumerate(dims)}
     grid = sorted([c for c in dims if span[c] > 0], key=lambda c: -span[c])[:GRID_COLUMNS] or dims[:1]
