@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from synthspark.functions import columns as C
 from synthspark.functions.distribution import medians, modes
 from synthspark.operators.neighbours import nearest
+from synthspark.session import cut_lineage
 
 STRATEGIES = ("mean", "median", "mode", "constant", "knn", "mice")
 MAR_CORRELATION = 0.3
@@ -233,7 +234,8 @@ def impute_mice(
 
     Every regression is linear and starts from column means, so the current fill of a row is an affine
     function of its observed cells that depends only on which cells are missing. Moments per missing
-    pattern therefore carry the whole iteration, and no round touches the rows again.
+    pattern therefore carry the whole iteration, and no round touches the rows again. Tables with more than
+    ``max_patterns`` patterns go through rounds over the rows instead.
     """
     features = features or C.numeric_columns(df)
     counts = null_counts(df)
@@ -253,9 +255,11 @@ def impute_mice(
         F.coalesce((C.quoted(c).cast("double") - float(centre[i])) / float(scale[i]), F.lit(0.0)) for i, c in enumerate(features)
     ]
     grouped = df.groupBy(pattern.alias("pattern"))
-    n_patterns = min(2 ** len(holes), grouped.count().count() if len(holes) > 12 else 2 ** len(holes))
+    n_patterns = 2 ** len(holes) if 2 ** len(holes) <= max_patterns else grouped.count().count()
     if n_patterns > max_patterns:
-        raise ValueError(f"{n_patterns} missing patterns; impute in groups of columns of at most {max_patterns} patterns")
+        filled = _mice_by_rounds(df, features, holes, centre, scale, max_iter)
+        rest = [c for c in df.columns if c not in features and counts[c]]
+        return impute_mode(filled, rest) if rest else filled
     moments = grouped.agg(
         F.count("*").alias("n"),
         *[F.sum(cell[i]).alias(f"s{i}") for i in range(d)],
@@ -283,6 +287,49 @@ def impute_mice(
     return impute_mode(filled, rest) if rest else filled
 
 
+def _mice_by_rounds(df: DataFrame, features: list[str], holes: list[str], centre, scale, max_iter: int) -> DataFrame:
+    """The same regressions for tables with too many patterns: rows carry their fills, one checkpoint a round."""
+    d = len(features)
+    cells = [f"_z{i}" for i in range(d)]
+    work = df.select(
+        "*",
+        *[
+            F.coalesce((C.quoted(c).cast("double") - float(centre[i])) / float(scale[i]), F.lit(0.0)).alias(cells[i])
+            for i, c in enumerate(features)
+        ],
+    )
+    for _ in range(max_iter):
+        for c in holes:
+            j = features.index(c)
+            seen = work.filter(C.quoted(c).isNotNull())
+            row = seen.agg(
+                F.count("*").alias("n"),
+                *[F.sum(cells[i]).alias(f"s{i}") for i in range(d)],
+                *[F.sum(F.col(cells[a]) * F.col(cells[b])).alias(f"g{a}_{b}") for a in range(d) for b in range(a, d)],
+            ).first()
+            full = np.zeros((d + 1, d + 1))
+            full[0, 0] = row["n"]
+            for a in range(d):
+                full[0, a + 1] = full[a + 1, 0] = row[f"s{a}"]
+                for b in range(a, d):
+                    full[a + 1, b + 1] = full[b + 1, a + 1] = row[f"g{a}_{b}"]
+            xs = [0] + [i + 1 for i in range(d) if i != j]
+            beta = bayesian_ridge(full[np.ix_(xs, xs)], full[xs, j + 1], full[j + 1, j + 1])
+            guess = F.lit(float(beta[0]))
+            for weight, i in zip(beta[1:], [i for i in range(d) if i != j]):
+                guess = guess + float(weight) * F.col(cells[i])
+            work = work.withColumn(cells[j], F.when(C.quoted(c).isNull(), guess).otherwise(F.col(cells[j])))
+        work = cut_lineage(work)
+    return work.select(
+        *[
+            F.coalesce(C.quoted(c).cast("double"), F.col(cells[features.index(c)]) * float(scale[features.index(c)]) + float(centre[features.index(c)])).alias(c)
+            if c in holes
+            else C.quoted(c)
+            for c in df.columns
+        ]
+    )
+
+
 def _chained_regressions(moments, features, holes, centre, scale, max_iter):
     """Affine fills per pattern: ``{pattern: {column: weights over (1, cells)}}``."""
     d = len(features)
