@@ -19,6 +19,7 @@ from synthspark.generators.copula import ROW, CopulaModel, _combine, copula_fit,
 from synthspark.generators.marginals import normal_scores
 from synthspark.operators.constraints import parents_first
 from synthspark.operators.profile import sdtypes as detect
+from synthspark.session import stored
 from synthspark.spec import Relationship
 
 CHUNK = 100_000
@@ -58,7 +59,9 @@ class LinkedModel:
             raise ValueError(f"row targets are missing for {sorted(missing)}")
         raw: dict[str, DataFrame] = {}
         for name in _table_order(self.tables, self.relationships):
-            raw[name] = self._sample_table(self.tables[name], raw, rows, seed)
+            made = self._sample_table(self.tables[name], raw, rows, seed)
+            # A parent is read several times by its children: once stored, no level recomputes those above it.
+            raw[name] = stored(made, name) if any(r.parent_table == name for r in self.relationships) else made
         return {n: raw[n].select(*[C.quoted(c) for c in self.tables[n].columns]) for n in self.tables}
 
     def _sample_table(self, model: TableModel, raw: dict[str, DataFrame], rows: dict[str, int], seed: int) -> DataFrame:
