@@ -78,13 +78,22 @@ def unpivot_values(df: DataFrame, columns: list[str], keep: list[Column] | None
 
     Floating columns travel as ``num`` only, texts as ``txt`` only, exact integers as both.
     """
-    cells = []
-    for name in columns:
+    made, cells = [], []
+    for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
-        number = as_double(df, name) + F.lit(0.0) if is_numeric(dtype) else F.lit(None).cast("double")
-        text = F.lit(None).cast("string") if is_float(dtype) else as_text(df, name)
+        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        # Casts stay in a projection, which Spark compiles; the generator only passes their results on.
+        if is_numeric(dtype):
+            made.append((as_double(df, name) + F.lit(0.0)).alias(f"_num{i}"))
+            number = F.col(f"_num{i}")
+        if not is_float(dtype):
+            made.append(as_text(df, name).alias(f"_txt{i}"))
+            text = F.col(f"_txt{i}")
         cells.append(F.struct(F.lit(name).alias("column"), number.alias("num"), text.alias("txt")))
-    return df.select(F.inline(F.array(*cells)), *(keep or []))
+    keep = keep or []
+    wide = df.select(*made, *[k.alias(f"_k{i}") for i, k in enumerate(keep)])
+    names = df.select(*keep).columns if keep else []
+    return wide.select(F.inline(F.array(*cells)), *[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)])
 
 
 def one_row_to_long(df: DataFrame, names: list[str], fields: dict[str, str]) -> DataFrame:
@@ -122,8 +131,10 @@ def computed_once(df: DataFrame, keep: list[str], values: dict[str, Column]) ->
     """
     if not values:
         return df.select(*[quoted(k) for k in keep])
-    row = F.array(F.struct(*[v.alias(name) for name, v in values.items()]))
-    return df.select(*[quoted(k) for k in keep], F.inline(row))
+    # Formulas stay in a projection, which Spark compiles; the generator only passes their results on.
+    made = df.select(*[quoted(k) for k in keep], *[v.alias(f"_once_{name}") for name, v in values.items()])
+    row = F.array(F.struct(*[F.col(f"_once_{name}").alias(name) for name in values]))
+    return made.select(*[quoted(k) for k in keep], F.inline(row))
 
 
 def side_by_side(frames: list[DataFrame]) -> DataFrame:

@@ -219,7 +219,7 @@ def fit_marginals(
             if C.is_float(df.schema[c].dataType):
                 # Smallest number of decimals that writes every value exactly.
                 aggs += [
-                    F.bool_and(F.abs(x * 10**d - F.round(x * 10**d, 0)) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x))).alias(f"d{i}_{d}")
+                    F.bool_and(F.abs(x * 10**d - F.rint(x * 10**d)) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x))).alias(f"d{i}_{d}")
                     for d in range(DECIMALS + 1)
                 ]
     row = df.agg(*aggs).first().asDict()

@@ -121,7 +121,7 @@ def _(t):
     real = t.lineitem.select("l_extendedprice", "l_discount")
     kinds = {"l_extendedprice": "numerical", "l_discount": "numerical"}
     n = real.count()
-    steps = lambda c, d: F.abs(F.col(c) * 10**d - F.round(F.col(c) * 10**d, 0)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(c))
+    steps = lambda c, d: F.abs(F.col(c) * 10**d - F.rint(F.col(c) * 10**d)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(c))
     kept = G.copula_fit(real, kinds, "empirical").sample(n)
     free = G.copula_fit(real, kinds, "empirical", enforce_rounding=False).sample(n)
     kept, free = stored(kept), stored(free)
