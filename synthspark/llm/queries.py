@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from synthspark.llm import simhash
+from synthspark.llm import language_codes, line_chunks, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.query,
+    "op6_language_codes": language_codes.query,
+    "op8_line_chunks": line_chunks.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_chunks": line_chunks.SQL,
+}
