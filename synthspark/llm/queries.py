@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from synthspark.llm import language_codes, line_chunks, simhash
+from synthspark.llm import decontaminate, language_codes, line_chunks, packing, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.query,
+    "op5_benchmark_windows": decontaminate.query,
     "op6_language_codes": language_codes.query,
+    "op7_best_fit_packing": packing.query,
     "op8_line_chunks": line_chunks.query,
 }
 

@@ -58,21 +58,22 @@ def fingerprint(text: str | None, width: int) -> int:
 def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "bits"])
+            values = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], ["id", "print", "bits"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, bits)`` per row: whole texts, words split at ASCII white space, A-Z lower-cased, XXH64 with seed 42.
+    """``(id, print, bits)`` per row: whole texts, words split at ASCII white space, A-Z lower-cased, XXH64 with seed 42.
 
     A bit is set if more than half of the shingles (repeats included) have it set. Fewer words than ``width`` are one
-    shingle; null, empty and wordless texts get 0.
+    shingle; null, empty and wordless texts get 0. ``print`` is a hash that tells texts under one id apart.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(width), f"id {kind}, bits bigint")
+    return rows.mapInArrow(_fingerprints(width), f"id {kind}, print bigint, bits bigint")
 
 
 def _block(bits: Column, index: int) -> Column:
@@ -117,7 +118,7 @@ def _signed(value: int) -> int:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row per document: ``id``, ``bits``, ``component`` (the smallest id reachable through close fingerprints).
+    """One row per document: ``id``, ``print``, ``bits``, ``component`` (the smallest id reachable through close fingerprints).
 
     Rows that share an id keep their own rows. A null id never names a component, unless all ids of it are null, and
     then the component is null. Wordless texts share fingerprint 0 and are linked like any others. An empty table
@@ -132,7 +133,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = distinct.join(linked, "bits", "left").select(
         "bits", F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component")
     )
-    return rows.join(named, "bits").select("id", "bits", "component")
+    return rows.join(named, "bits").select("id", "print", "bits", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """Input rows without near copies: of each group the row with the smallest id stays, with all its columns.
+
+    If several texts of a group have its smallest id, the one with the smallest hash stays; of rows equal in id and
+    text any one stays. Rows with a null id are in no group and all stay. Wordless texts are one group.
+    """
+    groups = stored(simhash_groups(docs, id_col, text_col, width).where("id IS NOT NULL"), "simhash-groups")
+    texts = groups.groupBy("id", "print").agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    leaders = groups.where("id = component").groupBy("component").agg(F.min("print").alias("leader"))
+    stays = (F.col("id") == F.col("component")) & (F.col("print") == F.col("leader"))
+    marked = texts.join(leaders, "component").select(F.struct("id", "print").alias("__key"), (~stays).alias("__gone"), "n")
+    marked = marked.where("__gone OR n > 1").select("__key", "__gone")
+    key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("print"))
+    joined = docs.withColumn("__key", key).join(marked, "__key", "left")
+    once = joined.where("__gone = false").dropDuplicates(["__key"])
+    return joined.where("__gone IS NULL").unionByName(once).drop("__key", "__gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
