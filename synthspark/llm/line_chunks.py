@@ -86,11 +86,10 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = F.array_join(F.transform("_kept", lambda k: F.get("_chunks", k)["text"]), "")
     rows = rows.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text_col)))
     lost = F.coalesce(F.length(text_col) - F.length("_rest"), F.lit(0))
-    return rows.select(
-        *[F.col("_rest").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias(OUTPUT[0]),
-        lost.alias(OUTPUT[1]),
-    )
+    made = F.struct(F.col("_rest").alias("_rest"), F.coalesce(F.size("_gone"), F.lit(0)).alias(OUTPUT[0]), lost.alias(OUTPUT[1]))
+    # The generator keeps later filters on the result from being pushed down as copies of these formulas.
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(made)))
+    return rows.select(*[F.col("_rest").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *OUTPUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
