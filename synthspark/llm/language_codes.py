@@ -167,12 +167,18 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, lang_col: str, text_col: str, key_col: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on at most ``sample_rows`` rows, spread evenly over the languages and picked by a hash of ``key_col``.
 
-    Rows without a language or without letters teach nothing. An empty table gives a model without languages.
+    Rows without a language or without letters teach nothing. The sample bounds the languages too: each needs
+    ``_FOLDS`` rows, and only if there are more languages than that allows the rarest are not learned. An empty table
+    gives a model without languages.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col).cast("string"), F.lit("languages")).alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = max(_FOLDS, sample_rows // max(1, sizes.count()))
+    # One row per language: bounded by sample_rows below, so it goes to every task and the texts are not shuffled.
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample_rows // _FOLDS)).collect()
+    if not counted:
+        return fit_codes(np.zeros((0, BUCKETS), np.float32), [])
+    share = sample_rows // len(counted)
+    sizes = F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n bigint"))
     # Twice the wanted share passes the hash test, so that the ranking sees a bounded number of rows per language.
     reach = F.least(F.lit(1.0), F.lit(2.0 * share) / F.col("n"))
     passed = rows.join(sizes, "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.ceil(reach * (1 << 20)))
