@@ -14,6 +14,7 @@ every tokenising task numbers its pieces per length, and a table of (task, lengt
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,16 +33,19 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a task remembers, and the longest of them.
-_REMEMBERED = 200_000
+_REMEMBERED = 150_000
 _LONGEST = 64
+# ASCII marks.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _PIECE_FIELDS = "piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _nth bigint"
 
 
 class WordIds(dict):
     """Token ids (little-endian 32-bit) of words between ASCII white space, encoded when first met.
 
-    The tokenizer drops white space and none of its patterns looks across it, so the ids of a text are those of its
-    words one after the other.
+    The tokenizer lower-cases, drops white space, and none of its patterns looks across it, so the ids of a text are
+    those of its words one after the other; and a run of marks at a word's end is a pre-token of its own. Words that
+    were not met for a while are forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,24 +53,46 @@ class WordIds(dict):
 
         super().__init__()
         self._encode = Tokenizer.from_file(path).encode
+        self._older: dict[bytes, bytes] = {}
+
+    def _ids(self, word: bytes) -> bytes:
+        return array("I", self._encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._older.get(word)
+        if ids is None:
+            core = word.rstrip(_MARKS)
+            # The byte before the marks must be a letter or digit for sure, which beyond ASCII is left to the tokenizer.
+            ids = self[core] + self[word[len(core) :]] if len(core) < len(word) and core[-1:].isalnum() else self._ids(word)
         if len(word) <= _LONGEST:
             if len(self) >= _REMEMBERED:
+                self._older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if b"<|" in text:
+            # Special tokens are matched before anything else; such a text is encoded word by word as it is.
+            return b"".join(map(self._ids, text.split()))
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One memory of words per worker process, kept from task to task."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
 
 
 def _cut(capacity: int, end_id: int, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, dealt = WordIds(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        words, task, dealt = word_ids(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             for at, value in enumerate(batch.column(1).cast(pa.binary())):
@@ -234,7 +260,7 @@ def sequences(docs: DataFrame, layout: DataFrame, id_col: str = "doc_id", text_c
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             found = []
             for at, value in enumerate(batch.column(1).cast(pa.binary())):
