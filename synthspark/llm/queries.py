@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from synthspark.llm import decontaminate, language_codes, line_chunks, packing, simhash
+from synthspark.llm import (
+    decontaminate,
+    flat_graph,
+    kd_shards,
+    language_codes,
+    licenses,
+    line_chunks,
+    packing,
+    simhash,
+    token_counts,
+    weak_quality,
+)
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op2_simhash_dedup": simhash.query,
+    "op3_weak_quality": weak_quality.query,
+    "op4_flat_graph": flat_graph.query,
     "op5_benchmark_windows": decontaminate.query,
     "op6_language_codes": language_codes.query,
     "op7_best_fit_packing": packing.query,
     "op8_line_chunks": line_chunks.query,
+    "op9_licenses": licenses.query,
+    "op10_kd_shards": kd_shards.query,
 }
 
 SQL: dict[str, str] = {
