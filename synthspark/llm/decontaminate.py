@@ -107,6 +107,8 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     starts = near.select("_doc", "size", F.explode(F.sequence("first", "last")).alias("start")).distinct()
     asked = starts.groupBy("_doc").agg(F.collect_list(F.struct("size", "start")).alias("_asked"))
     texts = _shingled(docs.join(asked, "_doc").dropDuplicates(["_doc"]), F.col("_text"), width)
+    # The generator keeps the formula of the array out of the lambda below, where it would be computed per element.
+    texts = texts.select("_doc", "_asked", F.inline(F.array(F.struct("_shingles"))))
 
     def window(w: Column) -> Column:
         return F.struct(w["size"].alias("size"), w["start"].alias("start"), F.transform(F.sequence(w["start"], w["start"] + w["size"] - 1), lambda i: F.get("_shingles", i)).alias("shingles"))
