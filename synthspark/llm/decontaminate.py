@@ -179,7 +179,8 @@ def find_leaks(
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Input rows whose text holds no benchmark item; all columns are kept as they are."""
     leaks = find_leaks(docs, items, id_col, text_col, **options).select(F.struct("id", "print").alias("__document")).distinct()
-    return docs.withColumn("__document", _identity(docs, id_col, text_col)).join(leaks, "__document", "left_anti").drop("__document")
+    rows = docs.select(F.struct("*").alias("row"), _identity(docs, id_col, text_col).alias("__document"))
+    return rows.join(leaks, "__document", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

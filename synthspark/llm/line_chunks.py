@@ -76,20 +76,21 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = again.groupBy("_id", "_print").agg(F.collect_set("_at").alias("_gone"))
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_print").alias("_gone_print"), "_gone")
 
-    prints = docs.withColumn("_print", F.xxhash64(text_col))
-    joined = prints.join(gone, (prints["_print"] == gone["_gone_print"]) & F.col(id_col).eqNullSafe(gone["_gone_id"]), "left")
+    # The input row travels as one struct, so that its column names cannot clash with those used here.
+    prints = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_print"))
+    joined = prints.join(gone, (prints["_print"] == gone["_gone_print"]) & prints["_id"].eqNullSafe(gone["_gone_id"]), "left")
     # Only texts that lose something are cut again.
-    joined = joined.withColumn("_cut", F.when(F.col("_gone").isNotNull(), F.col(text_col)))
+    joined = joined.withColumn("_cut", F.when(F.col("_gone").isNotNull(), F.col("_text")))
     rows = _chunked(joined, "_cut")
     every = F.sequence(F.lit(0), F.size("_chunks") - 1)
     rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_sort(F.array_except(every, F.col("_gone")))))
     rest = F.array_join(F.transform("_kept", lambda k: F.get("_chunks", k)["text"]), "")
-    rows = rows.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text_col)))
-    lost = F.coalesce(F.length(text_col) - F.length("_rest"), F.lit(0))
+    rows = rows.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("_text")))
+    lost = F.coalesce(F.length("_text") - F.length("_rest"), F.lit(0))
     made = F.struct(F.col("_rest").alias("_rest"), F.coalesce(F.size("_gone"), F.lit(0)).alias(OUTPUT[0]), lost.alias(OUTPUT[1]))
     # The generator keeps later filters on the result from being pushed down as copies of these formulas.
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(made)))
-    return rows.select(*[F.col("_rest").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *OUTPUT)
+    rows = rows.select("_row", F.inline(F.array(made)))
+    return rows.select(*[F.col("_rest").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], *OUTPUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

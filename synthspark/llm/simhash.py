@@ -148,10 +148,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     stays = (F.col("id") == F.col("component")) & (F.col("print") == F.col("leader"))
     marked = texts.join(leaders, "component").select(F.struct("id", "print").alias("__key"), (~stays).alias("__gone"), "n")
     marked = marked.where("__gone OR n > 1").select("__key", "__gone")
-    key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("print"))
-    joined = docs.withColumn("__key", key).join(marked, "__key", "left")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
+    joined = docs.select(F.struct("*").alias("row"), key.alias("__key")).join(marked, "__key", "left")
     once = joined.where("__gone = false").dropDuplicates(["__key"])
-    return joined.where("__gone IS NULL").unionByName(once).drop("__key", "__gone")
+    return joined.where("__gone IS NULL").unionByName(once).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
