@@ -30,8 +30,8 @@ def md5_text(key: Column, label: str | int) -> Column:
 
 
 def md5_index(key: Column, label: str | int, size: Column | int) -> Column:
-    """0-based pick among ``size`` items from the first 32 bits of an MD5."""
-    number = F.conv(F.substring(md5_text(key, label), 1, 8), 16, 10).cast("long")
+    """0-based pick among ``size`` items from the first 60 bits of an MD5."""
+    number = F.conv(F.substring(md5_text(key, label), 1, 15), 16, 10).cast("long")
     return F.pmod(number, size if isinstance(size, Column) else F.lit(int(size)).cast("long"))
 
 

@@ -38,8 +38,7 @@ class TableModel:
     name: str
     columns: list[str]
     copula: CopulaModel
-    own_key: str | None
-    key_type: object
+    own_keys: dict[str, object]
     main: Relationship | None
     others: list[Relationship]
     shared: list[float] = field(default_factory=list)
@@ -74,17 +73,20 @@ class LinkedModel:
             latent = self._with_parent_effect(model, model.copula.latent(base, None, seed), seed)
         keep = [ROW] + (["__parent"] if model.main else [])
         out = model.copula.decode(latent, None, seed, keep=keep)
-        if model.own_key:
-            out = out.withColumn(model.own_key, _key_value(F.col(ROW), model.own_key, model.key_type))
+        for key, kind in model.own_keys.items():
+            out = out.withColumn(key, _key_value(F.col(ROW), key, kind))
         if model.main:
-            parent = self.tables[model.main.parent_table]
-            out = out.withColumn(model.main.child_key, _key_value(F.col("__parent"), parent.own_key, parent.key_type).cast(model.foreign_types[model.main.child_key]))
+            out = out.withColumn(model.main.child_key, self._reference(F.col("__parent"), model, model.main))
         for rel in model.others:
-            parent = self.tables[rel.parent_table]
             pick = md5_index(F.col(ROW), f"{rel.child_key}:{seed}", rows[rel.parent_table])
-            out = out.withColumn(rel.child_key, _key_value(pick, parent.own_key, parent.key_type).cast(model.foreign_types[rel.child_key]))
+            out = out.withColumn(rel.child_key, self._reference(pick, model, rel))
         return out
 
+    def _reference(self, row: Column, model: TableModel, rel: Relationship) -> Column:
+        """Value of the parent key that ``rel`` names, for a row number of the parent."""
+        kind = self.tables[rel.parent_table].own_keys[rel.parent_key]
+        return _key_value(row, rel.parent_key, kind).cast(model.foreign_types[rel.child_key])
+
     def _with_parent_effect(self, model: TableModel, latent: DataFrame, seed: int) -> DataFrame:
         """Mix each score with one drawn per parent, in the share of variance that lies between parents."""
         joint = model.copula.joint
@@ -163,14 +165,14 @@ def hma_fit(tables: dict[str, DataFrame], relationships: list[Relationship], sdt
     for name, df in tables.items():
         outgoing = [r for r in relationships if r.parent_table == name]
         incoming = [r for r in relationships if r.child_table == name]
-        own = outgoing[0].parent_key if outgoing else None
+        own = {r.parent_key: df.schema[r.parent_key].dataType for r in outgoing}
         main = incoming[0] if incoming else None
-        keys = {own, *[r.child_key for r in incoming]} - {None}
+        keys = {*own, *[r.child_key for r in incoming]}
         plain = df
         main_links = [r for r in outgoing if _main_link(relationships, r.child_table) == r]
         for rel in main_links:
             counts = tables[rel.child_table].groupBy(C.quoted(rel.child_key).alias("__k")).agg(F.count("*").alias(_count_name(rel)))
-            plain = plain.join(counts, F.col(f"`{own}`") == F.col("__k"), "left").drop("__k")
+            plain = plain.join(counts, C.quoted(rel.parent_key) == F.col("__k"), "left").drop("__k")
             plain = plain.withColumn(_count_name(rel), F.coalesce(_count_name(rel), F.lit(0)).cast("double"))
         modelled = plain.drop(*keys)
         kinds = {c: k for c, k in (sdtypes or {}).get(name, {}).items() if c in modelled.columns}
@@ -180,7 +182,7 @@ def hma_fit(tables: dict[str, DataFrame], relationships: list[Relationship], sdt
             kinds = {**detect(modelled), **{_count_name(r): "numerical" for r in main_links}}
         copula = copula_fit(modelled, kinds or None, "empirical")
         model = TableModel(
-            name, df.columns, copula, own, df.schema[own].dataType if own else None, main, [r for r in incoming if r != main],
+            name, df.columns, copula, own, main, [r for r in incoming if r != main],
             foreign_types={r.child_key: df.schema[r.child_key].dataType for r in incoming},
         )
         if main:

@@ -103,6 +103,30 @@ def _domain_cells(spark: SparkSession, domains: Domains, groups: list[tuple[str,
     return rows.select("g", "a", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("b"))
 
 
+def _tail(x: float) -> float:
+    """Upper tail of the standard normal distribution."""
+    return math.erfc(x / math.sqrt(2)) / 2
+
+
+def gaussian_scale(epsilon: float, delta: float) -> float:
+    """Smallest scale at which Gaussian noise on a count (sensitivity 1) is (epsilon, delta)-private, for any epsilon.
+
+    Solves the exact condition ``Phi(1/2s - e s) - exp(e) Phi(-1/2s - e s) <= delta``, which falls with ``s``.
+    """
+
+    def exceeds(s: float) -> bool:
+        lost = _tail(epsilon * s + 1 / (2 * s))
+        return _tail(epsilon * s - 1 / (2 * s)) - (math.exp(epsilon + math.log(lost)) if lost > 0 else 0.0) > delta
+
+    low, high = 1e-6, 1.0
+    while exceeds(high):
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if exceeds(middle) else (low, middle)
+    return high
+
+
 def _noise(key: Column, epsilon: float, delta: float | None, seed: int) -> Column:
     """Integer noise for a count: two-sided geometric, or rounded Gaussian when a delta is given."""
     if delta is None:
@@ -110,7 +134,7 @@ def _noise(key: Column, epsilon: float, delta: float | None, seed: int) -> Colum
         one = F.floor(F.log(uniform(key, "n1", seed)) * decay)
         two = F.floor(F.log(uniform(key, "n2", seed)) * decay)
         return (one - two).cast("long")
-    sigma = math.sqrt(2 * math.log(1.25 / delta)) / epsilon
+    sigma = gaussian_scale(epsilon, delta)
     return F.round(normal(key, "n", seed) * sigma).cast("long")
 
 

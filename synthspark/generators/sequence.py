@@ -22,10 +22,13 @@ from synthspark.generators.marginals import KNOTS, Marginal, fit_marginals, norm
 from synthspark.operators.constraints import indexed_keys
 from synthspark.operators.history import previous
 from synthspark.operators.profile import sdtypes as detect
+from synthspark.session import stored
 
 # Steps of a sequence made in one piece; earlier noise warms a piece up until its start is forgotten.
 PIECE = 500
 FORGOTTEN = 1e-8
+# Steps per time chunk aimed at when sequences are numbered.
+CHUNK_STEPS = 1_000_000
 
 
 def _check(df: DataFrame, key: str | None, index: str | None) -> None:
@@ -108,7 +111,7 @@ class SequenceModel:
         """Add ``_y{i}``: y_t = a y_(t-1) + sqrt(1 - a^2) e_t with correlated noise, per piece of a sequence."""
         d = len(self.measures)
         factor = factor_of(self.correlation)
-        warm = max([0] + [min(200, math.ceil(math.log(FORGOTTEN) / math.log(abs(a)))) for a in self.coefficients if abs(a) > 1e-6])
+        warm = max([0] + [math.ceil(math.log(FORGOTTEN) / math.log(abs(a))) for a in self.coefficients if 1e-6 < abs(a) < 1])
         noise = []
         for i in range(d):
             weights = [(factor[i, k], k) for k in range(d) if abs(factor[i, k]) > 1e-12]
@@ -128,7 +131,10 @@ class SequenceModel:
 
 
 def _walk(a: float, warm: int, draw) -> Column:
-    """Steps ``_start`` to ``_end`` of one autoregression as an array; noise is a function of the step."""
+    """Steps ``_start`` to ``_end`` of one autoregression as an array; noise is a function of the step.
+
+    A walk begins with a draw of its own, so that its spread is one from the first step on.
+    """
     fresh = math.sqrt(max(1 - a * a, 0.0))
 
     def step(y: Column, s: Column) -> Column:
@@ -137,7 +143,8 @@ def _walk(a: float, warm: int, draw) -> Column:
     def append(ys: Column, s: Column) -> Column:
         return F.concat(ys, F.array(step(F.element_at(ys, -1), s)))
 
-    head = F.aggregate(F.sequence(F.greatest(F.lit(0), F.col("_start") - warm), F.col("_start")), F.lit(0.0), step)
+    first = F.greatest(F.lit(0), F.col("_start") - warm)
+    head = F.aggregate(F.sequence(first, F.col("_start")), draw(first - 1), step)
     walk = F.aggregate(F.sequence(F.col("_start") + 1, F.col("_end")), F.array(head), append)
     return F.when(F.col("_end") > F.col("_start"), walk).otherwise(F.array(head))
 
@@ -222,7 +229,7 @@ class LongSequenceModel:
 
         A sequence is one row of bounded length until its steps are laid out at the end.
         """
-        length = min(length or self.length, self.length)
+        length = length or self.length
         n_segments = math.ceil(length / self.segment)
         base = self.spark.range(0, sequences).withColumnRenamed("id", ROW)
         wanted = base.select(ROW, F.explode(F.sequence(F.lit(0), F.lit(n_segments - 1))).alias("_b"))
@@ -249,19 +256,40 @@ class LongSequenceModel:
         )
 
 
+def _numbered_steps(named: DataFrame) -> DataFrame:
+    """``(k, x, s, _n)`` with 1-based places ``_n`` in each sequence, from counts per time chunk."""
+    ends = named.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    parts = max(64, math.ceil((ends["n"] or 0) / CHUNK_STEPS))
+    span = ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) or 1.0
+    chunked = named.withColumn("_c", F.least(F.lit(parts - 1), F.floor((F.col("x") - (ends["lo"] or 0.0)) / span * parts)))
+    counts = chunked.groupBy("k", "_c").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("k", "_c", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("k", "_c").orderBy("x", "s")
+    placed = chunked.withColumn("_i", F.row_number().over(inside)).join(offsets, ["k", "_c"])
+    return placed.select("k", "x", "s", (F.col("_o") + F.col("_i")).alias("_n"))
+
+
 def long_sequence_fit(
-    df: DataFrame, key: str, index: str, measure: str, max_sequence_len: int = 500, segment_size: int = 50, lags: tuple[int, ...] = (1, 2, 3)
+    df: DataFrame, key: str, index: str, measure: str, segment_size: int = 50, lags: tuple[int, ...] = (1, 2, 3)
 ) -> LongSequenceModel:
-    """Regress normal scores on several lags over the first ``max_sequence_len`` steps of each sequence."""
+    """Regress normal scores on several lags over all steps of each sequence.
+
+    Steps are numbered in time chunks; lags are looked up in blocks that hold the last steps of the block before, so no
+    task needs a whole sequence.
+    """
     _check(df, key, index)
     marginal = fit_marginals(df.select(measure), {measure: "numerical"}, "empirical")[0]
     scores = normal_scores(df, [marginal], [C.quoted(key), _index_number(df, index)])
     named = scores.select(F.col("_keep0").alias("k"), F.col("_keep1").alias("x"), F.col("s0").alias("s")).filter("s is not null")
-    order = Window.partitionBy("k").orderBy("x", "s")
-    # The limit is applied per task first; afterwards a sequence is at most `max_sequence_len` rows.
-    short = named.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_sequence_len)
-    with_lags = short.select("*", *[F.lag("s", lag).over(order).alias(f"l{lag}") for lag in lags])
-    full = with_lags.filter(F.col(f"l{max(lags)}").isNotNull())
+    numbered = stored(_numbered_steps(named), "steps")
+    reach, size = max(lags), max(segment_size, 50 * max(lags))
+    home = F.floor((F.col("_n") - 1) / size)
+    blocks = F.array_distinct(F.array(home, F.floor((F.col("_n") - 1 + reach) / size)))
+    spread = numbered.select("*", home.alias("_home"), F.explode(blocks).alias("_block"))
+    order = Window.partitionBy("k", "_block").orderBy("_n")
+    with_lags = spread.select("*", *[F.lag("s", lag).over(order).alias(f"l{lag}") for lag in lags])
+    full = with_lags.filter((F.col("_block") == F.col("_home")) & (F.col("_n") > reach)).drop("_home", "_block")
     names = ["s", *[f"l{lag}" for lag in lags]]
     row = full.agg(
         F.count("*").alias("n"),
@@ -288,8 +316,8 @@ def long_sequence_fit(
     # Short last blocks are filled up by their own start, so that every block has the same size.
     fill = F.slice(F.flatten(F.array_repeat(F.col("residuals"), segment_size)), 1, segment_size)
     whole = blocks.select(F.concat_ws(":", "k", "b").alias("_key"), fill.alias("residuals"))
-    numbered = indexed_keys(whole.select("_key")).join(whole, "_key").select("_index", "residuals")
-    longest = short.agg(F.max("_n").alias("m")).first()["m"]
+    drawable = indexed_keys(whole.select("_key")).join(whole, "_key").select("_index", "residuals")
+    longest = numbered.agg(F.max("_n").alias("m")).first()["m"]
     return LongSequenceModel(
-        df.sparkSession, key, index, marginal, list(lags), weights, numbered, whole.count(), segment_size, longest
+        df.sparkSession, key, index, marginal, list(lags), weights, drawable, whole.count(), segment_size, longest
     )

@@ -301,7 +301,7 @@ def _(t):
 )
 def _(t):
     real = t.events.select("user_id", "ts", "value")
-    model = long_sequence_fit(real, "user_id", "ts", "value", max_sequence_len=500, segment_size=10)
+    model = long_sequence_fit(real, "user_id", "ts", "value", segment_size=10)
     n = real.select("user_id").distinct().count()
     made = stored(model.sample(n, 40))
     score = Q.ks_complement(real, made, ["value"]).first()["score"]

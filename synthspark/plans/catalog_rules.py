@@ -16,7 +16,7 @@ ALLOWED_SQL = ", ".join(f"'{v}'" for v in ALLOWED)
 
 def pick_sql(key: str, label: str, size: str) -> str:
     """The MD5 pick of the repairs, in SQL."""
-    return f"(CAST('0x' || substr(md5(concat_ws(':', {key}, '{label}')), 1, 8) AS BIGINT) % {size})"
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {key}, '{label}')), 1, 15) AS BIGINT) % {size})"
 
 
 @query("check_not_null", f"SELECT count_if(o_totalprice IS NULL) AS violating_rows FROM {MISSING} x")

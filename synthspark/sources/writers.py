@@ -6,11 +6,12 @@ import json
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from synthspark.functions import columns as C
-from synthspark.operators.constraints import indexed_keys
+from synthspark.functions.distribution import chunked_running_totals
+from synthspark.session import stored
 from synthspark.spec import CHUNKED_EXPORT_ROWS, EXPORT_CHUNK_ROWS, OUTPUT_PART_ROWS
 
 # Content type and default file name by format.
@@ -44,17 +45,40 @@ def _max_rows(writer, more: dict[str, Any]):
     return writer.option("maxRecordsPerFile", int(more["max_rows"])) if more.get("max_rows") else writer
 
 
+# Parts in which the rows of one key are numbered, so that a frequent key is not one task's work.
+_KEY_PARTS = 64
+
+
+def row_numbers(df: DataFrame, key: str) -> DataFrame:
+    """Input behind a dense 0-based ``index``, in the order of the key's MD5.
+
+    Distinct keys get a running sum of their row counts, and rows of one key are numbered in parts.
+    """
+    rows = stored(df.select(F.coalesce(F.md5(C.quoted(key).cast("string")), F.lit("~")).alias("_label"), F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_all")), "rows")
+    part = F.pmod(F.xxhash64("_row"), F.lit(_KEY_PARTS))
+    parts = rows.groupBy("_label", part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_label", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    keys = rows.groupBy("_label").agg(F.count("*").alias("_n")).withColumn("_chunk", F.substring("_label", 1, 3))
+    first = chunked_running_totals(keys, [], "_chunk", ["_label"], ["_n"]).select("_label", (F.col("cum__n") - F.col("_n")).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_label", "_part").orderBy("_row")) - 1
+    numbered = rows.withColumn("_part", part).withColumn("_nth", inside).join(parts, ["_label", "_part"]).join(first, "_label")
+    index = (F.col("_first") + F.col("_ahead") + F.col("_nth")).cast("long").alias("index")
+    return numbered.select(index, *[F.col("_all")[c].alias(c) for c in df.columns])
+
+
 def export_csv(
     df: DataFrame, path: str, delimiter: str = ",", encoding: str = "UTF-8", include_index: bool = False,
     index_key: str | None = None, date_format: str | None = None, **more: Any,
 ) -> str:
-    """CSV with header. The index column numbers rows densely in the hash order of ``index_key``."""
+    """CSV with header. The index column numbers rows densely in the hash order of ``index_key``.
+
+    Rows that repeat a key get numbers next to each other; null keys come last.
+    """
     if include_index:
         if index_key is None:
-            raise ValueError("an index column needs a unique key column to number by")
-        numbered = indexed_keys(df.select(C.quoted(index_key).alias("_key")))
-        df = df.join(numbered, C.quoted(index_key) == F.col("_key")).drop("_key")
-        df = df.select(F.col("_index").alias("index"), *[C.quoted(c) for c in df.columns if c != "_index"])
+            raise ValueError("an index column needs a key column to number by")
+        df = row_numbers(df, index_key)
     writer = df.write.mode("overwrite").option("header", True).option("sep", delimiter).option("encoding", encoding).option("escape", '"')
     if date_format:
         writer = writer.option("dateFormat", date_format).option("timestampFormat", date_format).option("timestampNTZFormat", date_format)

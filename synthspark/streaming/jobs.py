@@ -42,28 +42,34 @@ def _per_batch(stream: DataFrame, root: str, label: str, write) -> None:
 
 
 def moment_columns(names: list[str]) -> list[Column]:
-    """Mergeable sufficient statistics of number columns: counts, sums, products, extremes.
+    """Mergeable sufficient statistics of number columns: counts, means, centred products, extremes.
 
-    Sums are taken in decimals, so that merging in any order gives the same digits.
+    Products are centred at the means of their own rows, so that neither small nor large values lose digits.
     """
-    exact = lambda c: c.cast("decimal(28,6)").cast("decimal(38,6)")
     out = [F.count("*").alias("n")]
     for i, a in enumerate(names):
         x = C.quoted(a).cast("double")
-        out += [F.count(x).alias(f"n{i}"), F.sum(exact(x)).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        out += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         for j, b in enumerate(names[i:], i):
-            out.append(F.sum(exact(x * C.quoted(b).cast("double"))).alias(f"g{i}_{j}"))
+            y = C.quoted(b).cast("double")
+            both = x.isNotNull() & y.isNotNull()
+            out += [F.count_if(both).alias(f"k{i}_{j}"), F.avg(F.when(both, x)).alias(f"a{i}_{j}"), F.avg(F.when(both, y)).alias(f"b{i}_{j}")]
+            out.append((F.covar_pop(x, y) * F.count_if(both)).alias(f"g{i}_{j}"))
     return out
 
 
 def merge_moments(parts: DataFrame, names: list[str]) -> DataFrame:
-    """One row from many partial rows."""
-    aggs = []
-    for c in parts.columns:
-        if c == "batch":
-            continue
-        kind = F.min if c.startswith("lo") else F.max if c.startswith("hi") else F.sum
-        aggs.append(kind(c).alias(c))
+    """One row from many partial rows: means by their counts, products moved to the common means."""
+    d = len(names)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    mean = lambda value, count: F.sum(F.col(value) * F.col(count)) / F.nullif(F.sum(count), F.lit(0))
+    centres = parts.agg(*[mean(f"{side}{i}_{j}", f"k{i}_{j}").alias(f"{side}{i}_{j}") for i, j in pairs for side in "ab"]).first()
+    aggs = [F.sum("n").alias("n")]
+    for i in range(d):
+        aggs += [F.sum(f"n{i}").alias(f"n{i}"), mean(f"m{i}", f"n{i}").alias(f"m{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}")]
+    for i, j in pairs:
+        a, b = (F.col(f"{side}{i}_{j}") - F.lit(centres[f"{side}{i}_{j}"]).cast("double") for side in "ab")
+        aggs += [F.sum(f"k{i}_{j}").alias(f"k{i}_{j}"), F.sum(F.col(f"g{i}_{j}") + F.col(f"k{i}_{j}") * a * b).alias(f"g{i}_{j}")]
     return parts.agg(*aggs)
 
 
@@ -80,11 +86,11 @@ def moments_summary(moments: DataFrame, names: list[str]) -> DataFrame:
     """``(column, n, mean, std, min, max)`` from merged statistics."""
     rows = []
     for i, c in enumerate(names):
-        n, s, g = F.col(f"n{i}"), F.col(f"s{i}").cast("double"), F.col(f"g{i}_{i}").cast("double")
-        var = F.when(n > 1, (g - s * s / n) / (n - 1))
+        n, g = F.col(f"n{i}"), F.col(f"g{i}_{i}")
+        var = F.when(n > 1, g / (n - 1))
         rows.append(
             F.struct(
-                F.lit(c).alias("column"), n.alias("n"), (s / n).alias("mean"), F.sqrt(var).alias("std"),
+                F.lit(c).alias("column"), n.alias("n"), F.col(f"m{i}").alias("mean"), F.sqrt(var).alias("std"),
                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
             )
         )
@@ -94,12 +100,11 @@ def moments_summary(moments: DataFrame, names: list[str]) -> DataFrame:
 def moments_correlation(moments: DataFrame, names: list[str]) -> np.ndarray:
     """Correlation matrix of the merged statistics on the driver."""
     row = moments.first()
-    d, n = len(names), float(row["n"])
-    mean = np.array([float(row[f"s{i}"]) / n for i in range(d)])
+    d = len(names)
     cov = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
-            cov[i, j] = cov[j, i] = float(row[f"g{i}_{j}"]) / n - mean[i] * mean[j]
+            cov[i, j] = cov[j, i] = float(row[f"g{i}_{j}"] or 0.0) / max(1, row[f"k{i}_{j}"] or 0)
     scale = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
     return cov / np.outer(scale, scale)
 
