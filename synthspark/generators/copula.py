@@ -84,21 +84,21 @@ class CopulaModel:
         conditions = conditions or {}
         place = {m.name: i for i, m in enumerate(self.joint)}
         row = F.col(ROW)
-        for m in self.marginals:
-            if m.table is not None and m.name not in conditions:
-                latent = _from_table(latent, m, seed)
         latent = latent.select(
             "*", *[normal_cdf(F.col(f"_y{i}")).alias(f"_u{i}") for c, i in place.items() if c not in conditions]
         )
+        for m in self.marginals:
+            if m.table is not None and m.name not in conditions:
+                latent = _from_table(latent, m, f"_u{place[m.name]}")
         out = [C.quoted(k) for k in keep or []] + ([row.alias(row_id)] if row_id else [])
         for m in self.marginals:
             if m.name in conditions:
                 out.append(F.lit(conditions[m.name]).cast(m.dtype).alias(m.name))
                 continue
-            if m.name in place:
-                value = m.value(F.col(f"_u{place[m.name]}"), self.enforce_min_max, self.enforce_rounding)
-            elif m.table is not None:
+            if m.table is not None:
                 value = F.col(f"_t_{m.name}").cast(m.dtype)
+            elif m.name in place:
+                value = m.value(F.col(f"_u{place[m.name]}"), self.enforce_min_max, self.enforce_rounding)
             else:
                 value = m.drawn(row, seed)
             if m.null_share > 0:
@@ -115,10 +115,10 @@ def _combine(terms: list[tuple[float, str]]) -> Column:
     return total
 
 
-def _from_table(rows: DataFrame, m: Marginal, seed: int) -> DataFrame:
-    """Draw from a long category list by an equi-join on the bucket of a uniform number."""
+def _from_table(rows: DataFrame, m: Marginal, unit: str) -> DataFrame:
+    """Category of a long list at a unit position, by an equi-join on the bucket of the position."""
     size = m.table.select("buckets").first()["buckets"]
-    u = uniform(F.col(ROW), f"t:{m.name}", seed)
+    u = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(0.0), F.col(unit)))
     drawn = rows.withColumn("_u", u).withColumn("bucket", F.least(F.floor(F.col("_u") * size), F.lit(size - 1)))
     hit = (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))
     table = m.table.select("bucket", "low", "high", F.col("value").alias(f"_t_{m.name}"))

@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 
 from synthspark.functions import columns as C
 from synthspark.functions.distribution import value_counts
-from synthspark.functions.rng import uniform, with_normals
+from synthspark.functions.rng import normal_quantile, uniform, with_normals
 from synthspark.operators.profile import sdtypes as detect
 from synthspark.session import stored
 
 KNOTS = 64
-# Categories up to this many live in the plan as literals; longer lists stay a table.
+# Categories up to this many live in the plan as literals; longer lists stay a table and are looked up by joins.
+# Both take part in the joint model in the same way.
 LITERAL_CATEGORIES = 100
 DECIMALS = 6
 # Cells of the tabulated distribution function.
@@ -42,17 +43,21 @@ class Marginal:
     categories: tuple[str, ...] = ()
     shares: tuple[float, ...] = ()
     table: DataFrame | None = field(default=None, compare=False)
+    table_attenuation: float = 1.0
 
     @property
     def modelled(self) -> bool:
-        """Takes part in the joint model; keys, texts and very long category lists are drawn on their own."""
-        return self.kind == "number" or (self.kind == "category" and self.table is None)
+        """Takes part in the joint model; keys and texts are drawn on their own."""
+        return self.kind in ("number", "category")
 
     # --- value -> unit interval ---
 
     def unit(self, df: DataFrame) -> Column:
+        """Unit position; that of a long category list is looked up beforehand, see ``with_table_units``."""
         if self.kind == "number":
             u = _interpolate(C.as_double(df, self.name), *_knots(self.grid))
+        elif self.table is not None:
+            u = C.quoted(_unit_name(self.name))
         else:
             u = _category_unit(C.as_text(df, self.name), self.categories, self.shares)
         # `least` and `greatest` skip nulls, so they come inside the null test.
@@ -60,6 +65,8 @@ class Marginal:
 
     def attenuation(self) -> float:
         """Correlation of a column's scores with the normal variable its categories cut; 1 for numbers."""
+        if self.table is not None:
+            return self.table_attenuation
         if self.kind != "category" or len(self.shares) < 2:
             return 1.0
         bell = NormalDist()
@@ -75,6 +82,11 @@ class Marginal:
         """Part of the unit interval a fixed value stands for."""
         if self.kind == "category":
             text = str(value).lower() if isinstance(value, bool) else str(value)
+            if self.table is not None:
+                span = self.table.filter(F.col("value") == text).select("low", "high").first()
+                if span is None:
+                    raise ValueError(f"'{value}' was never seen in column '{self.name}'")
+                return span["low"], span["high"]
             if text not in self.categories:
                 raise ValueError(f"'{value}' was never seen in column '{self.name}'")
             i = self.categories.index(text)
@@ -174,11 +186,26 @@ def _category_unit(text: Column, categories: tuple[str, ...], shares: tuple[floa
     return F.try_element_at(middle, text)
 
 
+def _unit_name(column: str) -> str:
+    return f"__unit_{column}"
+
+
+def with_table_units(df: DataFrame, marginals: list[Marginal]) -> DataFrame:
+    """Input with the unit position of each long category list, by an equi-join on the category."""
+    for m in marginals:
+        if m.table is not None:
+            first = F.col("bucket") == F.floor(F.col("low") * F.col("buckets"))
+            middles = m.table.filter(first).select(F.col("value").alias("__value"), ((F.col("low") + F.col("high")) / 2).alias(_unit_name(m.name)))
+            df = df.join(middles, C.as_text(df, m.name) == F.col("__value"), "left").drop("__value")
+    return df
+
+
 def normal_scores(df: DataFrame, marginals: list[Marginal], keep: list[Column] | None = None) -> DataFrame:
     """``(_keep0, …, s0, s1, …)``: normal scores of the modelled columns; null stays null.
 
     Unit positions are a projection of their own, so the quantile formula does not repeat their lookup.
     """
+    df = with_table_units(df, marginals)
     kept = [k.alias(f"_keep{i}") for i, k in enumerate(keep or [])]
     placed = df.select(*kept, *[m.unit(df).alias(f"_u{i}") for i, m in enumerate(marginals)])
     return with_normals(placed, {f"_u{i}": f"s{i}" for i in range(len(marginals))}, once=True)
@@ -240,7 +267,8 @@ def fit_marginals(
             out.append(Marginal(c, "text", dtype, gone, tuple(row[f"q{i}"] or (1.0, 1.0))))
         elif role == "category":
             names, cumulative, table = shares[c]
-            out.append(Marginal(c, "category", dtype, gone, categories=names, shares=cumulative, table=table))
+            weak = _table_attenuation(table) if table is not None else 1.0
+            out.append(Marginal(c, "category", dtype, gone, categories=names, shares=cumulative, table=table, table_attenuation=weak))
         else:
             out.append(Marginal(c, "id", dtype, gone))
     return out
@@ -271,7 +299,7 @@ def _category_shares(df: DataFrame, names: list[str]) -> dict:
     for c in names:
         if len(found[c]) > LITERAL_CATEGORIES:
             # Stored once at fit time; every sample joins it.
-            out[c] = ((), (), stored(category_table(counts.filter(F.col("column") == c).select("value", "n")), "categories"))
+            out[c] = ((), (), stored(category_table(counts.filter(F.col("column") == c).select("value", "n"), ordered=True), "categories"))
             continue
         total = sum(n for _, n in found[c])
         cumulative = np.cumsum([n for _, n in found[c]]) / max(total, 1)
@@ -279,14 +307,30 @@ def _category_shares(df: DataFrame, names: list[str]) -> dict:
     return out
 
 
-def category_table(counts: DataFrame, width: int = 3) -> DataFrame:
+def _table_attenuation(table: DataFrame) -> float:
+    """``Marginal.attenuation`` of a category table, by one aggregate."""
+    spans = table.filter(F.col("bucket") == F.floor(F.col("low") * F.col("buckets")))
+    inside = lambda u: F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), u))
+    height = lambda u: F.when((u > 0) & (u < 1), F.exp(-0.5 * F.pow(normal_quantile(inside(u)), 2)) / math.sqrt(2 * math.pi)).otherwise(0.0)
+    share = F.col("high") - F.col("low")
+    named = spans.select(share.alias("share"), normal_quantile(inside((F.col("low") + F.col("high")) / 2)).alias("score"), (height(F.col("low")) - height(F.col("high"))).alias("drop"))
+    row = named.agg(F.sum(F.col("share") * F.col("score")).alias("m"), F.sum(F.col("share") * F.col("score") * F.col("score")).alias("q"), F.sum(F.col("score") * F.col("drop")).alias("c")).first()
+    spread = math.sqrt(max((row["q"] or 0.0) - (row["m"] or 0.0) ** 2, 1e-12))
+    return min(1.0, max((row["c"] or 0.0) / spread, 0.05))
+
+
+def category_table(counts: DataFrame, width: int = 3, ordered: bool = False) -> DataFrame:
     """``(bucket, low, high, value, buckets)``: categories laid out on the unit interval and cut into buckets.
 
     A draw finds its category by an equi-join on the bucket and one comparison. Categories are laid out by
-    hash bucket with offsets from a table of fixed size, so no task sees all of them; a hot category covers
-    many buckets.
+    hash bucket, or with ``ordered`` by count and name as short lists are, in parts of a global sort. Offsets come
+    from a table of part sums, so no task sees all categories; a hot category covers many buckets.
     """
-    hashed = counts.withColumn("_h", F.md5("value")).withColumn("_b", F.substring("_h", 1, width))
+    if ordered:
+        ranked = counts.orderBy(F.col("n").desc(), "value").withColumn("_b", F.spark_partition_id())
+        hashed = stored(ranked, "categories").withColumn("_h", F.struct(-F.col("n"), F.col("value")))
+    else:
+        hashed = counts.withColumn("_h", F.md5("value")).withColumn("_b", F.substring("_h", 1, width))
     sums = hashed.groupBy("_b").agg(F.sum("n").alias("_s"), F.count("*").alias("_k"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))

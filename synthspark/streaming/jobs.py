@@ -198,8 +198,6 @@ def stream_generate_parts(numbers: DataFrame, column: str, model: CopulaModel, r
 
     Sampling is a projection of the row number, so the stream keeps no state and equals the batch result.
     """
-    if any(m.table is not None for m in model.marginals):
-        raise ValueError("columns with very long category lists cannot be generated on a stream")
     rows = numbers.select(C.quoted(column).cast("long").alias(ROW))
     made = model.decode(model.latent(rows, None, seed), None, seed, keep=[ROW])
     target = _folder(root, "parts")

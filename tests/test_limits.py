@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from synthspark.functions.rng import md5_index
+from synthspark.functions.rng import md5_index, normal
 from synthspark.generators import linked
+from synthspark.generators.copula import copula_fit
 from synthspark.generators.private import gaussian_scale
 from synthspark.generators.sequence import _walk, long_sequence_fit
-from synthspark.functions.rng import normal
+from synthspark.session import stored
 from synthspark.sources import writers
 from synthspark.spec import Relationship
 from synthspark.streaming import jobs as J
@@ -94,3 +95,32 @@ def test_picks_reach_beyond_32_bits(spark):
     size = 1 << 40
     picks = [r[0] for r in spark.range(200).select(md5_index(F.col("id"), "x", size)).collect()]
     assert max(picks) > 1 << 38 and min(picks) >= 0 and len(set(picks)) == 200
+
+
+def test_long_categories_stay_in_the_joint_model(spark):
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 200, size=8000)
+    data = [(f"c{k:03d}", float(k) + float(rng.normal()), float(rng.normal())) for k in codes]
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    model = copula_fit(df, {"g": "categorical", "x": "numerical", "y": "numerical"}, "empirical")
+    assert model.marginals[0].table is not None
+    short = copula_fit(df.filter("g < 'c090'"), {"g": "categorical", "x": "numerical", "y": "numerical"}, "empirical")
+    assert short.marginals[0].table is None
+
+    def dependence(frame):
+        pdf = frame.toPandas()
+        return abs(np.corrcoef(pdf.groupby("g").x.transform("mean"), pdf.x)[0, 1])
+
+    made = stored(model.sample(8000))
+    assert made.count() == 8000 and made.select("g").distinct().count() > 190
+    # Categories lie in the order of their counts; what dependence that order carries is kept, as in short lists.
+    assert abs(model.correlation[0, 1]) == pytest.approx(abs(short.correlation[0, 1]), abs=0.15)
+    held = stored(model.sample(300, {"g": "c007"}))
+    assert {r[0] for r in held.select("g").distinct().collect()} == {"c007"}
+    with pytest.raises(ValueError, match="never seen"):
+        model.sample(5, {"g": "none"})
+    # With counts that fall along the number, the order is that of the number.
+    ordered = [(f"c{k:03d}", float(k)) for k in range(200) for _ in range(60 - k // 4)]
+    frame = spark.createDataFrame(ordered, "g string, x double")
+    fit = copula_fit(frame, {"g": "categorical", "x": "numerical"}, "empirical")
+    assert dependence(stored(fit.sample(6000))) > 0.9
