@@ -52,14 +52,15 @@ def _chunked(docs: DataFrame, text: str) -> DataFrame:
     return rows.drop("_lines", "_hashes", "_rolls", "_places", "_starts")
 
 
-def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Input rows with repeated chunks taken out of ``text_col``, and ``removed_chunks`` and ``removed_chars``.
+def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, prefix: str = "") -> DataFrame:
+    """Input rows with repeated chunks taken out of ``text_col``, and ``removed_chunks`` and ``removed_chars`` (after ``prefix``).
 
     A document is its id and its text: rows equal in both are treated alike and do not count as each other's copies.
     Null ids come last when the first occurrence is chosen. A null text stays null, an empty one empty. Input columns
     named like the two added ones are replaced; all others are kept. An empty table gives an empty result.
     """
-    docs = docs.drop(*OUTPUT)
+    added = [f"{prefix}{name}" for name in OUTPUT]
+    docs = docs.drop(*added)
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_print", F.xxhash64("_text"))
     # The outer form: for the inner one Spark infers a filter on the array and pushes copies of its formula down.
     chunks = _chunked(keyed, "_text").select("_id", "_print", F.posexplode_outer("_chunks").alias("_at", "_chunk"))
@@ -87,10 +88,10 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = F.array_join(F.transform("_kept", lambda k: F.get("_chunks", k)["text"]), "")
     rows = rows.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("_text")))
     lost = F.coalesce(F.length("_text") - F.length("_rest"), F.lit(0))
-    made = F.struct(F.col("_rest").alias("_rest"), F.coalesce(F.size("_gone"), F.lit(0)).alias(OUTPUT[0]), lost.alias(OUTPUT[1]))
+    made = F.struct(F.col("_rest").alias("_rest"), F.coalesce(F.size("_gone"), F.lit(0)).alias("_count"), lost.alias("_lost"))
     # The generator keeps later filters on the result from being pushed down as copies of these formulas.
     rows = rows.select("_row", F.inline(F.array(made)))
-    return rows.select(*[F.col("_rest").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], *OUTPUT)
+    return rows.select(*[F.col("_rest").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], F.col("_count").alias(added[0]), F.col("_lost").alias(added[1]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

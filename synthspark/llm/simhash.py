@@ -118,7 +118,9 @@ def _signed(value: int) -> int:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row per document: ``id``, ``print``, ``bits``, ``component`` (the smallest id reachable through close fingerprints).
+    """One row per document: ``id``, ``print``, ``bits``, ``group``, ``component`` (the smallest id reachable through close fingerprints).
+
+    ``group`` is the group's smallest fingerprint, which tells groups apart that share an id.
 
     Rows that share an id keep their own rows. A null id never names a component, unless all ids of it are null, and
     then the component is null. Wordless texts share fingerprint 0 and are linked like any others. An empty table
@@ -129,11 +131,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links(distinct.select("bits")), "a", "b")
     joined = roots.join(distinct, roots["node"] == distinct["bits"]).select("bits", "root", "low")
     lows = joined.groupBy("root").agg(F.min("low").alias("component"))
-    linked = joined.join(lows, "root").select("bits", "component", F.lit(True).alias("linked"))
+    linked = joined.join(lows, "root").select("bits", "root", "component")
     named = distinct.join(linked, "bits", "left").select(
-        "bits", F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component")
+        "bits", F.coalesce("root", "bits").alias("group"), F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("low")).alias("component")
     )
-    return rows.join(named, "bits").select("id", "print", "bits", "component")
+    return rows.join(named, "bits").select("id", "print", "bits", "group", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -143,10 +145,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     text any one stays. Rows with a null id are in no group and all stay. Wordless texts are one group.
     """
     groups = stored(simhash_groups(docs, id_col, text_col, width).where("id IS NOT NULL"), "simhash-groups")
-    texts = groups.groupBy("id", "print").agg(F.first("component").alias("component"), F.count("*").alias("n"))
-    leaders = groups.where("id = component").groupBy("component").agg(F.min("print").alias("leader"))
+    # Rows equal in id and text have the same fingerprint, and so the same group.
+    texts = groups.groupBy("id", "print", "group", "component").agg(F.count("*").alias("n"))
+    leaders = groups.where("id = component").groupBy("group").agg(F.min("print").alias("leader"))
     stays = (F.col("id") == F.col("component")) & (F.col("print") == F.col("leader"))
-    marked = texts.join(leaders, "component").select(F.struct("id", "print").alias("__key"), (~stays).alias("__gone"), "n")
+    marked = texts.join(leaders, "group").select(F.struct("id", "print").alias("__key"), (~stays).alias("__gone"), "n")
     marked = marked.where("__gone OR n > 1").select("__key", "__gone")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
     joined = docs.select(F.struct("*").alias("row"), key.alias("__key")).join(marked, "__key", "left")

@@ -169,6 +169,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = _ROUNDS) ->
     A labeller that a class makes neither more nor less likely to vote for it carries no weight. Without any vote the
     prior stays one half.
     """
+    if not len(patterns):
+        return LabelModel(0.5, np.full((patterns.shape[1], 2, 3), 1 / 3))
     yes, no = (patterns == 1).sum(axis=1), (patterns == 0).sum(axis=1)
     chance = (yes + 0.5) / (yes + no + 1.0)
     width = patterns.shape[1]
