@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,17 +12,43 @@ from synthspark.functions import columns as C
 from synthspark.spec import Relationship
 
 
+# Texts longer than this are compared by a hash of 128 bits.
+LONG_VALUE = 64
+
+
 def _key_like(dtype: T.DataType) -> bool:
     return C.is_integer(dtype) or isinstance(dtype, T.StringType)
 
 
-def _stem(name: Column) -> Column:
+def _stem(name: str) -> str:
     """Column name without the table prefix: ``o_custkey`` -> ``custkey``."""
-    return F.lower(F.regexp_replace(name, "^[A-Za-z]{1,2}_", ""))
+    return re.sub("^[A-Za-z]{1,2}_", "", name).lower()
+
+
+def _name_score(parent: str, child: str) -> float:
+    return 1.0 if _stem(parent) == _stem(child) else 0.75 if child.endswith(parent) else 0.0
+
+
+def _candidates(tables: dict[str, DataFrame], least: float) -> list[tuple[str, str, str, str, str, float]]:
+    """``(kind, parent table, column, child table, column, score)`` of all pairs whose names are alike; schema only."""
+    keys = [
+        (table, f.name, "integer" if C.is_integer(f.dataType) else "string")
+        for table, df in tables.items()
+        for f in df.schema.fields
+        if _key_like(f.dataType)
+    ]
+    pairs = [(k, pt, pc, ct, cc, _name_score(pc, cc)) for pt, pc, k in keys for ct, cc, kind in keys if k == kind and pt != ct]
+    return [p for p in pairs if p[-1] >= least]
 
 
-def _distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """``(table_name, column, kind, value, n)`` of all key-like columns of all tables."""
+def _value(name: str) -> Column:
+    """A value as text; long ones by their MD5, which travels lighter."""
+    text = C.quoted(name).cast("string")
+    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+
+
+def _distinct_values(tables: dict[str, DataFrame], wanted: set[tuple[str, str]]) -> DataFrame:
+    """``(table_name, column, kind, value, n)`` of the wanted columns; others are not read."""
     parts = []
     for table, df in tables.items():
         cells = [
@@ -28,10 +56,10 @@ def _distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
                 F.lit(table).alias("table_name"),
                 F.lit(f.name).alias("column"),
                 F.lit("integer" if C.is_integer(f.dataType) else "string").alias("kind"),
-                C.quoted(f.name).cast("string").alias("value"),
+                _value(f.name).alias("value"),
             )
             for f in df.schema.fields
-            if _key_like(f.dataType)
+            if (table, f.name) in wanted
         ]
         if cells:
             long = df.select(F.inline(F.array(*cells))).filter("value is not null")
@@ -42,40 +70,22 @@ def _distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
 def detect_relationships(tables: dict[str, DataFrame], min_name_score: float = 0.5) -> DataFrame:
     """``(parent_table, parent_column, child_table, child_column, name_score, cardinality)``.
 
-    One shuffle by value gathers, per value, the list of columns that hold it; the list is bounded by the
-    schema. A child column is included in a parent when both meet on every distinct value of the child.
-    Names decide between accidental inclusions of number ranges.
+    Names are paired first, from the schemas; only columns with a likely partner are read. One shuffle by value then
+    gathers, per value, the list of columns that hold it; the list is bounded by the schema. A child column is
+    included in a parent when both meet on every distinct value of the child. A parent without repeated values gives
+    ``1:N``; if values repeat on both sides the link is ``N:N``, and goes both ways if each side includes the other.
     """
-    values = _distinct_values(tables)
-    per_column = values.groupBy("table_name", "column", "kind").agg(
-        F.count("*").alias("distinct"), F.max("n").alias("max_rows")
-    )
-    holder = F.struct("table_name", "column")
-    # Names are compared before values meet, so only plausible columns travel.
-    left = per_column.select(
-        F.col("table_name").alias("parent_table"), F.col("column").alias("parent_column"), F.col("kind"),
-        F.col("max_rows").alias("parent_max"),
-    )
-    right = per_column.select(
-        F.col("table_name").alias("child_table"), F.col("column").alias("child_column"), F.col("kind"),
-        F.col("distinct"), F.col("max_rows").alias("child_max"),
-    )
-    score = (
-        F.when(_stem(F.col("parent_column")) == _stem(F.col("child_column")), 1.0)
-        .when(F.col("child_column").endswith(F.col("parent_column")), 0.75)
-        .otherwise(0.0)
-    )
-    # The pairs are pairs of column names, bounded by the schema and not by the data.
-    pairs = (
-        left.filter("parent_max = 1")
-        .join(F.broadcast(right), "kind")
-        .filter("parent_table <> child_table")
-        .withColumn("name_score", score)
-        .filter(F.col("name_score") >= min_name_score)
-    )
+    spark = next(iter(tables.values())).sparkSession
+    pairs = _candidates(tables, min_name_score)
+    names = "kind string, parent_table string, parent_column string, child_table string, child_column string, name_score double"
+    wanted = {(p[1], p[2]) for p in pairs} | {(p[3], p[4]) for p in pairs}
+    if not wanted:
+        return spark.createDataFrame([], names + ", cardinality string").drop("kind")
+    values = _distinct_values(tables, wanted)
+    per_column = values.groupBy("table_name", "column", "kind").agg(F.count("*").alias("distinct"), F.max("n").alias("most"))
     # The condition on the count keeps the columns of this branch equal to the other one's, so both read one
     # exchange and the tables are scanned once.
-    held = values.filter("n > 0").groupBy("kind", "value").agg(F.collect_set(holder).alias("holders"))
+    held = values.filter("n > 0").groupBy("kind", "value").agg(F.collect_set(F.struct("table_name", "column")).alias("holders"))
     met = (
         held.select("kind", "value", F.explode("holders").alias("c"), "holders")
         .select("kind", "value", "c", F.explode("holders").alias("p"))
@@ -87,12 +97,18 @@ def detect_relationships(tables: dict[str, DataFrame], min_name_score: float = 0
         )
         .agg(F.count("*").alias("shared"))
     )
-    keys = ["kind", "parent_table", "parent_column", "child_table", "child_column"]
-    linked = pairs.join(F.broadcast(met), keys).filter("shared = distinct")
-    # Two unique columns include each other both ways only when equal; keep the larger side as parent.
+    # These three tables have a row per column or pair of columns: bounded by the schema and not by the data.
+    parents = per_column.select(F.col("table_name").alias("parent_table"), F.col("column").alias("parent_column"), F.col("most").alias("parent_most"))
+    children = per_column.select(
+        F.col("table_name").alias("child_table"), F.col("column").alias("child_column"), "distinct", F.col("most").alias("child_most")
+    )
+    named = F.broadcast(spark.createDataFrame(pairs, names))
+    linked = met.join(named, ["kind", "parent_table", "parent_column", "child_table", "child_column"])
+    linked = linked.join(F.broadcast(parents), ["parent_table", "parent_column"]).join(F.broadcast(children), ["child_table", "child_column"])
+    linked = linked.filter("shared = distinct AND (parent_most = 1 OR child_most > 1)")
     return linked.select(
         "parent_table", "parent_column", "child_table", "child_column", "name_score",
-        F.when(F.col("parent_max") > 1, "N:N").otherwise("1:N").alias("cardinality"),
+        F.when(F.col("parent_most") > 1, "N:N").otherwise("1:N").alias("cardinality"),
     )
 
 
@@ -111,8 +127,8 @@ def relationship_cardinality(parent: DataFrame, parent_key: str, child: DataFram
 
 
 def collect_relationships(tables: dict[str, DataFrame]) -> list[Relationship]:
-    """Detected links as plain objects, one per pair of columns."""
-    rows = detect_relationships(tables).orderBy("parent_table", "child_table", "child_column").collect()
+    """Detected links to a parent's key as plain objects; N:N links have none and are left to ``detect_relationships``."""
+    rows = detect_relationships(tables).filter("cardinality = '1:N'").orderBy("parent_table", "child_table", "child_column").collect()
     return [
         Relationship(r["parent_table"], r["parent_column"], r["child_table"], r["child_column"], r["cardinality"])
         for r in rows

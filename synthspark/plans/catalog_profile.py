@@ -77,16 +77,18 @@ def _(t):
     return S.sample_rows(t.orders.select("o_orderkey", "o_totalprice"), 500, F.col("o_orderkey"))
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 @query(
     "table_row_counts",
     " UNION ALL ".join(
         f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}"
-        for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+        for n in TABLES
     ),
 )
 def _(t):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    return S.table_row_counts({n: getattr(t, n) for n in names})
+    return S.table_row_counts({n: getattr(t, n) for n in TABLES})
 
 
 # --- profiles --------------------------------------------------------------------------------------------
@@ -294,25 +296,45 @@ def _(t):
     return P.apply_column_mappings(t.derived(MAPPABLE, "customer"), {"balance": "numerical", "c_nationkey": "categorical"})
 
 
-LINKED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Integer and text columns of all tables.
+LINKED = {
+    "region": ("r_regionkey", "r_name$"),
+    "nation": ("n_nationkey", "n_name$", "n_regionkey"),
+    "customer": ("c_custkey", "c_name$", "c_nationkey", "c_mktsegment$"),
+    "supplier": ("s_suppkey", "s_name$", "s_nationkey"),
+    "part": ("p_partkey", "p_name$", "p_brand$", "p_type$", "p_size"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus$", "o_orderpriority$"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag$", "l_linestatus$"),
+    "events": ("event_id", "user_id", "event_type$", "props$"),
+    "documents": ("doc_id", "text$", "lang$", "source$", "n_chars"),
+    "embeddings": ("vec_id", "label"),
+    "pages": ("page_id", "url$", "html$"),
+    "benchmark": ("item_id", "text$"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role$", "text$"),
+}
 
 
 def _links_sql() -> str:
-    """Inclusion, uniqueness and names, checked link by link."""
-    candidates = [
-        ("region", "r_regionkey", "nation", "n_regionkey"), ("nation", "n_nationkey", "customer", "c_nationkey"),
-        ("nation", "n_nationkey", "supplier", "s_nationkey"), ("customer", "c_custkey", "orders", "o_custkey"),
-        ("part", "p_partkey", "lineitem", "l_partkey"), ("supplier", "s_suppkey", "lineitem", "l_suppkey"),
-        ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("customer", "c_name", "part", "p_name"),
-        ("nation", "n_name", "customer", "c_name"), ("supplier", "s_name", "part", "p_name"),
-    ]
-    return " UNION ALL ".join(
-        f"""SELECT '{p}' AS parent_table, '{pc}' AS parent_column, '{c}' AS child_table, '{cc}' AS child_column,
-            1.0::DOUBLE AS name_score, '1:N' AS cardinality
-            WHERE (SELECT count(*) FROM {c} WHERE {cc} IS NOT NULL AND {cc} NOT IN (SELECT {pc} FROM {p})) = 0
-              AND (SELECT count(DISTINCT {pc}) = count(*) FROM {p})"""
-        for p, pc, c, cc in candidates
-    )
+    """Names by their endings behind a prefix of one or two letters, then inclusion and repeats, link by link."""
+    columns = [(t, c) for t, names in LINKED.items() for c in names]
+    bare = lambda c: c[c.find("_") + 1 :] if 1 <= c.find("_") <= 2 else c
+    parts = []
+    for p, pc in columns:
+        for c, cc in columns:
+            score = 1.0 if bare(pc) == bare(cc) else 0.75 if cc.endswith(pc) else 0.0
+            if p == c or not score:
+                continue
+            one, many = pc.rstrip("$"), cc.rstrip("$")
+            parts.append(
+                f"""SELECT '{p}' AS parent_table, '{one}' AS parent_column, '{c}' AS child_table, '{many}' AS child_column,
+                {score}::DOUBLE AS name_score, CASE WHEN p.most > 1 THEN 'N:N' ELSE '1:N' END AS cardinality
+                FROM (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM {p} WHERE {one} IS NOT NULL GROUP BY {one})) p,
+                     (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM {c} WHERE {many} IS NOT NULL GROUP BY {many})) c
+                WHERE (p.most = 1 OR c.most > 1)
+                  AND NOT EXISTS (SELECT 1 FROM {c} WHERE {many} IS NOT NULL AND {many} NOT IN (SELECT {one} FROM {p} WHERE {one} IS NOT NULL))"""
+            )
+    return " UNION ALL ".join(parts)
 
 
 @query("detect_relationships", _links_sql())

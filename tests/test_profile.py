@@ -90,6 +90,19 @@ def test_links_need_matching_names(tables):
     assert found == {("customer", "orders", "o_custkey")}
 
 
+def test_links_by_name_and_repeats(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "x_key int, notes string")
+    many = spark.createDataFrame([(1, "a" * 100), (1, "b"), (2, None)], "y_key int, body string")
+    more = spark.createDataFrame([(1,), (2,), (2,)], "z_key int")
+    found = {tuple(r) for r in R.detect_relationships({"one": one, "many": many, "more": more}).collect()}
+    assert found == {
+        ("one", "x_key", "many", "y_key", 1.0, "1:N"), ("one", "x_key", "more", "z_key", 1.0, "1:N"),
+        ("many", "y_key", "more", "z_key", 1.0, "N:N"), ("more", "z_key", "many", "y_key", 1.0, "N:N"),
+    }
+    assert {r.parent_table for r in R.collect_relationships({"one": one, "many": many, "more": more})} == {"one"}
+    assert R.detect_relationships({"one": one.select("notes"), "many": many.select("body")}).count() == 0
+
+
 def test_many_to_many(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert R.relationship_cardinality(a, "k", a, "k").first()["cardinality"] == "N:N"
