@@ -227,6 +227,10 @@ def _nan_euclidean(features: list[str], target: str):
     return squared
 
 
+# Most moments of all missing patterns together that come to the driver.
+MOMENT_CELLS = 4_000_000
+
+
 def impute_mice(
     df: DataFrame, features: list[str] | None = None, max_iter: int = 10, max_patterns: int = 4096
 ) -> DataFrame:
@@ -235,7 +239,8 @@ def impute_mice(
     Every regression is linear and starts from column means, so the current fill of a row is an affine
     function of its observed cells that depends only on which cells are missing. Moments per missing
     pattern therefore carry the whole iteration, and no round touches the rows again. Tables with more than
-    ``max_patterns`` patterns go through rounds over the rows instead.
+    ``max_patterns`` patterns, or more than ``MOMENT_CELLS`` moments over all of them, go through rounds over the rows
+    instead.
     """
     features = features or C.numeric_columns(df)
     counts = null_counts(df)
@@ -243,7 +248,7 @@ def impute_mice(
     if not holes:
         return impute_columnwise(df)
     d = len(features)
-    pattern = sum(F.when(C.quoted(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(holes))
+    pattern = F.concat(*[F.when(C.quoted(c).isNull(), "1").otherwise("0") for c in holes])
     row = df.agg(
         *[F.avg(C.quoted(c).cast("double")).alias(f"a{i}") for i, c in enumerate(features)],
         *[F.stddev_pop(C.quoted(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)],
@@ -255,8 +260,9 @@ def impute_mice(
         F.coalesce((C.quoted(c).cast("double") - float(centre[i])) / float(scale[i]), F.lit(0.0)) for i, c in enumerate(features)
     ]
     grouped = df.groupBy(pattern.alias("pattern"))
-    n_patterns = 2 ** len(holes) if 2 ** len(holes) <= max_patterns else grouped.count().count()
-    if n_patterns > max_patterns:
+    most = min(max_patterns, max(1, MOMENT_CELLS // (d * d)))
+    n_patterns = 2 ** len(holes) if 2 ** len(holes) <= most else grouped.count().count()
+    if n_patterns > most:
         filled = _mice_by_rounds(df, features, holes, centre, scale, max_iter)
         rest = [c for c in df.columns if c not in features and counts[c]]
         return impute_mode(filled, rest) if rest else filled
@@ -269,9 +275,9 @@ def impute_mice(
     # One row of weights per missing pattern; `max_patterns` bounds what is broadcast.
     table = df.sparkSession.createDataFrame(
         [(p, *[[float(x) for x in rows[j]] if j in rows else None for j in map(features.index, holes)]) for p, rows in fills.items()],
-        "_pattern long, " + ", ".join(f"_w{b} array<double>" for b in range(len(holes))),
+        "_pattern string, " + ", ".join(f"_w{b} array<double>" for b in range(len(holes))),
     )
-    keyed = df.withColumn("_pattern", pattern.cast("long")).join(F.broadcast(table), "_pattern", "left")
+    keyed = df.withColumn("_pattern", pattern).join(F.broadcast(table), "_pattern", "left")
     out = []
     for c in df.columns:
         if c not in holes:
@@ -346,7 +352,7 @@ def _chained_regressions(moments, features, holes, centre, scale, max_iter):
         gram[p] = g
         # Row i + 1 of the map gives the current value of column i; missing ones start at the mean, 0 here.
         a = np.eye(d + 1)
-        lost[p] = [j for b, j in enumerate(hole_ix) if p >> b & 1]
+        lost[p] = [j for b, j in enumerate(hole_ix) if p[b] == "1"]
         for j in lost[p]:
             a[j + 1] = 0.0
         affine[p] = a
