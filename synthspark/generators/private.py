@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthspark.functions import columns as C
-from synthspark.functions.rng import normal, uniform
+from synthspark.functions.rng import normal_quantile, uniform
 from synthspark.generators.copula import ROW, partitions_for
 from synthspark.generators.marginals import category_table
 
@@ -72,7 +72,14 @@ def dp_categorical_columns(types: DataFrame) -> DataFrame:
 
 def secret_seed() -> int:
     """Noise seed from the operating system; a fixed seed belongs in tests only."""
-    return int.from_bytes(os.urandom(7), "big")
+    return int.from_bytes(os.urandom(32), "big")
+
+
+def _secret_uniform(key: Column, label: str, seed: int) -> Column:
+    """Uniform double inside (0, 1) from a cryptographic hash of the secret seed and the cell."""
+    digest = F.sha2(F.concat_ws(":", F.lit(f"{seed}:{label}"), key.cast("string")), 256)
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 52)
 
 
 def _check_cells(domains: Domains, groups: list[tuple[str, ...]]) -> None:
@@ -131,11 +138,11 @@ def _noise(key: Column, epsilon: float, delta: float | None, seed: int) -> Colum
     """Integer noise for a count: two-sided geometric, or rounded Gaussian when a delta is given."""
     if delta is None:
         decay = -1.0 / epsilon
-        one = F.floor(F.log(uniform(key, "n1", seed)) * decay)
-        two = F.floor(F.log(uniform(key, "n2", seed)) * decay)
+        one = F.floor(F.log(_secret_uniform(key, "n1", seed)) * decay)
+        two = F.floor(F.log(_secret_uniform(key, "n2", seed)) * decay)
         return (one - two).cast("long")
     sigma = gaussian_scale(epsilon, delta)
-    return F.round(normal(key, "n", seed) * sigma).cast("long")
+    return F.round(normal_quantile(_secret_uniform(key, "n", seed)) * sigma).cast("long")
 
 
 def noisy_counts(
@@ -149,7 +156,7 @@ def noisy_counts(
     counts = _cell_counts(df, domains, groups)
     # The exact counts are bounded by the domain, which was just checked.
     joined = cells.join(F.broadcast(counts), ["g", "a", "b"], "left")
-    key = F.xxhash64("g", "a", "b")
+    key = F.concat_ws(":", "g", "a", "b")
     noisy = F.coalesce("n", F.lit(0)) + _noise(key, part, None if delta is None else delta / len(groups), seed)
     return joined.select("g", "a", "b", F.greatest(F.lit(0).cast("long"), noisy).alias("n"))
 
