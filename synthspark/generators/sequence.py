@@ -36,7 +36,7 @@ def _check(df: DataFrame, key: str | None, index: str | None) -> None:
         raise ValueError("sequence generation needs a sequence key and a sequence index")
     for c in (key, index):
         if c not in df.columns:
-            raise ValueError(f"column '{c}' not found in DataFrame")
+            raise ValueError(f"column '{c}' is missing from the table")
 
 
 def _index_number(df: DataFrame, index: str) -> Column:

@@ -234,8 +234,8 @@ def validate_thresholds(
 
 def diagnostic_report(shapes: DataFrame, column_threshold: float = COLUMN_THRESHOLD) -> DataFrame:
     """``(column, score, recommendation)`` for degraded columns."""
-    numeric = "Column '%s' (score=%.3f): distribution mismatch — consider increasing training epochs or adjusting normalisation."
-    other = "Column '%s' (score=%.3f): category frequency mismatch — ensure sufficient training data coverage for all categories."
+    numeric = "Column '%s' scores %.3f: its values drift from the real ones; refit its marginal or widen its bounds."
+    other = "Column '%s' scores %.3f: its category shares drift from the real ones; look at its rare categories."
     text = F.when(F.col("sdtype") == "numerical", F.format_string(numeric, "column", "score")).otherwise(
         F.format_string(other, "column", "score")
     )

@@ -95,15 +95,15 @@ _FACTS = f"""WITH t AS {BAD}, f AS (SELECT
     count(o_orderkey) - count(DISTINCT o_orderkey) AS dups,
     count_if(o_orderstatus IS NOT NULL AND NOT regexp_matches(o_orderstatus, '^(?:[FO])')) AS regex_bad FROM t),
   m AS (
-    SELECT 0 AS position, 0 AS part, nulls AS n, concat('Column ''o_orderstatus'' has ', nulls, ' null values (not_null constraint)') AS message FROM f
-    UNION ALL SELECT 1, 0, low, concat('Column ''o_totalprice'' has ', low, ' values below min=5000') FROM f
-    UNION ALL SELECT 1, 1, high, concat('Column ''o_totalprice'' has ', high, ' values above max=300000') FROM f
-    UNION ALL SELECT 2, 0, enum_bad, concat('Column ''o_orderpriority'' has ', enum_bad, ' values not in allowed set. Sample: [', enum_sample, ']') FROM f
-    UNION ALL SELECT 3, 0, orphans, concat('Column ''o_custkey'' has ', orphans, ' FK values not in parent table (', parents, ' valid parent keys)') FROM f
-    UNION ALL SELECT 4, 0, dups, concat('Column ''o_orderkey'' has ', dups, ' duplicate values (unique constraint)') FROM f
-    UNION ALL SELECT 5, 0, regex_bad, concat('Column ''o_orderstatus'' has ', regex_bad, ' values not matching pattern ''[FO]''') FROM f
-    UNION ALL SELECT 6, 0, -1, 'Column ''gone'' not found in DataFrame'
-    UNION ALL SELECT 7, 0, -1, 'Unknown constraint_type ''nonsense'' on column ''o_orderkey'''),
+    SELECT 0 AS position, 0 AS part, nulls AS n, concat('Column ''o_orderstatus'' has ', nulls, ' missing cells where the rule allows none') AS message FROM f
+    UNION ALL SELECT 1, 0, low, concat('Column ''o_totalprice'' has ', low, ' cells smaller than 5000') FROM f
+    UNION ALL SELECT 1, 1, high, concat('Column ''o_totalprice'' has ', high, ' cells larger than 300000') FROM f
+    UNION ALL SELECT 2, 0, enum_bad, concat('Column ''o_orderpriority'' has ', enum_bad, ' cells outside the listed values, among them [', enum_sample, ']') FROM f
+    UNION ALL SELECT 3, 0, orphans, concat('Column ''o_custkey'' has ', orphans, ' cells without a parent; the parent table offers ', parents, ' keys') FROM f
+    UNION ALL SELECT 4, 0, dups, concat('Column ''o_orderkey'' has ', dups, ' cells that repeat an earlier one') FROM f
+    UNION ALL SELECT 5, 0, regex_bad, concat('Column ''o_orderstatus'' has ', regex_bad, ' cells that do not match the pattern ''[FO]''') FROM f
+    UNION ALL SELECT 6, 0, -1, 'Column ''gone'' is missing from the table'
+    UNION ALL SELECT 7, 0, -1, 'Column ''o_orderkey'' carries a rule of the unknown kind ''nonsense'''),
   v AS (SELECT * FROM m WHERE n <> 0)"""
 
 

@@ -188,8 +188,8 @@ def _(t):
 @query(
     "diagnostic_report",
     f"""WITH {BASE}, sh AS ({_shapes_sql(4)}) SELECT "column", score, CASE WHEN sdtype = 'numerical'
-        THEN printf('Column ''%s'' (score=%.3f): distribution mismatch — consider increasing training epochs or adjusting normalisation.', "column", score)
-        ELSE printf('Column ''%s'' (score=%.3f): category frequency mismatch — ensure sufficient training data coverage for all categories.', "column", score)
+        THEN printf('Column ''%s'' scores %.3f: its values drift from the real ones; refit its marginal or widen its bounds.', "column", score)
+        ELSE printf('Column ''%s'' scores %.3f: its category shares drift from the real ones; look at its rare categories.', "column", score)
         END AS recommendation FROM sh WHERE score < 0.95""",
 )
 def _(t):
@@ -405,7 +405,7 @@ _BEST = f"""SELECT run_id, generator_type, epsilon, round({COMPOSITE}, 4) AS com
 
 @query(
     "recommend_config",
-    f"""WITH t AS {POINT_TABLE}, b AS ({_BEST}) SELECT b.*, 'highest weighted composite of fidelity, privacy, and utility' AS reason,
+    f"""WITH t AS {POINT_TABLE}, b AS ({_BEST}) SELECT b.*, 'largest weighted score among the runs that pass both gates' AS reason,
         (SELECT count(*) FROM t) AS candidate_count, (SELECT count(*) FROM t WHERE {_READY}) AS production_ready_count,
         0.5::DOUBLE AS weight_fidelity, 0.5::DOUBLE AS weight_privacy, 0.0::DOUBLE AS weight_utility FROM b""",
 )
@@ -452,7 +452,7 @@ def _(t):
 
 @query(
     "recommend_epsilon",
-    f"""WITH t AS {CURVE} SELECT epsilon, fidelity, round(privacy, 8) AS privacy, 'maximum harmonic mean of fidelity and privacy scores' AS reason
+    f"""WITH t AS {CURVE} SELECT epsilon, fidelity, round(privacy, 8) AS privacy, 'best harmonic mean on the frontier' AS reason
         FROM t ORDER BY 2 * t.fidelity * t.privacy / (t.fidelity + t.privacy + 1e-10) DESC, epsilon LIMIT 1""",
 )
 def _(t):

@@ -31,16 +31,16 @@ def test_messages(frame):
     ]
     got = K.validate(frame, rules)
     assert got[:6] == [
-        "Column 'x' has 1 null values (not_null constraint)",
-        "Column 'x' has 1 values below min=0",
-        "Column 'x' has 1 values above max=100",
-        "Column 'g' has 1 values not in allowed set. Sample: [z]",
-        "Column 'fk' has 1 FK values not in parent table (2 valid parent keys)",
-        "Column 'fk' has 1 duplicate values (unique constraint)",
+        "Column 'x' has 1 missing cells where the rule allows none",
+        "Column 'x' has 1 cells smaller than 0",
+        "Column 'x' has 1 cells larger than 100",
+        "Column 'g' has 1 cells outside the listed values, among them [z]",
+        "Column 'fk' has 1 cells without a parent; the parent table offers 2 keys",
+        "Column 'fk' has 1 cells that repeat an earlier one",
     ]
-    assert got[6] == "Column 'code' has 3 values not matching pattern 'B'"
-    assert got[7].startswith("Invalid regex pattern for column 'code'")
-    assert got[8] == "Column 'gone' not found in DataFrame" and len(got) == 9
+    assert got[6] == "Column 'code' has 3 cells that do not match the pattern 'B'"
+    assert got[7].startswith("Pattern rule of column 'code' cannot be compiled")
+    assert got[8] == "Column 'gone' is missing from the table" and len(got) == 9
 
 
 def test_report_totals(frame):
@@ -104,5 +104,5 @@ def test_apply_until_clean(frame):
     ]
     assert K.validate(K.apply_constraints(frame, rules, keys=["id"]), rules) == []
     hopeless = [Constraint("code", "regex", {"pattern": "Q"})]
-    with pytest.raises(ValueError, match="after 5 iterations"):
+    with pytest.raises(ValueError, match="After 5 rounds"):
         K.apply_constraints(frame, hopeless, keys=["id"], raise_on_unresolvable=True)

@@ -35,8 +35,8 @@ def test_recommendation_without_candidates(spark):
     _, df = points(spark, 9, 1)
     none = E.recommend_config(df.withColumn("fidelity_score", F.lit(0.1)))
     row = none.first()
-    assert row["run_id"] is None and row["reason"].startswith("No production-ready points") and row["production_ready_count"] == 0
-    assert E.recommend_config(df.limit(0)).first()["reason"] == "No evaluation points available"
+    assert row["run_id"] is None and row["reason"].startswith("no run passes both gates") and row["production_ready_count"] == 0
+    assert E.recommend_config(df.limit(0)).first()["reason"] == "there are no runs to compare"
     with pytest.raises(ValueError):
         E.composite(0, 0, 0)
 
