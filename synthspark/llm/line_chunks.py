@@ -78,8 +78,10 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_print").alias("_gone_print"), "_gone")
 
     # The input row travels as one struct, so that its column names cannot clash with those used here.
-    prints = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_print"))
+    prints = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_print"))
     joined = prints.join(gone, (prints["_print"] == gone["_gone_print"]) & prints["_id"].eqNullSafe(gone["_gone_id"]), "left")
+    # Taken out of the row behind the join, so that a text travels once.
+    joined = joined.select("_row", "_gone", F.col("_row")[text_col].alias("_text"))
     # Only texts that lose something are cut again.
     joined = joined.withColumn("_cut", F.when(F.col("_gone").isNotNull(), F.col("_text")))
     rows = _chunked(joined, "_cut")
