@@ -10,22 +10,31 @@ from synthspark.llm import (
     licenses,
     line_chunks,
     packing,
+    reach_workers,
     simhash,
     token_counts,
     weak_quality,
 )
 
+
+def _registered(query):
+    return lambda spark, sf_dir: query(reach_workers(spark), sf_dir)
+
+
 QUERIES = {
-    "op1_token_counts": token_counts.query,
-    "op2_simhash_dedup": simhash.query,
-    "op3_weak_quality": weak_quality.query,
-    "op4_flat_graph": flat_graph.query,
-    "op5_benchmark_windows": decontaminate.query,
-    "op6_language_codes": language_codes.query,
-    "op7_best_fit_packing": packing.query,
-    "op8_line_chunks": line_chunks.query,
-    "op9_licenses": licenses.query,
-    "op10_kd_shards": kd_shards.query,
+    name: _registered(query)
+    for name, query in {
+        "op1_token_counts": token_counts.query,
+        "op2_simhash_dedup": simhash.query,
+        "op3_weak_quality": weak_quality.query,
+        "op4_flat_graph": flat_graph.query,
+        "op5_benchmark_windows": decontaminate.query,
+        "op6_language_codes": language_codes.query,
+        "op7_best_fit_packing": packing.query,
+        "op8_line_chunks": line_chunks.query,
+        "op9_licenses": licenses.query,
+        "op10_kd_shards": kd_shards.query,
+    }.items()
 }
 
 SQL: dict[str, str] = {
