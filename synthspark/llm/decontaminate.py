@@ -2,7 +2,7 @@
 
 Texts become lower-case words and five-word shingles. A document can only reach the threshold for an item if enough of
 its shingles are the item's; around those shingles every window as long as the item is fingerprinted (two 60-bit
-words, one majority bit per position). Fingerprints are cut into twelve 10-bit blocks. Each item lies under every
+words, one majority bit per position). A document shorter than the item is one window. Fingerprints are cut into twelve 10-bit blocks. Each item lies under every
 value within two bits of each of its blocks, so a window whose fingerprint differs in at most ``RADIUS`` bits has a
 block that leads to the item: twelve blocks with three differences each would be more. The pairs found are held
 against the radius and then against the exact similarity of their bags of shingles.
@@ -51,11 +51,11 @@ def _second(shingle: Column) -> Column:
 
 
 def _majority(keys: list[str], rows: DataFrame) -> DataFrame:
-    """Fingerprint words ``hi`` and ``lo`` per group of ``keys``, from rows with ``shingle`` and ``size``."""
+    """Fingerprint words ``hi`` and ``lo`` per group of ``keys``, from rows with ``shingle`` and ``count``."""
     sums = []
     for name, value in (("hi", F.col("shingle")), ("lo", _second(F.col("shingle")))):
         sums += [F.sum(F.shiftrightunsigned(value, j).bitwiseAND(F.lit(_LANES))).alias(f"{name}{j}") for j in range(15)]
-    counted = rows.groupBy(*keys).agg(F.first("size").alias("_size"), *sums)
+    counted = rows.groupBy(*keys).agg(F.first("count").alias("_size"), *sums)
     # Adding 2^14 - 1 - size/2 to each lane carries into its top bit exactly where more than half have the bit.
     bias = (F.lit((1 << 14) - 1).cast("long") - F.shiftright("_size", 1)) * F.lit(_LANES)
 
@@ -88,7 +88,10 @@ def _item_keys(items: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> DataFrame:
-    """Windows ``(_doc, item, start, size, similarity)`` that reach ``least``; ``size`` counts shingles."""
+    """Windows ``(_doc, item, start, size, count, similarity)`` that reach ``least``.
+
+    ``size`` counts the item's shingles and ``count`` the window's: as many, or all of a shorter document.
+    """
     shingled = stored(_shingled(items, F.col("_text"), width).select(F.col("_item").alias("item"), F.col("_shingles").alias("shingles")), "items")
     shingled = shingled.withColumn("size", F.size("shingles"))
     bags = stored(shingled.select("item", "size", F.explode("shingles").alias("shingle")).groupBy("item", "size", "shingle").agg(F.count("*").alias("times")), "item-bags")
@@ -98,11 +101,11 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
 
     spots = _shingled(docs, F.col("_text"), width).select("_doc", F.size("_shingles").alias("length"), F.posexplode_outer("_shingles").alias("at", "shingle"))
     hits = stored(spots.join(wanted, "shingle").select("_doc", "length", "at", "item", "size"), "benchmark-hits")
-    # Two bags of the same size that share s shingles have similarity s / (2 size - s).
-    needed = F.ceil(F.lit(2 * least / (1 + least)) * F.col("size") - F.lit(1e-9))
-    enough = hits.groupBy("_doc", "item", "size").agg(F.count("*").alias("n")).where(F.col("n") >= needed).select("_doc", "item")
+    # Bags of a and b shingles that share s have similarity s / (a + b - s).
+    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("size") + F.least("size", "length")) - F.lit(1e-9))
+    enough = hits.groupBy("_doc", "item", "size", "length").agg(F.count("*").alias("n")).where(F.col("n") >= needed).select("_doc", "item")
     first = F.greatest(F.col("at") - F.col("size") + 1, F.lit(0))
-    last = F.least(F.col("at"), F.col("length") - F.col("size"))
+    last = F.least(F.col("at"), F.greatest(F.col("length") - F.col("size"), F.lit(0)))
     near = hits.join(enough, ["_doc", "item"]).select("_doc", "size", first.alias("first"), last.alias("last")).where("first <= last").distinct()
     starts = near.select("_doc", "size", F.explode(F.sequence("first", "last")).alias("start")).distinct()
     asked = starts.groupBy("_doc").agg(F.collect_list(F.struct("size", "start")).alias("_asked"))
@@ -111,13 +114,15 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     texts = texts.select("_doc", "_asked", F.inline(F.array(F.struct("_shingles"))))
 
     def window(w: Column) -> Column:
-        return F.struct(w["size"].alias("size"), w["start"].alias("start"), F.transform(F.sequence(w["start"], w["start"] + w["size"] - 1), lambda i: F.get("_shingles", i)).alias("shingles"))
+        count = F.least(w["size"], F.size("_shingles"))
+        shingles = F.transform(F.sequence(w["start"], w["start"] + count - 1), lambda i: F.get("_shingles", i))
+        return F.struct(w["size"].alias("size"), w["start"].alias("start"), count.alias("count"), shingles.alias("shingles"))
 
     cut = texts.select("_doc", F.transform("_asked", window).alias("_windows"))
     windows = stored(cut.select("_doc", F.explode_outer("_windows").alias("w")).select("_doc", "w.*"), "windows")
     keys = ["_doc", "size", "start"]
-    prints = _majority(keys, windows.select(*keys, F.explode("shingles").alias("shingle")))
-    item_prints = _majority(["item", "size"], shingled.select("item", "size", F.explode("shingles").alias("shingle")))
+    prints = _majority(keys, windows.select(*keys, "count", F.explode("shingles").alias("shingle")))
+    item_prints = _majority(["item", "size"], shingled.select("item", "size", F.col("size").alias("count"), F.explode("shingles").alias("shingle")))
 
     entries = F.array(*[F.struct(F.lit(k).alias("block"), b.alias("value")) for k, b in enumerate(_blocks())])
     led = prints.select(*keys, "hi", "lo", F.explode(entries).alias("entry")).select(*keys, "hi", "lo", "entry.*")
@@ -125,11 +130,11 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("item_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("item_lo")))
     pairs = led.where(distance <= RADIUS).select(*keys, "item").distinct()
 
-    held = pairs.join(windows, keys).select(*keys, "item", F.explode("shingles").alias("shingle"))
-    held = held.groupBy(*keys, "item", "shingle").agg(F.count("*").alias("here"))
+    held = pairs.join(windows, keys).select(*keys, "count", "item", F.explode("shingles").alias("shingle"))
+    held = held.groupBy(*keys, "count", "item", "shingle").agg(F.count("*").alias("here"))
     shared = held.join(bags.select("item", "shingle", "times"), ["item", "shingle"])
-    shared = shared.groupBy(*keys, "item").agg(F.sum(F.least("here", "times")).alias("s"))
-    return shared.withColumn("similarity", F.col("s") / (2 * F.col("size") - F.col("s"))).where(F.col("similarity") >= least)
+    shared = shared.groupBy(*keys, "count", "item").agg(F.sum(F.least("here", "times")).alias("s"))
+    return shared.withColumn("similarity", F.col("s") / (F.col("size") + F.col("count") - F.col("s"))).where(F.col("similarity") >= least)
 
 
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -166,7 +171,7 @@ def find_leaks(
     for own_width in sorted(sizes["widths"] or [width]):
         part = own.where(F.least("_size", F.lit(width)) == own_width)
         hit = _matches(rows, part.select(F.col("_number").alias("_item"), "_text"), own_width, least)
-        hit = hit.withColumn("words", F.col("size") + (own_width - 1))
+        hit = hit.withColumn("words", F.col("count") + (own_width - 1))
         found = hit if found is None else found.unionByName(hit)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "words")).alias("best")
     top = found.groupBy("_doc", "item").agg(best)
