@@ -128,7 +128,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     distinct = stored(rows.groupBy("bits").agg(F.min("id").alias("low")), "simhash-distinct")
-    roots = components(links(distinct.select("bits")), "a", "b")
+    return grouped(rows, distinct, links(distinct.select("bits")))
+
+
+def grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` ``(id, print, bits)`` with their group over the links ``found``; ``distinct`` has the smallest id of each of ``bits``."""
+    roots = components(found, "a", "b")
     joined = roots.join(distinct, roots["node"] == distinct["bits"]).select("bits", "root", "low")
     lows = joined.groupBy("root").agg(F.min("low").alias("component"))
     linked = joined.join(lows, "root").select("bits", "root", "component")
@@ -144,7 +149,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     If several texts of a group have its smallest id, the one with the smallest hash stays; of rows equal in id and
     text any one stays. Rows with a null id are in no group and all stay. Wordless texts are one group.
     """
-    groups = stored(simhash_groups(docs, id_col, text_col, width).where("id IS NOT NULL"), "simhash-groups")
+    return keep_first(docs, simhash_groups(docs, id_col, text_col, width), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` for the groups ``found``, as ``simhash_groups`` gives them."""
+    groups = stored(found.where("id IS NOT NULL"), "simhash-groups")
     # Rows equal in id and text have the same fingerprint, and so the same group.
     texts = groups.groupBy("id", "print", "group", "component").agg(F.count("*").alias("n"))
     leaders = groups.where("id = component").groupBy("group").agg(F.min("print").alias("leader"))
