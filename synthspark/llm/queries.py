@@ -5,6 +5,7 @@ from __future__ import annotations
 from synthspark.llm import (
     decontaminate,
     flat_graph,
+    harmonic,
     kd_shards,
     language_codes,
     licenses,
@@ -12,7 +13,9 @@ from synthspark.llm import (
     packing,
     reach_workers,
     simhash,
+    spellings,
     token_counts,
+    token_links,
     weak_quality,
 )
 
@@ -34,6 +37,9 @@ QUERIES = {
         "op8_line_chunks": line_chunks.query,
         "op9_licenses": licenses.query,
         "op10_kd_shards": kd_shards.query,
+        "op11_token_links": token_links.query,
+        "op12_spelling_variants": spellings.query,
+        "op13_harmonic_packing": harmonic.query,
     }.items()
 }
 
