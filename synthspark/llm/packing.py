@@ -13,15 +13,18 @@ every tokenising task numbers its pieces per length, and a table of (task, lengt
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,68 +38,173 @@ TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a task remembers, and the longest of them.
 _REMEMBERED = 150_000
 _LONGEST = 64
-# ASCII marks.
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+# Bytes of text encoded at once.
+_SLICE = 1 << 23
+# Latin letters that all versions of the character tables agree on, and ASCII marks but the apostrophe,
+# which a tokenizer's pattern may take together with the letters behind it.
+_PLAIN = r"^(?P<core>[a-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 _PIECE_FIELDS = "piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _nth bigint"
 
 
-class WordIds(dict):
-    """Token ids (little-endian 32-bit) of words between ASCII white space, encoded when first met.
+@dataclass(frozen=True)
+class Merges:
+    """A vocabulary with word ends, as byte strings: a word ends with a zero byte, ``ids`` are its ids by rank."""
 
-    The tokenizer lower-cases, drops white space, and none of its patterns looks across it, so the ids of a text are
-    those of its words one after the other; and a run of marks at a word's end is a pre-token of its own. Words that
-    were not met for a while are forgotten.
-    """
+    ranks: dict[bytes, int]
+    ids: np.ndarray
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
-        self._older: dict[bytes, bytes] = {}
+# Fixed value: the byte-level alphabet, printable Latin-1 as itself and other bytes behind it.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {chr(b): b for b in _PRINTABLE} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_WORD_END = "</w>"
 
-    def _ids(self, word: bytes) -> bytes:
-        return array("I", self._encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self._older.get(word)
-        if ids is None:
-            core = word.rstrip(_MARKS)
-            # The byte before the marks must be a letter or digit for sure, which beyond ASCII is left to the tokenizer.
-            ids = self[core] + self[word[len(core) :]] if len(core) < len(word) and core[-1:].isalnum() else self._ids(word)
-        if len(word) <= _LONGEST:
-            if len(self) >= _REMEMBERED:
-                self._older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+@cache
+def merges(path: str) -> Merges | None:
+    """Merges of a vocabulary file if merging by the merged bytes is the same as merging by pairs, else None.
 
-    def of(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            # Special tokens are matched before anything else; such a text is encoded word by word as it is.
-            return b"".join(map(self._ids, text.split()))
-        return b"".join(map(self.__getitem__, text.lower().split()))
+    It is the same if each token, merged by pairs from its own bytes, comes out whole: wherever two neighbours make up
+    its bytes, they then are the pair that its merge names.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != _WORD_END or model.get("byte_fallback") or model.get("dropout"):
+        return None
+    letters = {b: c for c, b in _ALPHABET.items()}
+    singles = {bytes([b]): model["vocab"].get(letters[b], -1) for b in range(256)}
+    singles |= {bytes([b, 0]): model["vocab"].get(letters[b] + _WORD_END, -1) for b in range(1, 256)}
+    known, by_pair = dict(singles), {}
+    for merge in model["merges"]:
+        left, right = merge if isinstance(merge, list) else merge.split(" ")
+        parts = tuple(bytes(_ALPHABET[c] for c in x.removesuffix(_WORD_END)) + b"\0" * x.endswith(_WORD_END) for x in (left, right))
+        if b"".join(parts) in known:
+            return None
+        known[b"".join(parts)] = model["vocab"][left + right]
+        by_pair[parts] = len(by_pair)
+    for token in known:
+        body = token.removesuffix(b"\0")
+        parts = [bytes([b]) for b in body]
+        if body != token and body:
+            parts[-1] += b"\0"
+        while len(parts) > 1:
+            rank, at = min((by_pair.get((parts[k], parts[k + 1]), len(by_pair)), k) for k in range(len(parts) - 1))
+            if rank == len(by_pair):
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return Merges({token: rank for rank, token in enumerate(known)}, np.array(list(known.values()), "<u4"))
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return pool[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
+
+class WordEncoder:
+    """Token ids of texts by way of their different words.
 
+    The tokenizer lower-cases, drops white space, and none of its patterns looks across it, so the ids of a text are
+    those of its words one after the other. Words of Latin letters, with or without marks behind them, are merged all
+    in one go; a run of marks is a pre-token of its own. Other words go through the tokenizer, which is remembered for
+    a while.
+    """
 
-_word_ids: dict[str, WordIds] = {}
+    def __init__(self, path: str, known: Merges | None) -> None:
+        from tokenizers import Tokenizer
 
+        self._encode = Tokenizer.from_file(path).encode
+        self._met: dict[str, list[int]] = {}
+        self._known = known
+        if known:
+            import tiktoken
 
-def word_ids(path: str) -> WordIds:
-    """One memory of words per worker process, kept from task to task."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+            self._merge = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks=known.ranks, special_tokens={}).encode_to_numpy
+            self._final = np.zeros(len(known.ids), bool)
+            self._final[[rank for token, rank in known.ranks.items() if token.endswith(b"\0")]] = True
 
+    def _ids(self, word: str) -> list[int]:
+        ids = self._met.get(word)
+        if ids is None:
+            ids = self._encode(word, add_special_tokens=False).ids
+            if len(self._met) >= _REMEMBERED:
+                self._met.clear()
+            if len(word) <= _LONGEST:
+                self._met[word] = ids
+        return ids
 
-def _cut(capacity: int, end_id: int, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def _listed(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has, by the tokenizer."""
+        found = [self._ids(word) for word in words.to_pylist()]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters, and how many each has, by merges."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ranks = self._merge("\0".join(words.to_pylist()) + "\0", disallowed_special=())
+        stops = np.flatnonzero(self._final[ranks]) + 1
+        return self._known.ids[ranks], np.diff(stops, prepend=0)
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, and how many each has."""
+        if not self._known:
+            return self._listed(words)
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts = parts.filter(pa.array(plain))
+        tails = parts.field("marks").dictionary_encode()
+        pools, sizes = zip(self._merged(pc.utf8_lower(parts.field("core"))), self._listed(tails.dictionary), self._listed(words.filter(pa.array(~plain))))
+        starts = np.split(np.cumsum(np.concatenate(sizes)) - np.concatenate(sizes), np.cumsum([len(s) for s in sizes])[:-1])
+        # A word is two stretches of the pool: its letters (or all of it) and its marks.
+        at, length = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        tail = tails.indices.to_numpy()
+        for values, (core, mark, other) in ((at, starts), (length, sizes)):
+            values[plain, 0], values[plain, 1], values[~plain, 0] = core, mark[tail], other
+        return _gathered(np.concatenate(pools), at.ravel(), length.ravel()), length.sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; null has none."""
+        # Special tokens are matched before anything else; a text with one is encoded word by word as it is.
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", pc.fill_null(texts, ""))))
+        coded = split.flatten().dictionary_encode()
+        pool, counts = self._word_ids(coded.dictionary)
+        chosen = coded.indices.to_numpy()
+        lengths = counts[chosen]
+        ids = _gathered(pool, (np.cumsum(counts) - counts)[chosen], lengths).astype("<u4").tobytes()
+        stops = 4 * np.append(0, np.cumsum(lengths))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            words = texts[k].as_py().encode().split()
+            found[k] = np.fromiter(chain.from_iterable(self._ids(w.decode()) for w in words), "<u4").tobytes()
+        return found
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoded(path: str, known: Merges | None, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text, a few megabytes of texts at a time, by one encoder per worker process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path, known)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _SLICE)))
+        yield from _encoders[path].encode(texts.slice(first, last - first))
+        first = last
+
+
+def _cut(capacity: int, end_id: int, path: str, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, dealt = word_ids(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        task, dealt = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple[int, ...]] = []
-            for at, value in enumerate(batch.column(1).cast(pa.binary())):
-                ids = memoryview(words.of(value.as_py() or b"") + end)
+            for at, found in enumerate(_encoded(path, shared.value, batch.column(1))):
+                ids = memoryview(found + end)
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     length = len(part) // 4
@@ -239,7 +347,8 @@ def pack(
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    pieces = stored(rows.mapInArrow(_cut(capacity, end_id, path), f"id {kind}, {_PIECE_FIELDS}"), "pieces")
+    known = spark.sparkContext.broadcast(merges(path))
+    pieces = stored(rows.mapInArrow(_cut(capacity, end_id, path, known), f"id {kind}, {_PIECE_FIELDS}"), "pieces")
     counts = pieces.groupBy("_task", "length").agg(F.count("*").alias("n"))
     # At most one row per possible length comes to the driver.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -258,13 +367,13 @@ def sequences(docs: DataFrame, layout: DataFrame, id_col: str = "doc_id", text_c
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     end = np.array([end_id], "<u4").tobytes()
+    known = docs.sparkSession.sparkContext.broadcast(merges(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
         for batch in batches:
             found = []
-            for at, value in enumerate(batch.column(1).cast(pa.binary())):
-                ids = np.frombuffer(words.of(value.as_py() or b"") + end, "<u4").astype(np.int32)
+            for at, encoded in enumerate(_encoded(path, known.value, batch.column(1))):
+                ids = np.frombuffer(encoded + end, "<u4").astype(np.int32)
                 found += [(at, k, ids[s : s + capacity]) for k, s in enumerate(range(0, len(ids), capacity))]
             at, piece, ids = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,12 @@
 """Each operator against a plain version, an exact round trip or held-out accuracy."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -271,12 +273,28 @@ def test_plans_hold_everything():
 
 def test_words_encode_like_texts():
     path = public_tokenizers.path(packing.TOKENIZER)
-    words, encode = packing.WordIds(path), Tokenizer.from_file(path).encode
+    known, encode = packing.merges(path), Tokenizer.from_file(path).encode
+    assert known
     rng = random.Random(1)
-    alphabet = [*"aZé 's.,*'ñÉ", "<|endoftext|>", "<|", "'re", " it's, ", "İ", "中文", "é", "\x85", "\x1f", "½", "_", "'S", "Σ"]
-    for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == encode(text, add_special_tokens=False).ids
+    alphabet = [*"aZé 's.,*'ñÉ\0ªµ-", "<|endoftext|>", "<|", "'re", " it's, ", "İ", "中文", "é", "\x85", "\x1f", "½", "_", "'S", "Σ", "word", "Straße"]
+    made = [None, *["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4000)]]
+    want = {text: encode(text or "", add_special_tokens=False).ids for text in made}
+    for merges in (known, None):
+        packing._encoders.clear()
+        for part in (made, made[:1], made[5:6], made[:0]):
+            got = list(packing._encoded(path, merges, pa.array(part, pa.string())))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want[t] for t in part]
+    packing._encoders.clear()
+
+
+def test_merges_refuse_vocabularies_that_hang_on_pairs(tmp_path):
+    """Here bcd comes from bc and d, but its own bytes merge to b and cd."""
+    letters = [c for c in packing._ALPHABET]
+    vocab = {t: k for k, t in enumerate([*letters, *[c + "</w>" for c in letters], "cd", "bc", "bcd"])}
+    for merges, fine in (([["c", "d"], ["b", "c"], ["bc", "d"]], False), ([["b", "c"], ["c", "d"], ["bc", "d"]], True)):
+        file = tmp_path / f"{fine}.json"
+        file.write_text(json.dumps({"model": {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": vocab, "merges": merges}}))
+        assert (packing.merges(str(file)) is not None) == fine
 
 
 # 8: line dedup
