@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from synthspark.session import stored
+
 # Most documents that the scorers are fitted on.
 SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 15
@@ -192,20 +194,29 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = _ROUNDS) ->
 
 
 def features(bag: Bag) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their values: roots of shares, words and shapes each a unit vector."""
+    """Buckets and how many words fall into them; every word has one for itself and one for its shape."""
     if not bag.words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, "<u2"), np.zeros(0, np.uint8)
     places, inverse = np.unique(bag.traits[:, :2], return_inverse=True)
-    shares = np.bincount(inverse.ravel(), weights=np.repeat(bag.times, 2)) / bag.words
-    return places.astype(np.int32), np.sqrt(shares).astype(np.float32)
+    counts = np.bincount(inverse.ravel(), weights=np.repeat(bag.times, 2))
+    return places.astype("<u2"), counts.astype(np.uint8 if counts.max() < 256 else "<u4")
+
 
+def _flat(places: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all rows, their values (roots of shares, words and shapes each a unit vector) and the row of each."""
+    sizes = np.array([len(p) // 2 for p in places], np.int64)
+    owner = np.repeat(np.arange(len(places)), sizes)
+    flat = [np.frombuffer(c, np.uint8 if len(c) == n else "<u4").astype(np.float64) for c, n in zip(counts, sizes.tolist())]
+    held = np.concatenate([np.zeros(0), *flat])
+    words = np.bincount(owner, weights=held, minlength=len(places)) / 2
+    return np.frombuffer(b"".join(places), "<u2").astype(np.int64), np.sqrt(held / words[owner]), owner
 
-def _fit_scorer(places: np.ndarray, values: np.ndarray, starts: np.ndarray, soft: np.ndarray) -> np.ndarray:
+
+def _fit_scorer(places: np.ndarray, values: np.ndarray, owner: np.ndarray, soft: np.ndarray) -> np.ndarray:
     """Logistic scorer of soft labels over sparse rows; both classes weigh the same; the last weight is the constant."""
-    rows = len(starts) - 1
+    rows = len(soft)
     weights = np.zeros(BUCKETS + 1)
     ahead = weights.copy()
-    owner = np.repeat(np.arange(rows), np.diff(starts))
     balance = soft / max(soft.sum(), 1e-9) / 2 + (1 - soft) / max((1 - soft).sum(), 1e-9) / 2
     for k in range(_STEPS):
         out = np.bincount(owner, weights=values * ahead[places], minlength=rows) + ahead[-1]
@@ -230,51 +241,59 @@ class QualityModel:
 TASKS = {"quality": QUALITY, "abuse": ABUSE}
 
 
-def _votes(with_features: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                bag = Bag(text)
-                facts = Facts.of(text, bag)
-                places, shares = features(bag) if with_features else (np.zeros(0, np.int32), np.zeros(0, np.float32))
-                rows.append((*[[rule(facts) for rule in rules.values()] for rules in TASKS.values()], places.tobytes(), shares.tobytes()))
-            columns = list(zip(*rows)) if rows else [()] * (len(TASKS) + 2)
-            kinds = [pa.list_(pa.int32())] * len(TASKS) + [pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*TASKS, "places", "shares"])
+_FEATURES = "draw bigint, " + ", ".join(f"{t} array<int>" for t in TASKS) + ", places binary, counts binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for value in batch.column(2):
+            text = value.as_py() or ""
+            bag = Bag(text)
+            facts = Facts.of(text, bag)
+            rows.append((*[[rule(facts) for rule in rules.values()] for rules in TASKS.values()], *(x.tobytes() for x in features(bag))))
+        columns = list(zip(*rows)) if rows else [()] * (len(TASKS) + 2)
+        kinds = [pa.list_(pa.int32())] * len(TASKS) + [pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["id", "draw", *TASKS, "places", "counts"])
 
-    return run
 
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, draw, votes per task, places, counts)`` per row: all that fitting and scoring need, from one reading of the texts.
+
+    ``draw`` is the hash of id and text that sampling goes by. Null and empty texts vote like texts without words.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit("quality"), F.col(id_col), text).alias("draw"), text.alias("text"))
+    return rows.mapInArrow(_read, f"id {rows.schema['id'].dataType.simpleString()}, {_FEATURES}")
 
-def learn(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Label models from the votes on all documents, scorers from a bounded sample of them (picked by text hash).
 
-    Null and empty texts vote like texts without words. An empty table gives a model that scores everything one half.
+def fit(table: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Label models from the votes of all rows of a stored ``featurize`` table, scorers from the ``sample_rows`` rows drawn first.
+
+    Which rows are drawn does not hang on the table's partitions. An empty table gives a model that scores everything one half.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"{t} array<int>" for t in TASKS)
-    counted = texts.mapInArrow(_votes(False), f"{schema}, places binary, shares binary").groupBy(*TASKS).agg(F.count("*").alias("n")).collect()
+    counted = table.groupBy(*TASKS).agg(F.count("*").alias("n")).collect()
     labels = {}
     for task, rules in TASKS.items():
         patterns = np.array([r[task] for r in counted], np.int64).reshape(-1, len(rules))
         labels[task] = estimate(patterns, np.array([r["n"] for r in counted], float))
-    total = sum(r["n"] for r in counted)
-    reach = min(1.0, 1.5 * sample_rows / max(1, total))
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) < int(reach * (1 << 30)))
-    taken = drawn.mapInArrow(_votes(True), f"{schema}, places binary, shares binary").limit(sample_rows).toArrow()
-    places = [np.frombuffer(b, np.int32) for b in taken.column("places").to_pylist()]
-    shares = [np.frombuffer(b, np.float32) for b in taken.column("shares").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)
-    flat = (np.concatenate(places) if places else np.zeros(0, np.int32)), (np.concatenate(shares) if shares else np.zeros(0, np.float32))
+    # The last draw is found first, on that column alone.
+    last = table.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
+    taken = table.where(F.col("draw") <= F.lit(last)).orderBy("draw").limit(sample_rows).select(*TASKS, "places", "counts").toArrow()
+    places, values, owner = _flat(taken.column("places").to_pylist(), taken.column("counts").to_pylist())
     scorers = {}
     for task, rules in TASKS.items():
         patterns = np.array(taken.column(task).to_pylist(), np.int64).reshape(-1, len(rules))
         soft = labels[task].posterior(patterns) if len(patterns) else np.zeros(0)
-        scorers[task] = _fit_scorer(*flat, starts, soft) if len(soft) else np.zeros(BUCKETS + 1)
+        scorers[task] = _fit_scorer(places, values, owner, soft) if len(soft) else np.zeros(BUCKETS + 1)
     return QualityModel(tuple(TASKS), labels, scorers)
 
 
+def learn(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> QualityModel:
+    """``fit`` on documents."""
+    return fit(stored(featurize(docs, id_col, text_col), "quality"), sample_rows)
+
+
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, quality_label, quality, abuse_label, abuse, kept)`` per row.
 
@@ -282,35 +301,35 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     it good, and neither scorer nor votes find it abusive. Null, empty and wordless texts are not kept. Null ids and
     repeated rows are scored like any others; texts are read whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_features(featurize(docs, id_col, text_col), model)
+
+
+def score_features(table: DataFrame, model: QualityModel) -> DataFrame:
+    """``score`` from a ``featurize`` table."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
     fields = [f"{t}{s}" for t in TASKS for s in ("_label", "")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                bag = Bag(text)
-                facts = Facts.of(text, bag)
-                places, shares = features(bag)
-                row = []
-                for task, rules in TASKS.items():
-                    pattern = np.array([[rule(facts) for rule in rules.values()]], np.int64)
-                    out = float(shares @ known.scorers[task][places] + known.scorers[task][-1])
-                    row += [float(known.labels[task].posterior(pattern)[0]), 1 / (1 + math.exp(-max(-50.0, min(50.0, out))))]
-                kept = bag.words > 0 and row[1] >= 0.5 and not (row[3] >= 0.5 and row[2] >= 0.01) and row[2] < 0.5
-                found.append((*row, kept))
-            columns = list(zip(*found)) if found else [()] * (len(fields) + 1)
-            arrays = [pa.array(c, pa.float64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *fields, "kept"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{f} double" for f in fields) + ", kept boolean")
+            found = batch.column("places").to_pylist()
+            places, values, owner = _flat(found, batch.column("counts").to_pylist())
+            made = {}
+            for task, rules in TASKS.items():
+                patterns = batch.column(task).flatten().to_numpy().reshape(-1, len(rules)).astype(np.int64)
+                made[f"{task}_label"] = known.labels[task].posterior(patterns)
+                out = np.bincount(owner, weights=values * known.scorers[task][places], minlength=len(found)) + known.scorers[task][-1]
+                made[task] = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
+            quality, abuse, abuse_label = made["quality"], made["abuse"], made["abuse_label"]
+            worded = np.array([len(p) > 0 for p in found], bool)
+            kept = worded & (quality >= 0.5) & ~((abuse >= 0.5) & (abuse_label >= 0.01)) & (abuse_label < 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[f]) for f in fields], pa.array(kept)], ["id", *fields, "kept"])
+
+    kind = table.schema["id"].dataType.simpleString()
+    return table.drop("draw").mapInArrow(run, f"id {kind}, " + ", ".join(f"{f} double" for f in fields) + ", kept boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Quality and abuse scores of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, learn(docs)).withColumnRenamed("id", "doc_id")
+    table = stored(featurize(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality")
+    return score_features(table, fit(table)).withColumnRenamed("id", "doc_id")
