@@ -211,9 +211,9 @@ def _spill(a_path: str | None, b_path: str | None) -> Callable[[Iterator[pa.Reco
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            other = pieces(b_path).encode(texts)
-            for id_, text, b_ids in zip(batch.column(0).to_pylist(), texts, other):
+            for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py()
+                b_ids = pieces(b_path).encode([text])[0] if text else []
                 doc = align(text, b_ids, a_path, b_path) if text else None
                 ids.append(id_)
                 found.append(doc)
