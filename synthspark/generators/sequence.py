@@ -8,9 +8,11 @@ of a sequence can be made on its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from synthspark.functions import columns as C
 from synthspark.functions.rng import md5_index, normal_cdf, normal_quantile, uniform
 from synthspark.generators.copula import ROW, CopulaModel, copula_fit, factor_of, score_correlation
 from synthspark.generators.marginals import KNOTS, Marginal, fit_marginals, normal_scores
+from synthspark.generators.recurrence import AffineMaps, autocorrelations, blocks_of, companion, lagged, regress, respond, root_of, scan, season_of, stabilised, stationary
 from synthspark.operators.constraints import indexed_keys
 from synthspark.operators.history import previous
 from synthspark.operators.profile import sdtypes as detect
@@ -29,6 +32,8 @@ PIECE = 500
 FORGOTTEN = 1e-8
 # Steps per time chunk aimed at when sequences are numbered.
 CHUNK_STEPS = 1_000_000
+# Steps a task makes.
+PART_STEPS = 100_000
 
 
 def _check(df: DataFrame, key: str | None, index: str | None) -> None:
@@ -211,49 +216,77 @@ def par_synth(
 
 @dataclass
 class LongSequenceModel:
-    """Autoregression over several lags and a table of residual blocks."""
+    """A season, a vector autoregression around it and a table of residual blocks."""
 
     spark: SparkSession
     key: str
     index: str
-    measure: Marginal
-    lags: list[int]
+    measures: list[Marginal]
+    # Mean scores per phase (one phase without a season).
+    season: np.ndarray
     weights: np.ndarray
+    covariance: np.ndarray
     blocks: DataFrame
     n_blocks: int
     segment: int
     length: int
 
     def sample(self, sequences: int, length: int | None = None, seed: int = 0) -> DataFrame:
-        """``(key, index, measure)``: steps are numbered from 0; residuals come in whole blocks.
+        """``(key, index, measures)``: steps are numbered from 0; residuals come in whole blocks.
 
-        A sequence is one row of bounded length until its steps are laid out at the end.
+        Every segment is made by a task of its own, from the state that the segments before it lead to.
         """
         length = length or self.length
+        lags, d, _ = self.weights.shape
         n_segments = math.ceil(length / self.segment)
         base = self.spark.range(0, sequences).withColumnRenamed("id", ROW)
-        wanted = base.select(ROW, F.explode(F.sequence(F.lit(0), F.lit(n_segments - 1))).alias("_b"))
+        wanted = base.select(ROW, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_segments - 1).cast("long"))).alias("_b"))
         pick = md5_index(F.concat_ws(":", F.col(ROW), F.col("_b")), f"block:{seed}", self.n_blocks)
-        drawn = wanted.withColumn("_index", pick).join(self.blocks, "_index")
-        # At most `length` residuals per sequence.
-        gathered = drawn.groupBy(ROW).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_b", "residuals"))).getField("residuals")).alias("_r"))
-        p = max(self.lags)
-        weights = [float(w) for w in self.weights]
-
-        def step(ys: Column, r: Column) -> Column:
-            y = F.lit(weights[0]) + r
-            for w, lag in zip(weights[1:], self.lags):
-                y = y + w * F.element_at(ys, -lag)
-            return F.concat(ys, F.array(y))
-
-        start = F.array_repeat(F.lit(0.0), p)
-        walk = F.aggregate(F.slice(F.col("_r"), 1, length), start, step)
-        made = gathered.select(ROW, F.slice(walk, p + 1, length).alias("_y"))
-        rows = made.select(ROW, F.posexplode("_y").alias("_t", "_z"))
-        rows = rows.withColumn("_p", normal_cdf(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col("_z")))))
-        return rows.select(
-            (F.col(ROW) + 1).alias(self.key), F.col("_t").cast("long").alias(self.index), self.measure.value(F.col("_p")).alias(self.measure.name)
-        )
+        # Tasks by steps, however few sequences there are.
+        parts = math.ceil(sequences * n_segments * self.segment / PART_STEPS)
+        drawn = stored(wanted.withColumn("_index", pick).join(self.blocks, "_index").select(ROW, "_b", "residuals"), "segments")
+        weights, segment, season = self.weights, self.segment, self.season
+        matrix = companion(weights)
+        noise = np.zeros_like(matrix)
+        noise[:d, :d] = self.covariance
+        root = root_of(stationary(matrix, noise))
+
+        def noise_of(batch: pa.RecordBatch) -> np.ndarray:
+            return batch.column("residuals").flatten().to_numpy().reshape(batch.num_rows, segment, d)
+
+        def respond_to_nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, last = respond(weights, np.zeros((batch.num_rows, lags * d)), noise_of(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("_b"), pa.array(list(last), pa.list_(pa.float64()))], [ROW, "_b", "_summary"])
+
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                drawn = [np.random.Generator(np.random.Philox(key=[seed & (1 << 63) - 1, row])).standard_normal(len(root)) for row in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([root @ x for x in drawn], pa.list_(pa.float64()))], [ROW, "_state"])
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                state = batch.column("_state").flatten().to_numpy().reshape(batch.num_rows, lags * d)
+                steps, _ = respond(weights, state, noise_of(batch))
+                at = (batch.column("_b").to_numpy()[:, None] * segment + np.arange(segment)).ravel()
+                values = steps.reshape(-1, d) + season[at % len(season)]
+                inside = at < length
+                owner = np.repeat(batch.column(ROW).to_numpy(), segment)[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(at[inside]), *[pa.array(values[inside, i]) for i in range(d)]], [ROW, "_t", *[f"_z{i}" for i in range(d)]])
+
+        starts = base.mapInArrow(begin, f"`{ROW}` bigint, _state array<double>")
+        summaries = drawn.mapInArrow(respond_to_nothing, f"`{ROW}` bigint, _b bigint, _summary array<double>")
+        states = scan(summaries, starts, AffineMaps(np.linalg.matrix_power(matrix, segment)), n_segments, ROW)
+        fields = f"`{ROW}` bigint, _t bigint, " + ", ".join(f"_z{i} double" for i in range(d))
+        rows = drawn.repartition(parts, ROW, "_b").join(states.repartition(parts, ROW, "_b"), [ROW, "_b"]).mapInArrow(walk, fields)
+        bounded = [normal_cdf(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col(f"_z{i}")))).alias(f"_p{i}") for i in range(d)]
+        made = rows.select(ROW, "_t", *bounded)
+        cell = F.xxhash64(ROW, "_t")
+        values = []
+        for i, m in enumerate(self.measures):
+            value = m.value(F.col(f"_p{i}"))
+            values.append((F.when(uniform(cell, f"n:{m.name}", seed) >= m.null_share, value) if m.null_share > 0 else value).alias(m.name))
+        return made.select((F.col(ROW) + 1).alias(self.key), F.col("_t").alias(self.index), *values)
 
 
 def _numbered_steps(named: DataFrame) -> DataFrame:
@@ -271,53 +304,65 @@ def _numbered_steps(named: DataFrame) -> DataFrame:
 
 
 def long_sequence_fit(
-    df: DataFrame, key: str, index: str, measure: str, segment_size: int = 50, lags: tuple[int, ...] = (1, 2, 3)
+    df: DataFrame,
+    key: str,
+    index: str,
+    measure: str | list[str],
+    segment_size: int = 50,
+    lags: int | tuple[int, ...] = 3,
+    max_season: int = 200,
+    season: int | None = None,
 ) -> LongSequenceModel:
-    """Regress normal scores on several lags over all steps of each sequence.
+    """Season and vector autoregression of normal scores over all steps of each sequence, all measures at once.
 
-    Steps are numbered in time chunks; lags are looked up in blocks that hold the last steps of the block before, so no
-    task needs a whole sequence.
+    Steps are numbered in time chunks and looked at in blocks that hold the last steps of the block before, so no task
+    needs a whole sequence. The season is the clearest peak of the autocorrelation up to lag ``max_season``, unless it
+    is given (0: none); its phase is counted from the first step of a sequence. All lags up to the longest take part.
+    A missing measure counts as its median.
     """
     _check(df, key, index)
-    marginal = fit_marginals(df.select(measure), {measure: "numerical"}, "empirical")[0]
-    scores = normal_scores(df, [marginal], [C.quoted(key), _index_number(df, index)])
-    named = scores.select(F.col("_keep0").alias("k"), F.col("_keep1").alias("x"), F.col("s0").alias("s")).filter("s is not null")
-    numbered = stored(_numbered_steps(named), "steps")
-    reach, size = max(lags), max(segment_size, 50 * max(lags))
-    home = F.floor((F.col("_n") - 1) / size)
-    blocks = F.array_distinct(F.array(home, F.floor((F.col("_n") - 1 + reach) / size)))
-    spread = numbered.select("*", home.alias("_home"), F.explode(blocks).alias("_block"))
-    order = Window.partitionBy("k", "_block").orderBy("_n")
-    with_lags = spread.select("*", *[F.lag("s", lag).over(order).alias(f"l{lag}") for lag in lags])
-    full = with_lags.filter((F.col("_block") == F.col("_home")) & (F.col("_n") > reach)).drop("_home", "_block")
-    names = ["s", *[f"l{lag}" for lag in lags]]
-    row = full.agg(
-        F.count("*").alias("n"),
-        *[F.sum(a).alias(f"s_{a}") for a in names],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"g_{a}_{b}") for i, a in enumerate(names) for b in names[i:]],
-    ).first()
-    size = len(lags) + 1
-    gram, xy = np.zeros((size, size)), np.zeros(size)
-    gram[0, 0], xy[0] = row["n"], row["s_s"] or 0.0
-    for i, a in enumerate(names[1:], 1):
-        gram[0, i] = gram[i, 0] = row[f"s_{a}"] or 0.0
-        xy[i] = row[f"g_s_{a}"] or 0.0
-        for j, b in enumerate(names[1:], 1):
-            if j >= i:
-                gram[i, j] = gram[j, i] = row[f"g_{a}_{b}"] or 0.0
-    weights = np.linalg.solve(gram + 1e-9 * np.eye(size), xy)
-    fitted = F.lit(float(weights[0]))
-    for w, lag in zip(weights[1:], lags):
-        fitted = fitted + float(w) * F.col(f"l{lag}")
-    residuals = full.select("k", (F.floor((F.col("_n") - 1) / segment_size)).alias("b"), "_n", (F.col("s") - fitted).alias("r"))
-    blocks = residuals.groupBy("k", "b").agg(
-        F.sort_array(F.collect_list(F.struct("_n", "r"))).getField("r").alias("residuals")
-    )
-    # Short last blocks are filled up by their own start, so that every block has the same size.
-    fill = F.slice(F.flatten(F.array_repeat(F.col("residuals"), segment_size)), 1, segment_size)
-    whole = blocks.select(F.concat_ws(":", "k", "b").alias("_key"), fill.alias("residuals"))
-    drawable = indexed_keys(whole.select("_key")).join(whole, "_key").select("_index", "residuals")
+    names = [measure] if isinstance(measure, str) else list(measure)
+    lags = lags if isinstance(lags, int) else max(lags)
+    marginals = fit_marginals(df.select(*[C.quoted(c) for c in names]), {c: "numerical" for c in names}, "empirical")
+    unusable = [m.name for m in marginals if not m.modelled]
+    if unusable:
+        raise ValueError(f"columns {unusable} cannot follow an autoregression")
+    d = len(marginals)
+    scores = normal_scores(df, marginals, [C.quoted(key), _index_number(df, index)])
+    vector = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(d)])
+    numbered = stored(_numbered_steps(scores.select(F.col("_keep0").alias("k"), F.col("_keep1").alias("x"), vector.alias("s"))), "steps")
+    reach = max(lags, max_season if season is None else 0)
+    size = segment_size * max(10, math.ceil(4 * reach / segment_size))
+    blocks = stored(blocks_of(numbered, size, reach), "step-blocks")
+    if season is None:
+        season = season_of(*autocorrelations(blocks, d, max_season))
+    phases = np.zeros((max(1, season), d))
+    if season:
+        phase = F.pmod(F.col("_n") - 1, F.lit(season))
+        for r in numbered.groupBy(phase.alias("phase")).agg(*[F.avg(F.col("s")[i]).alias(f"m{i}") for i in range(d)]).collect():
+            phases[r["phase"]] = [r[f"m{i}"] for i in range(d)]
+    weights, covariance = regress(blocks, d, lags, phases)
+    weights = stabilised(weights)
+
+    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = weights.transpose(1, 0, 2).reshape(d, lags * d)
+        for batch in batches:
+            keys, found = [], []
+            for name, block, first, home, values in zip(*(batch.column(c).to_pylist() for c in ("name", "_block", "first", "home")), batch.column("values")):
+                rows = lagged(values.values.to_numpy().reshape(-1, d), home - first, home, lags, phases)
+                rest = rows[:, :d] - rows[:, d:] @ flat.T
+                for at in range(0, len(rest), segment_size):
+                    part = rest[at : at + segment_size]
+                    # A short last segment is filled up by its own start, so that all have the same size.
+                    found.append(np.resize(part, (segment_size, d)).ravel())
+                    keys.append(f"{name}:{block}:{at}")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.float64()))], ["_key", "residuals"])
+
+    named = blocks.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("name"), "_block", "first", "home", "values")
+    whole = stored(named.mapInArrow(residuals, "_key string, residuals array<double>"), "residuals")
+    count = whole.count()
+    if not count:
+        raise ValueError(f"no sequence has more than {lags} steps")
+    drawable = stored(indexed_keys(whole.select("_key")).join(whole, "_key").select("_index", "residuals"), "residuals")
     longest = numbered.agg(F.max("_n").alias("m")).first()["m"]
-    return LongSequenceModel(
-        df.sparkSession, key, index, marginal, list(lags), weights, drawable, whole.count(), segment_size, longest
-    )
+    return LongSequenceModel(df.sparkSession, key, index, marginals, phases, weights, covariance, drawable, count, segment_size, longest)

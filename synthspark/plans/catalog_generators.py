@@ -5,8 +5,11 @@ Synthetic rows have no SQL twin, so these queries return facts about them: sizes
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from synthspark.functions.rng import normal
 from synthspark.generators import copula as G
 from synthspark.generators.latent import latent_fit
 from synthspark.generators.linked import hma_synth
@@ -308,6 +311,43 @@ def _(t):
     return made.agg(F.count_distinct("user_id").alias("sequences"), F.count("*").alias("n_rows"), F.lit(score > 0.85).alias("value_close"))
 
 
+@query(
+    "long_sequence_season",
+    """SELECT count(*) AS fitted_steps, 24::BIGINT AS season, 1::BIGINT AS sequences, 2 * count(*) AS n_rows, true AS values_close, true AS season_close,
+          true AS measures_together, true AS steps_together FROM events""",
+)
+def _(t):
+    """All events as one sequence with a season of 24 steps in two measures that hang together."""
+    turn = F.sin(2 * math.pi * F.pmod("event_id", F.lit(24)) / 24)
+    load = F.col("value") / F.lit(20.0) + 3.0 * turn
+    real = t.events.select(F.lit(1).alias("k"), "event_id", load.alias("load"), (0.5 * load + normal(F.col("event_id"), "events")).alias("echo"))
+    model = long_sequence_fit(real, "k", "event_id", ["load", "echo"])
+    made = stored(model.sample(1, 2 * model.length, seed=3))
+
+    def facts(df, step):
+        """Correlation of the measures, of a measure with its last step, and its mean per phase."""
+        before = df.select((F.col(step) + 1).alias(step), F.col("load").alias("last"))
+        lag = df.join(before, step).agg(F.corr("load", "last").alias("r")).first()["r"]
+        phases = df.groupBy(F.pmod(F.col(step), F.lit(24)).alias("p")).agg(F.avg("load").alias("m")).orderBy("p").collect()
+        return df.agg(F.corr("load", "echo").alias("r")).first()["r"], lag, [r["m"] for r in phases]
+
+    first = real.agg(F.min("event_id").alias("e")).first()["e"]
+    steps = real.withColumn("event_id", F.col("event_id") - first)
+    (together, lag, phases), (made_together, made_lag, made_phases) = facts(steps, "event_id"), facts(made, "event_id")
+    swing = max(phases) - min(phases)
+    shape = min(r["score"] for r in Q.column_shapes(real.select("load", "echo"), made.select("load", "echo"), {"load": "numerical", "echo": "numerical"}).collect())
+    return made.agg(
+        F.lit(model.length).cast("long").alias("fitted_steps"),
+        F.lit(len(model.season)).cast("long").alias("season"),
+        F.count_distinct("k").alias("sequences"),
+        F.count("*").alias("n_rows"),
+        F.lit(shape > 0.9).alias("values_close"),
+        F.lit(max(abs(a - b) for a, b in zip(phases, made_phases)) < 0.15 * swing).alias("season_close"),
+        F.lit(abs(together - made_together) < 0.08).alias("measures_together"),
+        F.lit(abs(lag - made_lag) < 0.08).alias("steps_together"),
+    )
+
+
 # --- whole jobs --------------------------------------------------------------------------------------------------
 
 

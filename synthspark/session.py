@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,16 @@ _local_folders: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that was built elsewhere."""
+    """Apply the settings to a session that was built elsewhere.
+
+    Python workers find this package where the driver found it, unless they have it otherwise.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 
@@ -49,7 +57,7 @@ def local_session(
         builder = builder.config(key, value)
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
-    spark = builder.getOrCreate()
+    spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -118,7 +118,9 @@ def test_stream_equals_batch(files):
     assert rows(J.window_profile(df, "ts", "x", "g", "1 day")) == rows(J.stream_profile(stream, "ts", "x", "g", out))
     merged = J.moments_summary(J.stream_fit(stream, ["x", "id"], out), ["x", "id"])
     whole = J.moments_summary(df.agg(*J.moment_columns(["x", "id"])), ["x", "id"])
-    assert rows(merged) == rows(whole)
+    # Sums of doubles differ in their last bits with the order of the files.
+    for got, want in zip(rows(merged), rows(whole), strict=True):
+        assert got[:2] == want[:2] and got[2:] == pytest.approx(want[2:], rel=1e-12, abs=1e-12)
     rules = [Constraint("x", "range", {"max": 6}), Constraint("g", "enum", {"allowed_values": ["0", "1"]})]
     clean, bad = J.stream_validate(stream, rules, out)
     want = J.tagged_violations(df, rules)
