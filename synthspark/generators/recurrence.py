@@ -253,3 +253,51 @@ def lagged(values: np.ndarray, before: int, home: int, lags: int, season: np.nda
     if start >= len(values):
         return np.zeros((0, (lags + 1) * values.shape[1]))
     return np.concatenate([around[start - k : len(values) - k] for k in range(lags + 1)], axis=1)
+
+
+def gram_of(rows: DataFrame, width: int) -> np.ndarray:
+    """Sum of v v' over the arrays ``v`` of ``width`` numbers, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy().reshape(-1, width)
+            total += values.T @ values
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["at", "part"])
+
+    parts = rows.select("v").mapInArrow(run, "at bigint, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
+    total = np.zeros(width * width)
+    for r in parts:
+        total[r["at"]] = r["part"]
+    return total.reshape(width, width)
+
+
+# --- chains of categories ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Chain:
+    """A Markov chain per context: cumulative first shares (contexts, states) and moves (contexts, states, states)."""
+
+    first: np.ndarray
+    moves: np.ndarray
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, prior: float = 5.0) -> Chain:
+        """From counts (contexts, before, after); a context with few moves leans on all of them."""
+        pooled = counts.sum(axis=0)
+        shares = (pooled.sum(axis=0) + pooled.sum(axis=1) + 1e-9) / (2 * pooled.sum() + 1e-9 * len(pooled))
+        usual = (pooled + prior * shares) / (pooled.sum(axis=1, keepdims=True) + prior)
+        moves = (counts + prior * usual) / (counts.sum(axis=2, keepdims=True) + prior)
+        first = (counts.sum(axis=2) + prior * shares) / (counts.sum(axis=(1, 2))[:, None] + prior)
+        return cls(np.cumsum(first, axis=1), np.cumsum(moves, axis=2))
+
+    @property
+    def states(self) -> int:
+        return self.first.shape[1]
+
+    def begin(self, context: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        return np.minimum((self.first[context] < draw[..., None]).sum(axis=-1), self.states - 1)
+
+    def step(self, context: np.ndarray, state: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        return np.minimum((self.moves[context, state] < draw[..., None]).sum(axis=-1), self.states - 1)

@@ -1,8 +1,8 @@
 """Sequence generators: static context per sequence, autoregressive steps.
 
 Fitting needs the previous row of a sequence; it is found inside time chunks, so a sequence that holds most
-of the rows is many tasks. Sampling is free of windows: noise is a function of (sequence, step), so any piece
-of a sequence can be made on its own.
+of the rows is many tasks. Sampling is free of windows: draws are a function of sequence and piece, and the state a
+piece is entered with comes from a scan over the maps of the pieces before it.
 """
 
 from __future__ import annotations
@@ -18,18 +18,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthspark.functions import columns as C
-from synthspark.functions.rng import md5_index, normal_cdf, normal_quantile, uniform
-from synthspark.generators.copula import ROW, CopulaModel, copula_fit, factor_of, score_correlation
+from synthspark.functions.rng import md5_index, normal_cdf, uniform
+from synthspark.generators.copula import ROW, CopulaModel, copula_fit
 from synthspark.generators.marginals import KNOTS, Marginal, fit_marginals, normal_scores
-from synthspark.generators.recurrence import AffineMaps, autocorrelations, blocks_of, companion, lagged, regress, respond, root_of, scan, season_of, stabilised, stationary
+from synthspark.generators.recurrence import (
+    AffineMaps,
+    Chain,
+    FiniteMaps,
+    autocorrelations,
+    blocks_of,
+    companion,
+    gram_of,
+    lagged,
+    regress,
+    respond,
+    root_of,
+    scan,
+    season_of,
+    stabilised,
+    stationary,
+)
 from synthspark.operators.constraints import indexed_keys
 from synthspark.operators.history import previous
 from synthspark.operators.profile import sdtypes as detect
 from synthspark.session import stored
 
-# Steps of a sequence made in one piece; earlier noise warms a piece up until its start is forgotten.
+# Steps of a sequence made in one piece.
 PIECE = 500
-FORGOTTEN = 1e-8
+# Context categories told apart by the chains.
+BUCKETS = 32
 # Steps per time chunk aimed at when sequences are numbered.
 CHUNK_STEPS = 1_000_000
 # Steps a task makes.
@@ -56,9 +73,36 @@ def _chunk(df: DataFrame, index: str, parts: int = 64) -> Column:
     return F.least(F.lit(parts - 1), F.floor((x - row["lo"]) / span * parts))
 
 
+def _featured(df: DataFrame, marginals: list[Marginal]) -> DataFrame:
+    """Input with what steps know of their context: ``_x``, a constant with scores and category marks, and ``_bucket``."""
+    scored = [m for m in marginals if m.kind == "number" or m.table is not None]
+    listed = [m for m in marginals if m.kind == "category" and m.table is None]
+    made = df
+    if scored:
+        made = normal_scores(df, scored, [C.quoted(c) for c in df.columns])
+        made = made.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(f"s{i}").alias(f"_s{i}") for i in range(len(scored))])
+    marks = [C.as_text(made, m.name) == c for m in listed for c in m.categories[1:]]
+    marks += [C.quoted(m.name).isNull() for m in marginals if m.null_share > 0]
+    known = [*[F.col(f"_s{i}") for i in range(len(scored))], *[m.cast("double") for m in marks]]
+    x = F.array(F.lit(1.0), *[F.coalesce(c, F.lit(0.0)) for c in known])
+    bucket = F.lit(0)
+    if listed:
+        places = F.array(*[F.lit(c) for c in listed[0].categories[:BUCKETS]])
+        bucket = F.coalesce(F.array_position(places, C.as_text(made, listed[0].name)), F.lit(0)).cast("int")
+    return made.select(*[C.quoted(c) for c in df.columns], x.alias("_x"), bucket.alias("_bucket"))
+
+
+def _width(marginals: list[Marginal]) -> int:
+    return 1 + sum((len(m.categories) - 1 if m.kind == "category" and m.table is None else 1) + (m.null_share > 0) for m in marginals)
+
+
 @dataclass
 class SequenceModel:
-    """Context copula (with length and start), gap grid and one autoregression per measure."""
+    """Context copula (with length and start), gap grid, and what drives the steps.
+
+    Scores of the measures ``vector`` follow a vector autoregression around a level set by the context, the categories
+    ``chained`` follow Markov chains of the context.
+    """
 
     spark: SparkSession
     key: str
@@ -67,11 +111,19 @@ class SequenceModel:
     index_type: T.DataType
     context: CopulaModel
     gaps: tuple[float, ...]
-    measures: list[Marginal]
-    coefficients: list[float]
-    correlation: np.ndarray
+    vector: list[Marginal]
+    # Autoregression (d, d), effect of the context (d, features), residual covariance (d, d).
+    carry: np.ndarray
+    effect: np.ndarray
+    covariance: np.ndarray
+    chained: list[Marginal]
+    chains: list[Chain]
     columns: list[str]
 
+    @property
+    def static(self) -> list[Marginal]:
+        return [m for m in self.context.marginals if m.name not in ("__length", "__start")]
+
     def sample(self, sequences: int, seed: int = 0, max_len: int | None = None) -> DataFrame:
         """Rows of ``sequences`` new sequences, ordered by the index within each."""
         base = self.spark.range(0, sequences).withColumnRenamed("id", ROW)
@@ -79,19 +131,20 @@ class SequenceModel:
         length = F.greatest(F.lit(1), F.round("__length").cast("int"))
         if max_len is not None:
             length = F.least(F.lit(max_len), length)
-        rows = steps_of(context.withColumn("__length", length), "__length")
-        d = len(self.measures)
-        rows = self._autoregress(rows, seed)
-        rows = rows.select("*", *[normal_cdf(F.col(f"_y{i}")).alias(f"_p{i}") for i in range(d)])
+        context = stored(_featured(context.withColumn("__length", length), self.static), "contexts")
+        rows = self._steps(context, seed)
         out = {self.key: self._key_value(), self.index: self._index_value(seed)}
-        for m in self.context.marginals:
-            if m.name not in ("__length", "__start"):
-                out[m.name] = C.quoted(m.name)
-        for i, m in enumerate(self.measures):
+        for m in self.static:
+            out[m.name] = C.quoted(m.name)
+        bounded = [normal_cdf(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col(f"_y{i}")))).alias(f"_p{i}") for i in range(len(self.vector))]
+        rows = rows.select("*", *bounded)
+        for i, m in enumerate(self.vector):
             value = m.value(F.col(f"_p{i}"))
             if m.null_share > 0:
                 value = F.when(uniform(self._cell(), f"n:{m.name}", seed) >= m.null_share, value)
             out[m.name] = value
+        for j, m in enumerate(self.chained):
+            out[m.name] = F.when(F.col(f"_q{j}").isNotNull(), m.value(F.col(f"_q{j}")))
         return rows.select(*[out[c].alias(c) for c in self.columns])
 
     @staticmethod
@@ -112,62 +165,129 @@ class SequenceModel:
             return stamp.cast("timestamp_ntz").cast(self.index_type) if isinstance(self.index_type, T.TimestampNTZType) else stamp.cast(self.index_type)
         return x.cast(self.index_type)
 
-    def _autoregress(self, rows: DataFrame, seed: int) -> DataFrame:
-        """Add ``_y{i}``: y_t = a y_(t-1) + sqrt(1 - a^2) e_t with correlated noise, per piece of a sequence."""
-        d = len(self.measures)
-        factor = factor_of(self.correlation)
-        warm = max([0] + [math.ceil(math.log(FORGOTTEN) / math.log(abs(a))) for a in self.coefficients if 1e-6 < abs(a) < 1])
-        noise = []
-        for i in range(d):
-            weights = [(factor[i, k], k) for k in range(d) if abs(factor[i, k]) > 1e-12]
-
-            def draw(s: Column, weights=weights) -> Column:
-                total = F.lit(0.0)
-                for w, k in weights:
-                    total = total + float(w) * normal_quantile(uniform(F.xxhash64(F.col(ROW), s), f"e:{self.measures[k].name}", seed))
-                return total
-
-            noise.append(_walk(self.coefficients[i], warm, draw).alias(f"_w{i}"))
-        made = rows.select("*", *noise)
-        steps = F.sequence(F.col("_start"), F.col("_end"))
-        zipped = F.arrays_zip(steps.alias("_t"), *[F.col(f"_w{i}").alias(f"_y{i}") for i in range(d)])
-        others = [c for c in made.columns if not c.startswith("_w") and c not in ("_start", "_end")]
-        return made.select(*[C.quoted(c) for c in others], F.inline(zipped).alias("_t", *[f"_y{i}" for i in range(d)]))
-
-
-def _walk(a: float, warm: int, draw) -> Column:
-    """Steps ``_start`` to ``_end`` of one autoregression as an array; noise is a function of the step.
-
-    A walk begins with a draw of its own, so that its spread is one from the first step on.
-    """
-    fresh = math.sqrt(max(1 - a * a, 0.0))
+    def _steps(self, context: DataFrame, seed: int) -> DataFrame:
+        """One row per step: the context with ``_t``, scores ``_y{i}`` and middles of category intervals ``_q{j}``.
 
-    def step(y: Column, s: Column) -> Column:
-        return y * a + fresh * draw(s)
+        A piece of a sequence is made from the state that the pieces before it lead to; its draws hang on the sequence
+        and the piece alone.
+        """
+        d, chains, widest = len(self.vector), self.chains, PIECE
+        weights, level = self.carry[None], np.linalg.solve(np.eye(d) - self.carry, self.effect)
+        shock = root_of(self.covariance)
+        start = root_of(stationary(self.carry, self.covariance))
+        middles = []
+        for m, chain in zip(self.chained, chains):
+            edges = np.array([0.0, *m.shares])
+            middles.append(np.append((edges[1:] + edges[:-1]) / 2, [np.nan] * (chain.states - len(m.categories))))
+        sizes = tuple(c.states for c in chains)
+        pieces = steps_of(context, "__length")
+        kept = pieces.columns
+
+        def draws(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            """Shocks (rows, steps, d), nothing behind a piece's end, and unit draws (rows, steps, chains)."""
+            steps = (batch.column("_end").to_numpy() - batch.column("_start").to_numpy() + 1).tolist()
+            noise, units = np.zeros((len(steps), max(steps), d)), np.ones((len(steps), max(steps), len(chains)))
+            for k, (row, piece, n) in enumerate(zip(batch.column(ROW).to_pylist(), batch.column("_g").to_pylist(), steps)):
+                made = np.random.Generator(np.random.Philox(key=[seed & (1 << 63) - 1, row], counter=[0, 0, 0, piece + 1]))
+                noise[k, :n] = made.standard_normal((n, d)) @ shock.T
+                units[k, :n] = made.random((n, len(chains)))
+            return noise, units
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1_000):
+                    yield batch.slice(at, 1_000)
 
-    def append(ys: Column, s: Column) -> Column:
-        return F.concat(ys, F.array(step(F.element_at(ys, -1), s)))
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors, states = [], []
+                for row, bucket in zip(batch.column(ROW).to_pylist(), batch.column("_bucket").to_pylist()):
+                    made = np.random.Generator(np.random.Philox(key=[seed & (1 << 63) - 1, row]))
+                    vectors.append(start @ made.standard_normal(d))
+                    units = made.random(len(chains))
+                    states.append([float(c.begin(np.array(bucket), units[j])) for j, c in enumerate(chains)])
+                kind = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(vectors, kind), pa.array(states, kind)], [ROW, "_vector", "_states"])
+
+        def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts(batches):
+                noise, units = draws(batch)
+                _, last = respond(weights, np.zeros((batch.num_rows, d)), noise)
+                bucket = batch.column("_bucket").to_numpy()[:, None]
+                tables = []
+                for j, chain in enumerate(chains):
+                    table = np.tile(np.arange(chain.states), (batch.num_rows, 1))
+                    for t in range(noise.shape[1]):
+                        table = chain.step(bucket, table, units[:, t, j][:, None])
+                    tables.append(table.astype(float))
+                whole = np.concatenate(tables, axis=1) if tables else np.zeros((batch.num_rows, 0))
+                kind = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("_g"), pa.array(list(last), kind), pa.array(list(whole), kind)], [ROW, "_b", "_affine", "_finite"])
 
-    first = F.greatest(F.lit(0), F.col("_start") - warm)
-    head = F.aggregate(F.sequence(first, F.col("_start")), draw(first - 1), step)
-    walk = F.aggregate(F.sequence(F.col("_start") + 1, F.col("_end")), F.array(head), append)
-    return F.when(F.col("_end") > F.col("_start"), walk).otherwise(F.array(head))
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts(batches):
+                noise, units = draws(batch)
+                count = batch.num_rows
+                features = batch.column("_x").flatten().to_numpy().reshape(count, -1)
+                state = batch.column("_vector").flatten().to_numpy().reshape(count, d)
+                around, _ = respond(weights, state, noise)
+                scores = around + (features @ level.T)[:, None]
+                steps = batch.column("_end").to_numpy() - batch.column("_start").to_numpy() + 1
+                inside = np.arange(noise.shape[1]) < steps[:, None]
+                owner, at = np.nonzero(inside)
+                made = [pa.array(scores[inside][:, i]) for i in range(d)]
+                bucket, states = batch.column("_bucket").to_numpy(), batch.column("_states").flatten().to_numpy().reshape(count, len(chains)).astype(np.int64)
+                for j, chain in enumerate(chains):
+                    current, path = states[:, j], np.zeros(inside.shape, np.int64)
+                    for t in range(noise.shape[1]):
+                        current = chain.step(bucket, current, units[:, t, j])
+                        path[:, t] = current
+                    made.append(pa.array(middles[j][path[inside]], from_pandas=True))
+                places = pa.array(owner)
+                held = [batch.column(c).take(places) for c in kept]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(at + batch.column("_start").to_numpy()[owner]), *made], names)
+
+        names = [*kept, "_t", *[f"_y{i}" for i in range(d)], *[f"_q{j}" for j in range(len(chains))]]
+        starts = context.mapInArrow(begin, f"`{ROW}` bigint, _vector array<double>, _states array<double>")
+        longest = context.agg(F.max("__length")).first()[0] or 1
+        n_pieces = -(-int(longest) // widest)
+        if n_pieces == 1:
+            entering = starts.withColumn("_g", F.lit(0).cast("long"))
+        else:
+            summaries = stored(pieces.mapInArrow(summarise, f"`{ROW}` bigint, _b bigint, _affine array<double>, _finite array<double>"), "pieces")
+            entering = None
+            for name, state, maps in (("_affine", "_vector", AffineMaps(np.linalg.matrix_power(self.carry, widest))), ("_finite", "_states", FiniteMaps(sizes))):
+                if (d if name == "_affine" else len(sizes)) == 0:
+                    found = summaries.select(ROW, F.col("_b").alias("_g"), F.array().cast("array<double>").alias(state))
+                else:
+                    found = scan(summaries.select(ROW, "_b", F.col(name).alias("_summary")), starts.select(ROW, F.col(state).alias("_state")), maps, n_pieces, ROW)
+                    found = found.select(ROW, F.col("_b").alias("_g"), F.col("_state").alias(state))
+                entering = found if entering is None else entering.join(found, [ROW, "_g"])
+        joined = pieces.join(entering, [ROW, "_g"])
+        double = T.DoubleType()
+        fields = [*[pieces.schema[c] for c in kept], T.StructField("_t", T.LongType()), *[T.StructField(n, double) for n in names[len(kept) + 1 :]]]
+        return joined.mapInArrow(walk, T.StructType(fields))
 
 
 def steps_of(sequences: DataFrame, length: str) -> DataFrame:
-    """One row per piece of a sequence with its first and last step, spread over tasks."""
+    """One row per piece ``_g`` of a sequence with its first and last step."""
     last = F.floor((F.col(length) - 1) / PIECE)
     pieces = sequences.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_g"))
-    start = (F.col("_g") * PIECE).cast("int")
+    start = F.col("_g") * PIECE
     return pieces.select(
-        *[C.quoted(c) for c in sequences.columns], start.alias("_start"), (F.least(start + PIECE, F.col(length)) - 1).cast("int").alias("_end")
+        *[C.quoted(c) for c in pieces.columns], start.alias("_start"), (F.least(start + PIECE, F.col(length)) - 1).cast("long").alias("_end")
     )
 
 
 def par_fit(
     df: DataFrame, key: str, index: str, context: list[str] | None = None, sdtypes: dict[str, str] | None = None
 ) -> SequenceModel:
-    """Fit lengths, context, gaps and pooled first-order autoregressions of normal scores."""
+    """Fit lengths, context, gaps, a pooled vector autoregression of normal scores and chains of categories.
+
+    Category lists of up to 100 values are chains, per value of the first such context column (32 at most tell contexts
+    apart there); longer ones take part in the autoregression by their scores. A missing number counts as its median, a
+    missing category is a state of its own.
+    """
     _check(df, key, index)
     context = context or []
     measures = [c for c in df.columns if c not in (key, index, *context)]
@@ -178,30 +298,56 @@ def par_fit(
         F.min(x).alias("__start"),
         *[F.min_by(C.quoted(c), x).alias(c) for c in context],
     )
-    static = per_key.drop(key)
+    per_key = stored(per_key.withColumnRenamed(key, "__key"), "contexts")
     static_kinds = {"__length": "numerical", "__start": "numerical", **{c: kinds[c] for c in context}}
-    context_model = copula_fit(static, static_kinds, "empirical")
+    context_model = copula_fit(per_key.drop("__key"), static_kinds, "empirical")
+    static = [m for m in context_model.marginals if m.name not in ("__length", "__start")]
     fitted = fit_marginals(df.select(*[C.quoted(c) for c in measures]), {c: kinds[c] for c in measures}, "empirical")
-    used = [m for m in fitted if m.modelled]
-    if len(used) < len(measures):
+    if any(not m.modelled for m in fitted):
         raise ValueError(f"columns {[m.name for m in fitted if not m.modelled]} cannot follow an autoregression")
-    scores = normal_scores(df, used, [C.quoted(key), x, _chunk(df, index)])
-    scores = scores.select(
-        F.col("_keep0").alias("k"), F.col("_keep1").alias("x"), F.col("_keep2").alias("c"),
-        F.struct(F.col("_keep1").alias("x"), *[F.col(f"s{i}") for i in range(len(used))]).alias("now"),
+    chained = [m for m in fitted if m.kind == "category" and m.table is None]
+    vector = [m for m in fitted if m not in chained]
+    d = len(vector)
+    texts = [C.as_text(df, m.name) for m in chained]
+    scores = normal_scores(df, vector, [C.quoted(key), x, _chunk(df, index), *texts])
+    now = F.struct(
+        F.col("_keep1").alias("x"),
+        F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(d)]).cast("array<double>").alias("s"),
+        *[F.col(f"_keep{3 + j}").alias(f"c{j}") for j in range(len(chained))],
     )
-    tie = F.xxhash64("now")
-    lagged = previous(scores.withColumn("tie", tie), "k", ["x", "tie"], "now", F.col("c"), "before").filter("before is not null")
-    row = lagged.agg(
-        *[C.correlation(F.col(f"now.s{i}"), F.col(f"before.s{i}")).alias(f"a{i}") for i in range(len(used))],
-        F.percentile_approx(F.col("now.x") - F.col("before.x"), C.doubles(i / KNOTS for i in range(1, KNOTS)), 10_000).alias("gaps"),
-    ).first()
-    coefficients = [float(row[f"a{i}"] or 0.0) for i in range(len(used))]
-    correlation = score_correlation(scores.select(*[F.col(f"now.s{i}").alias(f"s{i}") for i in range(len(used))]), len(used))
-    gaps = tuple(float(g) for g in (row["gaps"] or [1.0]))
+    named = scores.select(F.col("_keep0").alias("k"), F.col("_keep1").alias("x"), F.col("_keep2").alias("c"), now.alias("now"))
+    lagged_rows = previous(named.withColumn("tie", F.xxhash64("now")), "k", ["x", "tie"], "now", F.col("c"), "before").filter("before is not null")
+    features = _featured(per_key.select("__key", *[C.quoted(c) for c in context]), static).select(F.col("__key").alias("k"), "_x", "_bucket")
+    moves = stored(lagged_rows.join(features, "k").select("now", "before", "_x", "_bucket"), "moves")
+    gaps = moves.agg(F.percentile_approx(F.col("now.x") - F.col("before.x"), C.doubles(i / KNOTS for i in range(1, KNOTS)), 10_000).alias("gaps")).first()["gaps"]
+
+    width = _width(static)
+    gram = gram_of(moves.select(F.concat("_x", "before.s", "now.s").alias("v")), width + 2 * d)
+    past, cross = gram[: width + d, : width + d], gram[: width + d, width + d :]
+    steps = max(float(gram[0, 0]), 1.0)
+    # Scores have a spread of one, so a ridge of one step in a thousand only matters where nothing is known.
+    solved = np.linalg.solve(past + (1e-3 + 1e-9 * steps) * np.eye(len(past)), cross)
+    covariance = (gram[width + d :, width + d :] - cross.T @ solved - solved.T @ cross + solved.T @ past @ solved) / steps
+    if gram[0, 0] == 0:
+        covariance = np.eye(d)
+    carry = stabilised(solved[width:].T[None])[0] if d else np.zeros((0, 0))
+
+    chains = []
+    for j, m in enumerate(chained):
+        states = len(m.categories) + (m.null_share > 0)
+        places = F.array(*[F.lit(c) for c in m.categories])
+        state = lambda c: F.coalesce(F.array_position(places, c), F.lit(states)).cast("int") - 1
+        counts = np.zeros((BUCKETS + 1, states, states))
+        grouped = moves.groupBy("_bucket", state(F.col(f"before.c{j}")).alias("a"), state(F.col(f"now.c{j}")).alias("b")).agg(F.count("*").alias("n"))
+        # At most contexts times states times states rows.
+        for r in grouped.collect():
+            counts[r["_bucket"], r["a"], r["b"]] = r["n"]
+        if not counts.any():
+            counts[0] += np.diff([0.0, *m.shares, *([1.0] * (states - len(m.categories)))])[None, :]
+        chains.append(Chain.of_counts(counts))
     return SequenceModel(
-        df.sparkSession, key, df.schema[key].dataType, index, df.schema[index].dataType, context_model, gaps, used, coefficients,
-        correlation, df.columns,
+        df.sparkSession, key, df.schema[key].dataType, index, df.schema[index].dataType, context_model, tuple(float(g) for g in (gaps or [1.0])), vector,
+        carry, solved[:width].T, (covariance + covariance.T) / 2, chained, chains, df.columns,
     )
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from synthspark.functions.rng import normal
@@ -311,6 +312,49 @@ def _(t):
     return made.agg(F.count_distinct("user_id").alias("sequences"), F.count("*").alias("n_rows"), F.lit(score > 0.85).alias("value_close"))
 
 
+@query(
+    "par_synth_dependence",
+    """SELECT count(DISTINCT user_id) AS sequences, true AS steps_together, true AS measures_together, true AS context_close, true AS moves_close,
+          true AS moves_by_context FROM events""",
+)
+def _(t):
+    """Events per user: a load that moves slowly and lies higher in one region, an echo of it, and a mode that often stays."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    region = F.when(F.pmod("user_id", F.lit(3)) == 0, "north").otherwise("south")
+    load = F.avg("value").over(order.rowsBetween(-3, 0)) + F.when(region == "north", 40.0).otherwise(0.0)
+    # In the north two of three events keep the mode, in the south one of three.
+    stays = F.pmod(F.xxhash64("event_id"), F.lit(3)) < F.when(region == "north", 2).otherwise(1)
+    raw = t.events.select("user_id", "event_id", "ts", region.alias("region"), load.alias("load"), "event_type", stays.alias("stays"))
+    mode = F.last(F.when(~F.col("stays"), F.col("event_type")), ignorenulls=True).over(order)
+    real = raw.select("user_id", "ts", "region", "load", (0.7 * F.col("load") + 15 * normal(F.col("event_id"), "echo")).alias("echo"), F.coalesce(mode, "event_type").alias("mode"))
+    real = stored(real)
+    kinds = {"user_id": "id", "ts": "datetime", "region": "categorical", "load": "numerical", "echo": "numerical", "mode": "categorical"}
+    n = 5 * real.select("user_id").distinct().count()
+    made = stored(par_fit(real, "user_id", "ts", ["region"], kinds).sample(n, seed=5))
+
+    def facts(df):
+        steps = Window.partitionBy("user_id").orderBy("ts")
+        lagged = df.select("*", F.lag("load").over(steps).alias("last_load"), F.lag("mode").over(steps).alias("last_mode"))
+        north = F.col("region") == "north"
+        inside = lambda c, where: F.avg(F.when(where, c))
+        kept = (F.col("mode") == F.col("last_mode")).cast("double")
+        return lagged.agg(
+            F.corr("load", "last_load").alias("lag"), F.corr("load", "echo").alias("both"), (inside(F.col("load"), north) - inside(F.col("load"), ~north)).alias("gap"),
+            F.avg(kept).alias("kept"), (inside(kept, north) - inside(kept, ~north)).alias("kept_gap"), F.stddev("load").alias("spread"),
+        ).first()
+
+    want, got = facts(real), facts(made)
+    close = {c: abs(want[c] - got[c]) for c in ("lag", "both", "gap", "kept", "kept_gap")}
+    return made.agg(
+        (F.count_distinct("user_id") / 5).cast("long").alias("sequences"),
+        F.lit(close["lag"] < 0.1).alias("steps_together"),
+        F.lit(close["both"] < 0.1).alias("measures_together"),
+        F.lit(close["gap"] < 0.25 * abs(want["gap"])).alias("context_close"),
+        F.lit(close["kept"] < 0.06).alias("moves_close"),
+        F.lit(close["kept_gap"] < 0.12).alias("moves_by_context"),
+    )
+
+
 @query(
     "long_sequence_season",
     """SELECT count(*) AS fitted_steps, 24::BIGINT AS season, 1::BIGINT AS sequences, 2 * count(*) AS n_rows, true AS values_close, true AS season_close,

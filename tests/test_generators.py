@@ -97,7 +97,7 @@ def test_autoregression(spark):
             data.append((k, s, float(y), "north" if k % 2 else "south"))
     df = spark.createDataFrame(data, "k long, s long, y double, side string")
     fitted = par_fit(df, "k", "s", ["side"], {"k": "id", "s": "numerical", "y": "numerical", "side": "categorical"})
-    assert 0.65 < fitted.coefficients[0] < 0.9
+    assert 0.65 < fitted.carry[0, 0] < 0.9
     made = stored(fitted.sample(30, seed=1))
     per = made.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("side").alias("d"), F.count_distinct("s").alias("s")).collect()
     assert len(per) == 30 and all(r["n"] == 60 and r["d"] == 1 for r in per)

@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from synthspark.functions.rng import md5_index, normal
+from synthspark.functions.rng import md5_index
 from synthspark.generators import linked
 from synthspark.generators.copula import copula_fit
 from synthspark.generators.private import gaussian_scale
-from synthspark.generators.sequence import _walk, long_sequence_fit
+from synthspark.generators.sequence import long_sequence_fit, par_fit
 from synthspark.session import stored
 from synthspark.sources import writers
 from synthspark.spec import Relationship
@@ -82,13 +83,21 @@ def test_long_sequences_are_read_whole(spark):
 
 
 def test_slow_sequences_have_full_spread_everywhere(spark):
-    a = 0.995
-    warm = math.ceil(math.log(1e-8) / math.log(a))
-    pieces = spark.range(3000).select(F.col("id").alias("__row"), F.lit(500).alias("_start"), F.lit(502).alias("_end"))
-    walked = pieces.select(F.element_at(_walk(a, warm, lambda s: normal(F.xxhash64("__row", s), "e")), 1).alias("y"))
-    assert walked.agg(F.stddev("y")).first()[0] == pytest.approx(1.0, abs=0.06)
-    begun = pieces.withColumn("_start", F.lit(0)).withColumn("_end", F.lit(2)).select(F.element_at(_walk(a, warm, lambda s: normal(F.xxhash64("__row", s), "e")), 1).alias("y"))
-    assert begun.agg(F.stddev("y")).first()[0] == pytest.approx(1.0, abs=0.06)
+    """Steps of later pieces follow from the state carried to them: as spread as the first, and close to the step before."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in range(6):
+        y = rng.normal() * 3
+        for t in range(1100):
+            y = 0.98 * y + rng.normal() * 0.6
+            rows.append((key, t, float(y)))
+    df = spark.createDataFrame(rows, "k long, t long, v double")
+    model = par_fit(df, "k", "t", sdtypes={"k": "id", "t": "numerical", "v": "numerical"})
+    made = stored(model.sample(400, seed=2)).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t")))
+    wide = made.where("n IN (1, 500, 501, 1001)").groupBy("k").pivot("n", [1, 500, 501, 1001]).agg(F.first("v")).toPandas()
+    spread = wide[["1", "500", "501", "1001"]].std()
+    assert spread.max() < 1.25 * spread.min()
+    assert wide["500"].corr(wide["501"]) > 0.9 and abs(wide["1"].corr(wide["1001"])) < 0.25
 
 
 def test_picks_reach_beyond_32_bits(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from synthspark.generators import recurrence as R
-from synthspark.generators.sequence import long_sequence_fit
+from synthspark.generators.sequence import long_sequence_fit, par_fit
 from synthspark.session import stored
 
 
@@ -153,3 +153,72 @@ def test_unusable_input_is_refused(spark):
         long_sequence_fit(df, "k", "t", "v")
     with pytest.raises(ValueError, match="missing"):
         long_sequence_fit(df, "k", "none", "v")
+
+
+def test_chains_move_like_their_counts():
+    counts = np.array([[[90.0, 10.0, 0.0], [5.0, 90.0, 5.0], [0.0, 20.0, 80.0]], np.zeros((3, 3))])
+    chain = R.Chain.of_counts(counts, prior=1.0)
+    rng = np.random.default_rng(0)
+    draws = rng.random(60_000)
+    for before in range(3):
+        after = chain.step(np.zeros(60_000, int), np.full(60_000, before), draws)
+        assert np.bincount(after, minlength=3) / 60_000 == pytest.approx(counts[0, before] / 100, abs=0.02)
+    # A context without moves goes by all of them.
+    assert chain.moves[1] == pytest.approx(np.cumsum((counts[0] + chain_prior(counts)) / 101, axis=1), abs=1e-6)
+    assert chain.begin(np.array([0, 1]), np.array([0.0, 1.0])).tolist() == [0, 2]
+
+
+def chain_prior(counts):
+    pooled = counts.sum(axis=0)
+    return (pooled.sum(axis=0) + pooled.sum(axis=1)) / (2 * pooled.sum())
+
+
+def test_gram_is_the_sum_of_products(spark):
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(300, 4))
+    rows = frame(spark, [(v.tolist(),) for v in values], "v array<double>")
+    assert R.gram_of(rows, 4) == pytest.approx(values.T @ values)
+    assert not R.gram_of(rows.limit(0), 4).any()
+
+
+def test_steps_follow_context_and_other_measures(spark):
+    """Long sequences, so that several pieces are joined by their states."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(30):
+        side = ("east", "west", None)[k % 3]
+        y, mode = np.zeros(2), 0
+        for t in range(1200):
+            y = np.array([[0.8, 0.0], [0.5, 0.3]]) @ y + rng.normal(size=2)
+            mode = mode if rng.random() < (0.9 if side == "east" else 0.3) else int(rng.integers(3))
+            rows.append((k, t, side, float(y[0] + 3 * (side == "east")), float(y[1]), [None, "red", "blue"][mode]))
+    df = frame(spark, rows, "k long, t long, side string, a double, b double, mode string")
+    model = par_fit(df, "k", "t", ["side"], {"k": "id", "t": "numerical", "side": "categorical", "a": "numerical", "b": "numerical", "mode": "categorical"})
+    made = stored(model.sample(60, seed=3))
+    assert made.columns == df.columns
+
+    def facts(frame):
+        pdf = frame.toPandas().sort_values(["k", "t"])
+        pdf["mode"] = pdf["mode"].fillna("none")
+        last = pdf.groupby("k")[["a", "b", "mode"]].shift(1)
+        held = (pdf["mode"] == last["mode"])[last["mode"].notna()]
+        east = (pdf.side == "east")[last["mode"].notna()]
+        out = {f"{x}{y}": pdf[x].corr(last[y]) for x in "ab" for y in "ab"}
+        return out | {"now": pdf.a.corr(pdf.b), "east": held[east].mean() - held[~east].mean(), "held": held[~east].mean(), "none": (pdf["mode"] == "none").mean()}
+
+    want, got = facts(df), facts(made)
+    for name in want:
+        assert got[name] == pytest.approx(want[name], abs=0.09), name
+    lift = {n: f.groupBy("side").agg(F.avg("a").alias("a")).toPandas().set_index("side").a for n, f in (("real", df), ("made", made))}
+    assert lift["made"]["east"] - lift["made"]["west"] == pytest.approx(lift["real"]["east"] - lift["real"]["west"], abs=0.6)
+    assert made.groupBy("k").agg(F.count_distinct("side").alias("d"), F.count("*").alias("n")).agg(F.max("d"), F.min("n")).first() == (1, 1200)
+
+
+def test_categories_alone_and_single_steps(spark):
+    df = frame(spark, [(k, t, "x" if (k + t) % 2 else "y") for k in range(20) for t in range(1 + k % 4)], "k long, t long, c string")
+    made = stored(par_fit(df, "k", "t", sdtypes={"k": "id", "t": "numerical", "c": "categorical"}).sample(200, seed=1))
+    steps = made.orderBy("k", "t").toPandas()
+    changed = (steps.c != steps.groupby("k").c.shift(1))[steps.groupby("k").cumcount() > 0]
+    assert changed.mean() > 0.75 and set(steps.c) == {"x", "y"}
+    alone = frame(spark, [(k, 1, float(k), "z") for k in range(5)], "k long, t long, v double, c string")
+    assert par_fit(alone, "k", "t", sdtypes={"k": "id", "t": "numerical", "v": "numerical", "c": "categorical"}).sample(7).count() == 7
