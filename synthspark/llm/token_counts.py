@@ -191,13 +191,15 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str
 
     ``edits`` has (id, seq, start, length, replacement): applied by ``seq``, each to the text its predecessors left,
     with offsets in characters. Equal ``seq`` go by start, length and replacement. Null replacements delete. Edits of
-    an id apply to all its rows; those of unknown or null ids and of null texts do nothing. ``reencoded`` counts
-    words that were encoded again.
+    an id apply to all its rows, or, if there is a column ``print``, to those with this hash of the text; those of
+    unknown or null ids and of null texts do nothing. ``reencoded`` counts words that were encoded again.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
+    key = [c for c in ("id", "print") if c in edits.columns]
     # A document's edits are one log, as long as its history.
-    logs = edits.where("id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("log"))
-    rows = _keyed(docs, id_col, text_col).where("text IS NOT NULL").dropDuplicates(["doc"]).join(logs, F.col("doc.id") == logs["id"]).drop("id")
+    logs = edits.where("id IS NOT NULL").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("log"))
+    known = _keyed(docs, id_col, text_col).where("text IS NOT NULL").dropDuplicates(["doc"])
+    rows = known.select("doc", "text", *[F.col(f"doc.{c}").alias(c) for c in key]).join(logs, key).drop(*key)
     rows = rows.join(trees.dropDuplicates(["doc"]), "doc").select("doc", "text", "leaf_chars", "leaf_tokens", "log")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str
 def masking_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", masks: dict[str, str] | None = None) -> DataFrame:
     """Edit log that masks personal data, from the end of a text to its start, so that offsets hold as they are.
 
-    Rows that repeat an id give one log: that of the text with the smallest hash.
+    The log goes by id and text hash, so different texts under one id each have their own; equal rows share one.
     """
     rows = _keyed(docs, id_col, text_col).where("doc.id IS NOT NULL AND text IS NOT NULL")
     if masks is None:
@@ -246,9 +248,8 @@ def masking_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([doc.field("id"), doc.field("print"), *arrays], ["id", "print", "seq", "start", "length", "replacement"])
 
-    found = rows.mapInArrow(run, f"id {kind}, print bigint, {EDITS}")
-    chosen = found.groupBy("id").agg(F.min("print").alias("print"))
-    return found.join(chosen, ["id", "print"]).select("id", "seq", "start", "length", "replacement").distinct()
+    # Equal rows would give their edits twice.
+    return rows.dropDuplicates(["doc"]).mapInArrow(run, f"id {kind}, print bigint, {EDITS}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

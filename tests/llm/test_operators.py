@@ -361,3 +361,13 @@ def test_a_hot_value_is_cut_like_any_other(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x" * 84).alias("text"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("g"))
     got = kd_shards.kd_shards(rows, ["g"], shards=12).groupBy("shard").count().toPandas()
     assert len(got) == 12 and got["count"].max() <= 1.03 * 500
+
+
+def test_texts_under_one_id_have_their_own_edits(spark):
+    """What stands in one text must not be masked by another one's offsets."""
+    rows = [(1, "write to bob@site.org now please"), (1, "hello there my friend, mail ann@site.org today"), (1, "hello there my friend, mail ann@site.org today"), (2, "call 1234567"), (None, "x@y.zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edits = token_counts.masking_edits(docs)
+    assert edits.count() == 3
+    after = token_counts.apply_edits(docs, token_counts.build_trees(docs), edits)
+    assert sorted(r["text"] for r in after.collect()) == ["call <NUMBER>", "hello there my friend, mail <EMAIL> today", "write to <EMAIL> now please"]

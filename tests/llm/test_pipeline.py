@@ -10,6 +10,7 @@ import corpus_pipeline
 from synthspark.llm import language_codes, packing
 from tests.conftest import SMALL
 from tests.llm import brute
+from tests.llm.test_near_copies import plain
 
 
 def test_pipeline_against_plain_stages(spark):
@@ -21,7 +22,7 @@ def test_pipeline_against_plain_stages(spark):
             docs.append((i, text))
     cleaned = brute.without_repeated_chunks(docs)
     docs = [(i, cleaned[i]) for i, text in docs if cleaned[i] == text or cleaned[i].strip()]
-    roots, _ = brute.simhash_components(docs, 5)
+    roots = plain(docs)
     docs = [(i, t) for i, t in docs if roots[i] == i]
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {i for i, _ in brute.leaks(docs, items)}
