@@ -224,10 +224,10 @@ def validate_thresholds(
 ) -> DataFrame:
     """``(message)``: one for a low overall score, one per degraded column."""
     overall = report.filter(F.col("overall_score") < fidelity_threshold).select(
-        F.format_string(f"Overall quality score %.3f below threshold {fidelity_threshold}", "overall_score").alias("message")
+        F.format_string(f"the table as a whole reaches %.3f of the {fidelity_threshold} asked for", "overall_score").alias("message")
     )
     low = shapes.filter(F.col("score") < column_threshold).select(
-        F.format_string(f"Column '%s' score %.3f below column threshold {column_threshold}", "column", "score").alias("message")
+        F.format_string(f"'%s' reaches %.3f of the {column_threshold} asked for in each column", "column", "score").alias("message")
     )
     return overall.unionByName(low)
 

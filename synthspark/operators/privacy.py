@@ -207,8 +207,8 @@ def quality_gate(
     fid, pri = F.col("fidelity_score") >= fidelity, F.col("privacy_score") >= privacy
     messages = F.concat_ws(
         "; ",
-        F.when(~fid, F.format_string(f"Fidelity score %.3f below threshold {fidelity}", "fidelity_score")),
-        F.when(~pri, F.format_string(f"Privacy score %.3f below threshold {privacy}", "privacy_score")),
+        F.when(~fid, F.format_string(f"too far from the real table: %.3f, at least {fidelity} is asked for", "fidelity_score")),
+        F.when(~pri, F.format_string(f"discloses too much: %.3f, at least {privacy} is asked for", "privacy_score")),
     )
     return scores.select(
         "*", fid.alias("fidelity_passed"), pri.alias("privacy_passed"), (fid & pri).alias("passed"), messages.alias("violations")

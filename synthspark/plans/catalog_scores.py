@@ -177,8 +177,8 @@ def _(t):
 
 @query(
     "validate_thresholds",
-    f"""{_REPORT} SELECT printf('Overall quality score %.3f below threshold 0.99', overall_score) AS message FROM rep WHERE overall_score < 0.99
-        UNION ALL SELECT printf('Column ''%s'' score %.3f below column threshold 0.95', "column", round(score, 4)) FROM sh WHERE round(score, 4) < 0.95""",
+    f"""{_REPORT} SELECT printf('the table as a whole reaches %.3f of the 0.99 asked for', overall_score) AS message FROM rep WHERE overall_score < 0.99
+        UNION ALL SELECT printf('''%s'' reaches %.3f of the 0.95 asked for in each column', "column", round(score, 4)) FROM sh WHERE round(score, 4) < 0.95""",
 )
 def _(t):
     real, syn = _pair(t)
@@ -336,8 +336,8 @@ POINT_TABLE = as_select(POINTS_SQL, "orders")
     "quality_gate",
     f"""SELECT run_id, fidelity_score, privacy_score, fidelity_score >= 0.75 AS fidelity_passed, privacy_score >= 0.5 AS privacy_passed,
         fidelity_score >= 0.75 AND privacy_score >= 0.5 AS passed, concat_ws('; ',
-          CASE WHEN fidelity_score < 0.75 THEN printf('Fidelity score %.3f below threshold 0.75', fidelity_score) END,
-          CASE WHEN privacy_score < 0.5 THEN printf('Privacy score %.3f below threshold 0.5', privacy_score) END) AS violations
+          CASE WHEN fidelity_score < 0.75 THEN printf('too far from the real table: %.3f, at least 0.75 is asked for', fidelity_score) END,
+          CASE WHEN privacy_score < 0.5 THEN printf('discloses too much: %.3f, at least 0.5 is asked for', privacy_score) END) AS violations
         FROM {POINT_TABLE} p""",
 )
 def _(t):
