@@ -1,7 +1,8 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 1. Equal vectors become one point; centres are fitted on a bounded sample, and every point joins its ``overlap``
-   nearest clusters. A cluster above ``PIECE`` points is dealt into pieces.
+   nearest clusters. A cluster above ``PIECE`` points is dealt into pieces. Vectors of each length have centres, and so
+   clusters, of their own.
 2. Each piece builds a navigable graph of its points: nearest candidates, pruned robustly so that the kept neighbours
    point in different directions, made two-way, and linked to the piece's medoid. The adjacency lists of a point from
    all its pieces are united.
@@ -9,8 +10,8 @@
    those in range the search expands along the graph as long as it meets points in range. What is found is verified
    with double-precision cosines. A pair that shares several clusters is counted in the first one only.
 4. A task gives one count and one link to a root per point, never pairs. Roots are joined to components.
-5. Recall is audited against brute force for a bounded set of query points; below ``LEAST_RECALL`` the points join
-   more clusters and the search is done again.
+5. Recall is audited against brute force for a bounded set of query points, as the mean over those that have links;
+   below ``LEAST_RECALL`` the points join twice as many clusters and the search is done again, until each point is in all.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from synthspark.llm.components import components
 from synthspark.session import stored
@@ -28,9 +31,8 @@ from synthspark.session import stored
 THRESHOLD = 0.95
 # Vectors that centres are fitted on, and queries of the audit: both bounded.
 SAMPLE = 8_192
-AUDIT = 256
+AUDIT = 1_024
 LEAST_RECALL = 0.98
-ATTEMPTS = 3
 # Points per cluster aimed at, most centres, and most points of one graph.
 CLUSTER = 1_024
 CENTRES = 4_096
@@ -193,15 +195,45 @@ def _matrix(column) -> np.ndarray:
     return values.flatten().to_numpy().reshape(len(values), -1).astype(np.float64)
 
 
-def _assigned(points: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
+def _centres(points: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """``(first cluster, centres)`` per vector length.
+
+    A length of up to ``CLUSTER`` points is one cluster around nothing; there is at most one fit per ``CLUSTER`` points.
+    """
+    lengths = points.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
+    out, first = [], 0
+    for length, n in lengths:
+        centres = np.zeros((1, length))
+        if n > CLUSTER:
+            own = points.where(F.size("vector") == length)
+            reach = min(1.0, 2.0 * SAMPLE / n)
+            drawn = own.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(reach * (1 << 30))).limit(SAMPLE).select("vector").toArrow()
+            sample = drawn if drawn.num_rows else own.limit(SAMPLE).select("vector").toArrow()
+            centres = fit_centres(_unit(_matrix(sample.column("vector"))), min(CENTRES, -(-n // CLUSTER)))
+        out.append((first, centres))
+        first += len(centres)
+    return out
+
+
+def _by_length(batch: pa.RecordBatch, place: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows whose vectors in column ``place`` have one length."""
+    lengths = np.asarray(pc.list_value_length(batch.column(place)))
+    for length in np.unique(lengths):
+        own = batch.take(pa.array(np.nonzero(lengths == length)[0]))
+        yield from (own.slice(at, rows) for at in range(0, own.num_rows, rows))
+
+
+def _assigned(points: DataFrame, centres: list[tuple[int, np.ndarray]], overlap: int) -> DataFrame:
     """``(cluster, point, vector, n, clusters)``: a row for each of the ``overlap`` nearest centres of a point."""
-    shared = points.sparkSession.sparkContext.broadcast(centres)
+    shared = points.sparkSession.sparkContext.broadcast({c.shape[1]: (first, c) for first, c in centres})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
-                near = _unit(_matrix(part.column(1))) @ shared.value.T
-                nearest = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
+            for part in _by_length(batch, 1, 4096):
+                own = _matrix(part.column(1))
+                first, theirs = shared.value[own.shape[1]]
+                near = _unit(own) @ theirs.T
+                nearest = first + np.sort(np.argsort(-near, axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(nearest), pa.list_(pa.int32()))], ["point", "vector", "n", "clusters"])
 
     rows = points.select("point", "vector", "n").mapInArrow(run, "point bigint, vector array<double>, n bigint, clusters array<int>")
@@ -250,11 +282,11 @@ def _search(least: float):
     return run
 
 
-def _linked(points: DataFrame, centres: np.ndarray, overlap: int, least: float) -> DataFrame:
+def _linked(points: DataFrame, centres: list[tuple[int, np.ndarray]], overlap: int, least: float) -> DataFrame:
     """Stored ``(point, links, root)`` rows of all pieces: counts add up, roots link."""
     members = stored(_assigned(points, centres, overlap), "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces"))
-    dealt = members.join(F.broadcast(sizes), "cluster")  # One row per centre, at most CENTRES.
+    dealt = members.join(F.broadcast(sizes), "cluster")  # One row per centre, at most CENTRES of each length.
     piece = F.pmod(F.xxhash64("point"), F.col("pieces").cast("bigint")).cast("int")
     index = dealt.select("cluster", piece.alias("piece"), "point", "vector", "n", "clusters")
     built = index.groupBy("cluster", "piece").applyInArrow(_build, "point bigint, neighbours array<bigint>")
@@ -271,26 +303,37 @@ def _linked(points: DataFrame, centres: np.ndarray, overlap: int, least: float)
     return stored(found, "graph-links")
 
 
-def _audit(points: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share of the true links of up to ``AUDIT`` points that were found."""
-    chosen = points.orderBy(F.xxhash64("point", F.lit("audit"))).limit(AUDIT).select("point", "vector").toArrow()
+def _audit(points: DataFrame, counted: DataFrame, least: float) -> float | None:
+    """Share of the true links that were found, as the mean over the linked ones of up to ``AUDIT`` points; None if none is linked.
+
+    The points are drawn by a hash among those whose smallest id is divisible by 20, and compared with all points.
+    """
+    asked = points.where(F.xxhash64("low") % 20 == 0) if not isinstance(points.schema["low"].dataType, T.IntegralType) else points.where("low % 20 = 0")
+    chosen = asked.orderBy(F.xxhash64("point", F.lit("audit"))).limit(AUDIT).select("point", "vector").toArrow()
     if not chosen.num_rows:
-        return 1.0
-    ids = chosen.column("point").to_numpy()
-    shared = points.sparkSession.sparkContext.broadcast(_unit(_matrix(chosen.column("vector"))))
+        return None
+    queries = {}
+    for part in chosen.combine_chunks().to_batches():
+        for own in _by_length(part, 1, AUDIT):
+            vectors = _unit(_matrix(own.column(1)))
+            queries.setdefault(vectors.shape[1], []).append((own.column(0).to_numpy(), vectors))
+    shared = points.sparkSession.sparkContext.broadcast({k: tuple(np.concatenate(x) for x in zip(*v)) for k, v in queries.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
+        totals = {k: np.zeros(len(ids), np.int64) for k, (ids, _) in shared.value.items()}
         for batch in batches:
-            if batch.num_rows:
-                close = shared.value @ _unit(_matrix(batch.column(1))).T >= least
-                other = batch.column(0).to_numpy()[None, :] != ids[:, None]
-                total += (close & other) @ batch.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["point", "truth"])
+            for part in _by_length(batch, 1, 1024):
+                own = _matrix(part.column(1))
+                if own.shape[1] in totals:
+                    ids, vectors = shared.value[own.shape[1]]
+                    close = vectors @ _unit(own).T >= least
+                    totals[own.shape[1]] += (close & (part.column(0).to_numpy()[None, :] != ids[:, None])) @ part.column(2).to_numpy()
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[k][0]), pa.array(total)], ["point", "truth"])
 
     truth = points.select("point", "vector", "n").mapInArrow(run, "point bigint, truth bigint").groupBy("point").agg(F.sum("truth").alias("truth"))
-    both = truth.join(counted, "point", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+    found = F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")
+    return truth.where("truth > 0").join(counted, "point", "left").agg(F.avg(found)).first()[0]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = THRESHOLD, overlap: int = 3) -> DataFrame:
@@ -298,27 +341,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
     component, and so does a vector whose id is null (its component is null and it is not kept). Equal vectors link
-    with each other. Vectors of another length than the most frequent one link with nothing but their equals. Rows that
-    repeat an id count as vectors of their own. An empty table gives an empty result.
+    with each other, and vectors of different lengths do not. Rows that repeat an id count as vectors of their own.
+    ``recall`` is null if no audited vector has links to others. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     points = _points(vectors, id_col, vector_col)
-    lengths = points.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    recall, result = 1.0, None
-    if lengths:
-        main = points.where(F.size("vector") == lengths["length"])
-        count = min(CENTRES, max(1, -(-lengths["n"] // CLUSTER)))
-        reach = min(1.0, 2.0 * SAMPLE / lengths["n"])
-        drawn = main.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(reach * (1 << 30))).limit(SAMPLE).select("vector").toArrow()
-        sample = drawn if drawn.num_rows else main.limit(SAMPLE).select("vector").toArrow()
-        centres = fit_centres(_unit(_matrix(sample.column("vector"))), count)
-        for attempt in range(ATTEMPTS):
-            found = _linked(main, centres, min(len(centres), overlap << attempt), least)
-            counted = found.groupBy("point").agg(F.sum("links").alias("links"))
-            recall = _audit(main, counted, least)
-            result = (found, counted)
-            if recall >= LEAST_RECALL or len(centres) <= overlap << attempt:
-                break
+    centres = _centres(points)
+    most = max((len(c) for _, c in centres), default=0)
+    recall, result = None, None
+    while centres:
+        found = _linked(points, centres, overlap, least)
+        counted = found.groupBy("point").agg(F.sum("links").alias("links"))
+        recall, result = _audit(points, counted, least), (found, counted)
+        if recall is None or recall >= LEAST_RECALL or overlap >= most:
+            break
+        overlap *= 2
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.select("id", F.transform("vector", lambda v: v + F.lit(0.0)).alias("vector"))
     if result is None:
@@ -334,7 +370,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joined = rows.join(named.withColumnRenamed("vector", "_same"), (F.col("vector") == F.col("_same")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
     return joined.select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall")
+        "id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("recall")
     )
 
 
