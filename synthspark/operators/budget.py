@@ -67,13 +67,33 @@ def budget_check(status: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def _judge(waiting: DataFrame) -> DataFrame:
+    """``waiting`` with ``_small``, ``_drops`` (takes what is left below its largest power of two) and ``_after`` (left then).
+
+    Both hold if no earlier request dropped it; the same amount is left for every waiting request of a tenant.
+    """
+    half = F.when(F.col("_left") > 0, F.expr("shiftleft(1L, length(bin(_left)) - 1)")).otherwise(F.lit(0).cast("long"))
+    # Many small requests may add up to more than a long holds.
+    taken = F.when(F.col("_small"), F.col("epsilon")).otherwise(0).cast("decimal(20,0)")
+    rows = waiting.withColumn("_half", half).withColumn("_small", F.col("epsilon") <= F.col("_half")).withColumn("_taken", taken)
+    rows = chunked_running_totals(rows, ["tenant_id"], "_chunk", ["seq", "request_id"], ["_taken"])
+    left = F.col("_left") - F.col("cum__taken")
+    after = F.when(F.col("_small"), left).otherwise(left - F.col("epsilon"))
+    drops = F.when(F.col("_small"), (left < F.col("_half")) & (left + F.col("_taken") >= F.col("_half"))).otherwise(after >= 0)
+    kept = ["request_id", "tenant_id", "seq", "epsilon", "_chunk", "_small"]
+    return rows.select(*kept, drops.alias("_drops"), F.when(drops, after).cast("long").alias("_after"))
+
+
 def budget_allocate(requests: DataFrame, budgets: DataFrame, chunks: int = 64) -> DataFrame:
     """Admit requests in order of ``seq`` per tenant while the budget lasts; a rejected one uses nothing.
 
     Input ``(request_id, tenant_id, seq, epsilon)`` and ``(tenant_id, budget)``. A rejection lets later,
-    smaller requests through, so running sums alone do not decide. Each round admits, for all tenants at
-    once, the longest run that fits and rejects everything larger than what is left; what remains open goes
-    to the next round. Sums run over time chunks, so a tenant with most of the requests is many tasks.
+    smaller requests through, so running sums alone do not decide. Let ``half`` be the largest power of two
+    up to what is left. While at least ``half`` is left, every request up to ``half`` fits, and as soon as a
+    larger one fits, less than ``half`` is left. So running sums of the small requests find, for all tenants
+    at once, the first request that takes a tenant below ``half``; everything before it is decided. Each
+    round takes a binary digit off what is left: there are at most 62, whatever the number of requests. Sums
+    run over time chunks, so a tenant with most of the requests is many tasks.
     """
     steps = doubles(i / chunks for i in range(1, chunks))
     cuts = requests.agg(F.percentile_approx("seq", steps, 1000).alias("c")).first()["c"] or []
@@ -86,19 +106,16 @@ def budget_allocate(requests: DataFrame, budgets: DataFrame, chunks: int = 64) -
     waiting = base.filter("epsilon <= budget").select("request_id", "tenant_id", "seq", "epsilon", "_chunk", F.col("budget").alias("_left"))
     admitted: list[DataFrame] = []
     while True:
-        summed = cut_lineage(chunked_running_totals(waiting, ["tenant_id"], "_chunk", ["seq", "request_id"], ["epsilon"]))
-        if summed.isEmpty():
+        judged = cut_lineage(_judge(waiting))
+        if judged.isEmpty():
             break
-        fits = summed.filter("cum_epsilon <= _left")
-        admitted.append(fits.select("request_id"))
-        used = fits.groupBy("tenant_id").agg(F.max("cum_epsilon").alias("_used"))
-        # The same amount is left for every open request of a tenant.
-        waiting = (
-            summed.filter("cum_epsilon > _left")
-            .join(used, "tenant_id", "left")
-            .withColumn("_left", F.col("_left") - F.coalesce("_used", F.lit(0)))
-            .filter("epsilon <= _left")
-            .select("request_id", "tenant_id", "seq", "epsilon", "_chunk", "_left")
+        first = judged.filter("_drops").groupBy("tenant_id").agg(F.min(F.struct("seq", "request_id", "_after")).alias("_first"))
+        told = judged.join(first, "tenant_id", "left")
+        at, drop = F.struct("seq", "request_id"), F.struct("_first.seq", "_first.request_id")
+        decided = F.col("_first").isNull() | (at < drop)
+        admitted.append(told.filter((decided & F.col("_small")) | (at == drop)).select("request_id"))
+        waiting = told.filter(~decided & (at != drop) & (F.col("epsilon") <= F.col("_first._after"))).select(
+            "request_id", "tenant_id", "seq", "epsilon", "_chunk", F.col("_first._after").alias("_left")
         )
     yes = base.select("request_id").limit(0)
     for part in admitted:
