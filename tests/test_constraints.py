@@ -106,3 +106,43 @@ def test_apply_until_clean(frame):
     hopeless = [Constraint("code", "regex", {"pattern": "Q"})]
     with pytest.raises(ValueError, match="After 5 rounds"):
         K.apply_constraints(frame, hopeless, keys=["id"], raise_on_unresolvable=True)
+
+
+def test_scans_do_not_grow_with_rules(spark, tmp_path):
+    """Any number of rules reads the table three times: row rules, table rules, samples of the lists."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, k % 7, f"v{k % 11}", k / 2) for k in range(200)], "id long, fk int, g string, x double").write.parquet(path)
+    df = spark.read.parquet(path)
+    parent = spark.createDataFrame([(k,) for k in (0, 1, 2, 2, None)], "key long")
+    few = [
+        Constraint("id", "unique"), Constraint("g", "enum", {"allowed_values": ["v0"]}), Constraint("x", "not_null"),
+        Constraint("fk", "foreign_key", {"parent_table": "p", "parent_key": "key"}),
+    ]
+    many = few + [Constraint(c, "unique") for c in ("fk", "g", "x")] + [Constraint("g", "enum", {"allowed_values": [f"v{k}"]}) for k in range(5)]
+    many += [Constraint("x", "foreign_key", {"parent_table": "p", "parent_key": "key"}), Constraint("fk", "foreign_key", {"parent_table": "none", "parent_key": "key"})]
+
+    def scans(rules):
+        plan = K.violation_messages(df, rules, {"p": parent})._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("parquet")
+
+    assert scans(few) == scans(many) == 3
+    assert K.validate(df, many, {"p": parent}) == [
+        "Column 'g' has 181 cells outside the listed values, among them [v1, v10, v2, v3, v4]",
+        "Column 'fk' has 113 cells without a parent; the parent table offers 3 keys",
+        "Column 'fk' has 193 cells that repeat an earlier one",
+        "Column 'g' has 189 cells that repeat an earlier one",
+        "Column 'g' has 181 cells outside the listed values, among them [v1, v10, v2, v3, v4]",
+        "Column 'g' has 181 cells outside the listed values, among them [v0, v10, v2, v3, v4]",
+        "Column 'g' has 182 cells outside the listed values, among them [v0, v1, v10, v3, v4]",
+        "Column 'g' has 182 cells outside the listed values, among them [v0, v1, v10, v2, v4]",
+        "Column 'g' has 182 cells outside the listed values, among them [v0, v1, v10, v2, v3]",
+        "Column 'x' has 197 cells without a parent; the parent table offers 3 keys",
+    ]
+
+
+def test_keys_of_other_types_and_empty_parents(spark):
+    df = spark.createDataFrame([("1", 1.0, 1), ("2", 1.5, 2), (None, None, None), ("x", 2.0, 9)], "s string, d double, i int")
+    parent = spark.createDataFrame([(1,), (2,)], "key int")
+    rules = [Constraint(c, "foreign_key", {"parent_table": t, "parent_key": "key"}) for t in ("p", "empty") for c in ("d", "i")]
+    got = K.violation_report(df, rules, {"p": parent, "empty": parent.limit(0)}).orderBy("position").collect()
+    assert [r["violating_rows"] for r in got] == [1, 1, 0, 0]
