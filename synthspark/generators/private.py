@@ -14,14 +14,15 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthspark.functions import columns as C
 from synthspark.functions.rng import normal_quantile, uniform
+from synthspark.generators import graphical as G
 from synthspark.generators.copula import ROW, partitions_for
-from synthspark.generators.marginals import category_table
+from synthspark.session import stored
 
 MAX_CELLS = 1_000_000
 MAX_EPSILON = 100.0
@@ -48,6 +49,16 @@ class Domain:
         known = F.array(*[F.lit(v) for v in self.values])
         return F.nullif(F.array_position(known, C.as_text(df, name)), F.lit(0)).cast("int") - 1
 
+    def place(self, value: Any) -> int:
+        """Cell number of one value; it must lie in the domain."""
+        if self.bins:
+            if not self.low <= float(value) <= self.high:
+                raise ValueError(f"{value} lies outside the public bounds")
+            return min(self.bins - 1, int((float(value) - self.low) / (self.high - self.low) * self.bins))
+        if str(value) not in self.values:
+            raise ValueError(f"'{value}' is not in the domain")
+        return self.values.index(str(value))
+
     def value(self, code: Column, u: Column, dtype: T.DataType) -> Column:
         if self.bins:
             x = self.low + (code + u) * ((self.high - self.low) / self.bins)
@@ -365,76 +376,148 @@ def aim_synth(
 # --- multiplicative weights --------------------------------------------------------------------------------
 
 
+def _group_cells(df: DataFrame, domains: Domains, groups: list[G.Group]) -> DataFrame:
+    """``(g, cell, n)``: exact counts of the occupied cells of groups of any width, and of all rows as group -1; one scan."""
+    sizes = [d.size for d in domains.values()]
+    codes = df.select(*[d.code(df, c).alias(G.key(i)) for i, (c, d) in enumerate(domains.items())])
+    places = [F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("cell"))]
+    places += [F.struct(F.lit(i).alias("g"), G.cell_number(sizes, g).alias("cell")) for i, g in enumerate(groups)]
+    return codes.select(F.inline(F.array(*places))).where("cell is not null").groupBy("g", "cell").agg(F.count("*").alias("n"))
+
+
 @dataclass
-class HistogramModel:
-    """Weights over all cells of the public domain."""
+class GraphicalModel:
+    """Junction tree over the columns that were measured together."""
 
-    spark: SparkSession
+    tree: G.JunctionTree
     domains: Domains
     dtypes: dict[str, T.DataType]
-    weights: np.ndarray
+    measured: list[tuple[str, ...]]
     epsilon_spent: float
 
+    def marginal(self, columns: list[str]) -> DataFrame:
+        """``(one code per column, w)``: the model's counts over the columns' domains."""
+        names = list(self.domains)
+        return self.tree.marginal([names.index(c) for c in columns]).select(*[F.col(G.key(names.index(c))).alias(c) for c in columns], "w")
+
+    def given(self, conditions: dict[str, Any]) -> G.JunctionTree:
+        """The tree with columns held at values: other cells of these columns have no weight."""
+        tree, names = self.tree, list(self.domains)
+        for c, value in conditions.items():
+            if c not in self.domains:
+                raise ValueError(f"column '{c}' is not in the domain")
+            column = names.index(c)
+            code = self.domains[c].place(value)
+            held = tree.marginal((column,))
+            factors = held.withColumn("_f", F.when(F.col(G.key(column)) == code, F.lit(tree.total) / F.col("w")).otherwise(0.0))
+            tree = tree.scaled((column,), factors)
+        return tree
+
     def sample(self, n: int, conditions: dict[str, Any] | None = None, seed: int = 0) -> DataFrame:
-        if conditions:
-            raise ValueError("a private histogram model cannot hold columns fixed")
-        flat = np.maximum(np.round(self.weights.ravel() / self.weights.sum() * 1e12), 0).astype("int64")
-        cells = self.spark.createDataFrame([(str(i), int(w)) for i, w in enumerate(flat) if w > 0], "value string, n long")
-        table = category_table(cells).select("bucket", "low", "high", "buckets", F.col("value").cast("long").alias("_cell"))
-        size = table.select("buckets").first()["buckets"]
-        rows = self.spark.range(0, n, 1, partitions_for(self.spark, n)).withColumnRenamed("id", ROW)
-        u = uniform(F.col(ROW), "cell", seed)
-        drawn = rows.withColumn("_u", u).withColumn("bucket", F.least(F.floor(F.col("_u") * size), F.lit(size - 1)))
-        hit = drawn.join(table, "bucket").filter("_u >= low and _u < high")
-        out, stride = [], int(self.weights.size)
-        for c, d in self.domains.items():
-            stride //= d.size
-            code = F.pmod(F.floor(F.col("_cell") / stride), F.lit(d.size)).cast("int")
-            out.append(d.value(code, uniform(F.col(ROW), f"v:{c}", seed), self.dtypes[c]).alias(c))
-        return hit.select(*out)
+        """Columns are drawn one by one, each by its shares given the drawn columns of its clique."""
+        conditions = conditions or {}
+        tree, spark, names = self.given(conditions), self.tree.spark, list(self.domains)
+        rows = spark.range(0, n, 1, partitions_for(spark, n)).withColumnRenamed("id", ROW)
+        for column, before, clique in tree.steps():
+            own, known = G.key(column), G.keys(before)
+            weights = tree.table(clique).groupBy(*known, own).agg(F.sum("w").alias("w"))
+            running = Window.partitionBy(*known).orderBy(own)
+            share = weights.withColumn("_cut", F.sum("w").over(running) / F.nullif(F.sum("w").over(Window.partitionBy(*known)), F.lit(0.0)))
+            # All but the last cut, which is one but for rounding.
+            lists = share.where(F.col(own) < self.domains[names[column]].size - 1).groupBy(*known)
+            cuts = lists.agg(F.transform(F.array_sort(F.collect_list(F.struct(own, "_cut"))), lambda x: x["_cut"]).alias("_cuts"))
+            u = uniform(F.col(ROW), f"c:{names[column]}", seed)
+            if self.domains[names[column]].size == 1:
+                rows = rows.withColumn(own, F.lit(0))
+            elif known:
+                rows = rows.join(cuts, known).withColumn(own, TreeModel._place(F.col("_cuts"), u, 0)).drop("_cuts")
+            else:
+                # The values of one column, bounded by its public domain.
+                rows = rows.withColumn(own, TreeModel._place(C.doubles(cuts.first()["_cuts"]), u, 0))
+        out = []
+        for i, (c, d) in enumerate(self.domains.items()):
+            drawn = d.value(F.col(G.key(i)), uniform(F.col(ROW), f"v:{c}", seed), self.dtypes[c])
+            out.append((F.lit(conditions[c]).cast(self.dtypes[c]) if c in conditions else drawn).alias(c))
+        return rows.select(*out)
 
 
 def mwem_synth(
-    df: DataFrame, domains: Domains, epsilon: float, delta: float = 1e-5, rounds: int | None = None, seed: int | None = None
-) -> HistogramModel:
-    """Multiplicative weights over the whole domain, driven by privately chosen one- and two-column counts.
-
-    The table is read once, as counts of the workload groups; rounds touch only these. A twentieth of epsilon
-    goes to the row count.
+    df: DataFrame,
+    domains: Domains,
+    epsilon: float,
+    delta: float = 1e-5,
+    rounds: int | None = None,
+    seed: int | None = None,
+    width: int = 2,
+    workload: list[tuple[str, ...]] | None = None,
+    max_cells: int = MAX_CELLS,
+    sweeps: int = 1,
+) -> GraphicalModel:
+    """Multiplicative weights driven by privately chosen counts over groups of up to ``width`` columns, or a given workload.
+
+    Each round picks the group on which the model is furthest off, measures it with noise and scales the model's cells
+    towards the measurement; ``sweeps`` more passes go over all measurements at the end. The weights are a junction
+    tree, so the domain as a whole may have any number of cells; ``max_cells`` bounds the largest clique, and a group that
+    would need a larger one is never a candidate, which depends on the public domains alone. The table is read once. A
+    twentieth of epsilon goes to the row count.
     """
     check_budget(epsilon, delta)
-    names = list(domains)
-    shape = tuple(domains[c].size for c in names)
-    if math.prod(shape) > MAX_CELLS:
-        raise ValueError(f"{math.prod(shape)} domain cells exceed {MAX_CELLS}; use coarser public domains")
+    spark, names = df.sparkSession, list(domains)
+    sizes = [domains[c].size for c in names]
+    if workload is None:
+        groups = [g for k in range(1, min(width, len(names)) + 1) for g in itertools.combinations(range(len(names)), k)]
+    else:
+        groups = [tuple(sorted(names.index(c) for c in g)) for g in workload]
     seed = secret_seed() if seed is None else seed
     rng = np.random.default_rng(seed)
-    groups: list[tuple[str, ...]] = [(c,) for c in names] + list(itertools.combinations(names, 2))
     rounds = rounds or max(2 * len(names), 4)
-    exact = _arrays(_cell_counts(df, domains, groups), domains, groups)
+    counts = stored(_group_cells(df, domains, groups), "group-cells")
     count_part, part = epsilon / 20, epsilon * 19 / 20 / rounds
-    total = max(float(exact[0].sum()) + _integer_noise(rng, count_part, ()), 1.0)
-    weights = np.full(shape, total / math.prod(shape))
-    axes = [tuple(names.index(c) for c in g) for g in groups]
-
-    def project(i: int) -> np.ndarray:
-        kept = weights.sum(axis=tuple(a for a in range(len(names)) if a not in axes[i]))
-        return kept.reshape(exact[i].shape)
-
-    for _ in range(rounds):
-        scores = {i: float(np.abs(exact[i] - project(i)).sum()) - exact[i].size for i in range(len(groups))}
-        i = _choose(scores, part / 2, 1.0, rng)
-        measured = np.maximum(exact[i] + _integer_noise(rng, part / 2, exact[i].shape), 0.0)
-        for _ in range(10):
-            ratio = np.exp((measured - project(i)) / (2 * total))
-            weights = weights * ratio.reshape([shape[a] if a in axes[i] else 1 for a in range(len(names))])
-            weights *= total / weights.sum()
-        # A direct scaling step on the measured cells speeds up convergence.
-        scale = np.clip((measured + 0.5) / (project(i) + 0.5), 0.05, 20.0)
-        weights = weights * scale.reshape([shape[a] if a in axes[i] else 1 for a in range(len(names))])
-        weights *= total / weights.sum()
+    rows = counts.where("g = -1").first()
+    total = max(float((rows["n"] if rows else 0) + _integer_noise(rng, count_part, ())), 1.0)
+    tree = G.JunctionTree.uniform(spark, sizes, total)
+    measured: list[tuple[G.Group, DataFrame]] = []
+    off: dict[int, float] = {}
+    touched: set[int] = set()
+
+    for turn in range(rounds):
+        open_groups = [i for i, g in enumerate(groups) if tree.holder(g) is not None or G.largest_table(sizes, [*tree.cliques, g]) <= max_cells]
+        if not open_groups:
+            break
+        # A group none of whose columns the last step could reach has the answer it had.
+        stale = [i for i in open_groups if i not in off or touched & set(groups[i])]
+        if stale:
+            apart = tree.marginals({i: groups[i] for i in stale}).join(counts, ["g", "cell"], "left")
+            found = apart.groupBy("g").agg(F.sum(F.abs(F.coalesce("n", F.lit(0)) - F.col("w"))).alias("off")).collect()
+            off |= {r["g"]: r["off"] for r in found}
+        # What a measurement would be off by itself: the mean size of two-sided geometric noise is below 2 / epsilon.
+        scores = {i: off[i] - math.prod(sizes[c] for c in groups[i]) * 2 / part for i in open_groups}
+        pick = _choose(scores, part / 2, 1.0, rng)
+        group = groups[pick]
+        own = counts.where(F.col("g") == pick).select("cell", "n")
+        every = G.cells(spark, sizes, group).withColumn("cell", G.cell_number(sizes, group)).join(own, "cell", "left")
+        noisy = F.coalesce("n", F.lit(0)) + _noise(F.concat_ws(":", F.lit(turn), "cell"), part / 2, None, seed)
+        seen = stored(every.select(*G.keys(group), F.greatest(F.lit(0), noisy).cast("double").alias("y")), "measured")
+        measured.append((group, seen))
+        if tree.holder(group) is None:
+            tree = tree.over([group])
+        tree = _agreeing(tree, group, seen)
+        touched = tree.reach(group)
+    for _ in range(sweeps):
+        for group, seen in measured:
+            tree = _agreeing(tree, group, seen)
     dtypes = {c: df.schema[c].dataType for c in names}
-    return HistogramModel(df.sparkSession, domains, dtypes, weights, epsilon)
+    chosen = list(dict.fromkeys(tuple(names[c] for c in g) for g, _ in measured))
+    return GraphicalModel(tree, domains, dtypes, chosen, epsilon)
+
+
+def _agreeing(tree: G.JunctionTree, group: G.Group, seen: DataFrame) -> G.JunctionTree:
+    """Tree scaled on the group's cells towards measured counts, by a factor of 20 at most either way."""
+    both = tree.marginal(group).join(seen, G.keys(group))
+    ratio = (F.col("y") + 0.5) / (F.col("w") + 0.5)
+    step = both.withColumn("_f", F.least(F.lit(20.0), F.greatest(F.lit(0.05), ratio)))
+    whole = step.agg(F.sum(F.col("w") * F.col("_f"))).first()[0]
+    return tree.scaled(group, step.withColumn("_f", F.col("_f") * (tree.total / whole)))
 
 
 def _integer_noise(rng: np.random.Generator, epsilon: float, shape) -> np.ndarray:

@@ -6,8 +6,9 @@ Synthetic rows have no SQL twin, so these queries return facts about them: sizes
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthspark.functions.rng import normal
@@ -236,6 +237,42 @@ def _(t):
     return _private_facts(t, mwem_synth(t.orders, DOMAINS, 20.0, seed=11))
 
 
+WIDE = {
+    "l_quantity": Domain(low=0, high=51, bins=51),
+    "l_extendedprice": Domain(low=0, high=110_000, bins=1100),
+    "l_discount": Domain(low=0, high=0.11, bins=11),
+    "l_tax": Domain(low=0, high=0.09, bins=9),
+    "l_returnflag": Domain(("A", "N", "R")),
+    "l_linestatus": Domain(("F", "O")),
+    "l_season": Domain(("1", "2", "3", "4")),
+}
+WIDE_WORKLOAD = [("l_quantity",), ("l_discount",), ("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linestatus", "l_season")]
+
+
+@query(
+    "mwem_wide_domain",
+    """SELECT g.marginal, g.cells, count(*) AS n_rows, true AS within_bound
+       FROM lineitem, (VALUES ('l_quantity', 51::BIGINT), ('l_discount', 11), ('l_returnflag,l_linestatus', 6), ('l_returnflag,l_linestatus,l_season', 24)) g(marginal, cells)
+       GROUP BY g.marginal, g.cells""",
+)
+def _(t):
+    """Total variation between the model's counts at epsilon 1 and the exact ones, on a domain of more than 1e8 cells."""
+    real = t.lineitem.withColumn("l_season", F.quarter("l_shipdate").cast("string"))
+    rounds = 6
+    model = mwem_synth(real, WIDE, 1.0, rounds=rounds, seed=5, workload=WIDE_WORKLOAD)
+    exact, n = stored(real.select(*[d.code(real, c).alias(c) for c, d in WIDE.items()]), "codes"), real.count()
+    out = []
+    for g in WIDE_WORKLOAD:
+        size = math.prod(WIDE[c].size for c in g)
+        # Twice the expected noise of one measurement, and a fiftieth for the group's neighbours.
+        bound = 0.02 + size * 2 / (0.95 / rounds / 2) / max(n, 1)
+        both = model.marginal(list(g)).join(exact.groupBy(*g).agg(F.count("*").alias("n")), list(g), "full")
+        apart = F.sum(F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("w", F.lit(0.0)))) / (2.0 * max(n, 1))
+        facts = [F.lit(",".join(g)).alias("marginal"), F.lit(size).cast("long").alias("cells"), F.lit(n).alias("n_rows"), (apart <= bound).alias("within_bound")]
+        out.append(both.agg(*facts))
+    return reduce(DataFrame.union, out)
+
+
 @query("aim_synth", _PRIVATE)
 def _(t):
     return _private_facts(t, aim_synth(t.orders, DOMAINS, 20.0, seed=11))
