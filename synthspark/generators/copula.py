@@ -163,6 +163,11 @@ def score_correlation(named: DataFrame, d: int, attenuation: list[float] | None
             if row[f"r{k}"] is not None and spread[a] * spread[b] > 1e-12:
                 r = (row[f"r{k}"] - row[f"m{a}"] * row[f"m{b}"]) / (spread[a] * spread[b])
                 matrix[a, b] = matrix[b, a] = min(0.999, max(-0.999, r / (weak[a] * weak[b])))
+    return positive_correlation(matrix)
+
+
+def positive_correlation(matrix: np.ndarray) -> np.ndarray:
+    """The matrix without its negative eigenvalues, with ones on the diagonal again."""
     values, vectors = np.linalg.eigh(matrix)
     fixed = (vectors * np.clip(values, 1e-9, None)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))

@@ -654,14 +654,14 @@ def _(t):
     return H.job_status(_events(t))
 
 
-@query(
-    "invalid_transitions",
-    f"""SELECT event_id, job_id, previous_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS previous_status
+TRANSITIONS_SQL = f"""SELECT event_id, job_id, previous_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS previous_status
           FROM {_JOBS} e) WHERE NOT coalesce(CASE previous_status WHEN 'queued' THEN status IN ('training', 'failed')
             WHEN 'training' THEN status IN ('generating', 'failed') WHEN 'generating' THEN status IN ('validating', 'failed')
             WHEN 'validating' THEN status IN ('complete', 'failed') WHEN 'complete' THEN false WHEN 'failed' THEN false
-            ELSE status = 'queued' END, false)""",
-)
+            ELSE status = 'queued' END, false)"""
+
+
+@query("invalid_transitions", TRANSITIONS_SQL)
 def _(t):
     return H.invalid_transitions(_events(t))
 
