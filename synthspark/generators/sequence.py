@@ -372,25 +372,33 @@ class LongSequenceModel:
     season: np.ndarray
     weights: np.ndarray
     covariance: np.ndarray
+    # Residual blocks ``(_phase, _index, residuals)`` and how many there are per phase of their first step.
     blocks: DataFrame
-    n_blocks: int
+    n_blocks: dict[int, int]
     segment: int
     length: int
 
     def sample(self, sequences: int, length: int | None = None, seed: int = 0) -> DataFrame:
         """``(key, index, measures)``: steps are numbered from 0; residuals come in whole blocks.
 
-        Every segment is made by a task of its own, from the state that the segments before it lead to.
+        A segment takes a block that started in its own phase of the season, or in the nearest one that any block
+        started in: residuals of a peak are not those of a trough. Every segment is made by a task of its own, from the state that the segments before it lead to.
         """
         length = length or self.length
         lags, d, _ = self.weights.shape
         n_segments = math.ceil(length / self.segment)
         base = self.spark.range(0, sequences).withColumnRenamed("id", ROW)
         wanted = base.select(ROW, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_segments - 1).cast("long"))).alias("_b"))
-        pick = md5_index(F.concat_ws(":", F.col(ROW), F.col("_b")), f"block:{seed}", self.n_blocks)
+        phases = len(self.season)
+        apart = lambda p, q: min((p - q) % phases, (q - p) % phases)
+        sources = [min(self.n_blocks, key=lambda q: (apart(p, q), q)) for p in range(phases)]
+        at = F.pmod(F.col("_b") * self.segment, F.lit(phases)).cast("int")
+        wanted = wanted.withColumn("_phase", F.get(F.array(*[F.lit(q) for q in sources]), at))
+        choice = F.get(F.array(*[F.lit(self.n_blocks[q]).cast("long") for q in sources]), at)
+        pick = md5_index(F.concat_ws(":", F.col(ROW), F.col("_b")), f"block:{seed}", choice)
         # Tasks by steps, however few sequences there are.
         parts = math.ceil(sequences * n_segments * self.segment / PART_STEPS)
-        drawn = stored(wanted.withColumn("_index", pick).join(self.blocks, "_index").select(ROW, "_b", "residuals"), "segments")
+        drawn = stored(wanted.withColumn("_index", pick).join(self.blocks, ["_phase", "_index"]).select(ROW, "_b", "residuals"), "segments")
         weights, segment, season = self.weights, self.segment, self.season
         matrix = companion(weights)
         noise = np.zeros_like(matrix)
@@ -493,22 +501,28 @@ def long_sequence_fit(
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = weights.transpose(1, 0, 2).reshape(d, lags * d)
         for batch in batches:
-            keys, found = [], []
+            keys, starts, found = [], [], []
             for name, block, first, home, values in zip(*(batch.column(c).to_pylist() for c in ("name", "_block", "first", "home")), batch.column("values")):
                 rows = lagged(values.values.to_numpy().reshape(-1, d), home - first, home, lags, phases)
                 rest = rows[:, :d] - rows[:, d:] @ flat.T
                 for at in range(0, len(rest), segment_size):
                     part = rest[at : at + segment_size]
-                    # A short last segment is filled up by its own start, so that all have the same size.
-                    found.append(np.resize(part, (segment_size, d)).ravel())
+                    # A short last segment is filled up by its own steps, in phase if it holds a season, so that all
+                    # have the same size.
+                    places, n = np.arange(segment_size), len(part)
+                    own = places % n if len(phases) == 1 or n < len(phases) else np.where(places < n, places, n - len(phases) + (places - n) % len(phases))
+                    found.append(part[own].ravel())
                     keys.append(f"{name}:{block}:{at}")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.float64()))], ["_key", "residuals"])
+                    starts.append((first - 1 + max(home - first, lags) + at) % len(phases))
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((keys, starts, found), kinds)], ["_key", "_phase", "residuals"])
 
     named = blocks.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("name"), "_block", "first", "home", "values")
-    whole = stored(named.mapInArrow(residuals, "_key string, residuals array<double>"), "residuals")
-    count = whole.count()
-    if not count:
+    whole = stored(named.mapInArrow(residuals, "_key string, _phase int, residuals array<double>"), "residuals")
+    counts = {r["_phase"]: r["n"] for r in whole.groupBy("_phase").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         raise ValueError(f"no sequence has more than {lags} steps")
-    drawable = stored(indexed_keys(whole.select("_key")).join(whole, "_key").select("_index", "residuals"), "residuals")
+    numbered_blocks = indexed_keys(whole.select("_key", "_phase"), within=["_phase"])
+    drawable = stored(numbered_blocks.join(whole.drop("_phase"), "_key").select("_phase", "_index", "residuals"), "residuals")
     longest = numbered.agg(F.max("_n").alias("m")).first()["m"]
-    return LongSequenceModel(df.sparkSession, key, index, marginals, phases, weights, covariance, drawable, count, segment_size, longest)
+    return LongSequenceModel(df.sparkSession, key, index, marginals, phases, weights, covariance, drawable, counts, segment_size, longest)

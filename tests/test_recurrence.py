@@ -124,6 +124,30 @@ def test_long_sequences_keep_season_and_cross_effects(spark):
     assert begun == pytest.approx(np.std(real.a[::12]), rel=0.2)
 
 
+def test_skewed_residuals_stay_in_their_phase(spark):
+    """Rare large values lie far out in a trough's scores; drawn into a peak they would be far too large."""
+    df = stored(spark.range(20_000).selectExpr("1 as k", "id as t", "-2.5D * ln((pmod(xxhash64(id), 100000) + 1) / 100001.0D) + 3 * sin(2 * pi() * (id % 24) / 24) as v"))
+    made = stored(long_sequence_fit(df, "k", "t", "v").sample(1, seed=3))
+
+    def facts(rows):
+        before = rows.selectExpr("t + 1 as t", "v as last")
+        return rows.join(before, "t").agg(F.corr("v", "last").alias("lag"), F.stddev("v").alias("spread")).first()
+
+    want, got = facts(df), facts(made)
+    assert got["lag"] == pytest.approx(want["lag"], abs=0.04)
+    assert got["spread"] == pytest.approx(want["spread"], rel=0.08)
+
+
+def test_short_segments_are_filled_in_phase(spark):
+    """Without noise the residuals repeat with the season, whatever segments and sequence lengths are."""
+    df = stored(spark.range(1130).selectExpr("id % 5 as k", "id div 5 as t", "cast((id div 5) % 6 as double) as v"))
+    model = long_sequence_fit(df, "k", "t", "v", segment_size=15, lags=2, season=6)
+    assert sum(model.n_blocks.values()) == model.blocks.count() and all(0 <= p < 6 for p in model.n_blocks)
+    indices = model.blocks.groupBy("_phase").agg(F.count("*").alias("n"), F.count_distinct("_index").alias("d"), F.max("_index").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 == model.n_blocks[r["_phase"]] for r in indices)
+    assert model.sample(3, 40).count() == 120
+
+
 def test_a_million_steps_are_many_tasks(spark):
     df = spark.range(4000).select(F.lit(1).alias("k"), "id", F.sin(F.col("id") / 3).alias("v"))
     model = long_sequence_fit(df, "k", "id", "v", max_season=50)
