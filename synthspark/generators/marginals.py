@@ -18,6 +18,8 @@ from synthspark.operators.profile import sdtypes as detect
 from synthspark.session import stored
 
 KNOTS = 64
+# Ranks below the first and above the last inner knot where a long tail is looked at too: halves down to 1 in 4,096.
+TAILS = tuple(2.0**-k for k in range(12, 6, -1))
 # Categories up to this many live in the plan as literals; longer lists stay a table and are looked up by joins.
 # Both take part in the joint model in the same way.
 LITERAL_CATEGORIES = 100
@@ -30,7 +32,10 @@ DISTRIBUTIONS = ("beta", "gamma", "norm", "truncnorm", "uniform", "empirical")
 
 @dataclass(frozen=True)
 class Marginal:
-    """Fitted column. ``grid`` holds evenly spaced quantiles; ``shares`` cumulative category shares."""
+    """Fitted column. ``grid`` holds evenly spaced quantiles; ``shares`` cumulative category shares.
+
+    ``head`` and ``tail``, if any, are the quantiles at the ranks ``TAILS`` and as far from the other end.
+    """
 
     name: str
     kind: str
@@ -44,6 +49,8 @@ class Marginal:
     shares: tuple[float, ...] = ()
     table: DataFrame | None = field(default=None, compare=False)
     table_attenuation: float = 1.0
+    head: tuple[float, ...] = ()
+    tail: tuple[float, ...] = ()
 
     @property
     def modelled(self) -> bool:
@@ -55,7 +62,7 @@ class Marginal:
     def unit(self, df: DataFrame) -> Column:
         """Unit position; that of a long category list is looked up beforehand, see ``with_table_units``."""
         if self.kind == "number":
-            u = _interpolate(C.as_double(df, self.name), *_knots(self.grid))
+            u = _interpolate(C.as_double(df, self.name), *_knots(self.grid, self.head, self.tail))
         elif self.table is not None:
             u = C.quoted(_unit_name(self.name))
         else:
@@ -91,7 +98,7 @@ class Marginal:
                 raise ValueError(f"'{value}' was never seen in column '{self.name}'")
             i = self.categories.index(text)
             return (self.shares[i - 1] if i else 0.0), self.shares[i]
-        knots, units = _knots(self.grid)
+        knots, units = _knots(self.grid, self.head, self.tail)
         u = float(np.clip(np.interp(float(value), knots, units), EDGE, 1 - EDGE))
         return u, u
 
@@ -105,10 +112,19 @@ class Marginal:
         grid = C.doubles(self.grid)
         lower, upper = F.get(grid, place), F.get(grid, place + 1)
         x = lower + (upper - lower) * (u * steps - place)
+        if self.tail:
+            x = F.when(u < 1 / steps, self._between(u, 0)).when(u >= 1 - 1 / steps, self._between(u, len(TAILS) + steps - 1)).otherwise(x)
         if clip:
             x = F.least(F.lit(self.high), F.greatest(F.lit(self.low), x))
         return self.stored(x, rounded)
 
+    def _between(self, u: Column, first: int) -> Column:
+        """Value at a rank in one of the ``len(TAILS) + 1`` cells from number ``first`` on."""
+        values, units = _points(self.grid, self.head, self.tail)
+        cells = range(first, first + len(TAILS) + 1)
+        made = [values[i] + (u - units[i]) * ((values[i + 1] - values[i]) / (units[i + 1] - units[i])) for i in cells]
+        return _tree(u, [units[i] for i in cells[1:]], [F.lit(x) if isinstance(x, float) else x for x in made])
+
     def stored(self, x: Column, rounded: bool = True) -> Column:
         """Number in the storage type of the column."""
         if C.is_datetime(self.dtype):
@@ -147,16 +163,25 @@ def _tree(u: Column, cuts: list[float], leaves: list[Column]) -> Column:
     )
 
 
-def _knots(grid: tuple[float, ...]) -> tuple[list[float], list[float]]:
-    """Distinct quantiles with the middle of the run of unit positions each one covers."""
+def _points(grid: tuple[float, ...], head: tuple[float, ...] = (), tail: tuple[float, ...] = ()) -> tuple[list[float], list[float]]:
+    """All quantiles with their ranks."""
     last = len(grid) - 1
+    units = [i / last for i in range(last + 1)]
+    if tail:
+        grid = (grid[0], *head, *grid[1:-1], *tail, grid[-1])
+        units = [units[0], *TAILS, *units[1:-1], *(1 - r for r in reversed(TAILS)), units[-1]]
+    return list(grid), units
+
+
+def _knots(grid: tuple[float, ...], head: tuple[float, ...] = (), tail: tuple[float, ...] = ()) -> tuple[list[float], list[float]]:
+    """Distinct quantiles with the middle of the run of unit positions each one covers."""
     values, spots = [], []
-    for i, g in enumerate(grid):
+    for g, unit in zip(*_points(grid, head, tail)):
         if values and g == values[-1]:
-            spots[-1].append(i / last)
+            spots[-1].append(unit)
         else:
             values.append(g)
-            spots.append([i / last])
+            spots.append([unit])
     return values, [(s[0] + s[-1]) / 2 for s in spots]
 
 
@@ -219,8 +244,13 @@ def fit_marginals(
     sdtypes: dict[str, str] | None = None,
     distribution: str = "beta",
     per_column: dict[str, str] | None = None,
+    tails: bool = False,
 ) -> list[Marginal]:
-    """Marginals of all columns from two aggregates: one wide pass and one count of categories."""
+    """Marginals of all columns from two aggregates: one wide pass and one count of categories.
+
+    With ``tails`` empirical numbers have finer quantiles at both ends, so that few far values are not spread over the
+    whole outermost part.
+    """
     kinds = {**(detect(df) if sdtypes is None or set(df.columns) - set(sdtypes) else {}), **(sdtypes or {})}
     chosen = {c: (per_column or {}).get(c, distribution) for c in df.columns}
     bad = {c: d for c, d in chosen.items() if d not in DISTRIBUTIONS}
@@ -230,7 +260,8 @@ def fit_marginals(
     numbers = [c for c, r in roles.items() if r == "number"]
     texts = [c for c, r in roles.items() if r == "text"]
     groups = [c for c, r in roles.items() if r == "category"]
-    steps = C.doubles(i / KNOTS for i in range(KNOTS + 1))
+    ranks = [i / KNOTS for i in range(KNOTS + 1)]
+    steps = C.doubles([*ranks, *TAILS, *(1 - r for r in reversed(TAILS))] if tails else ranks)
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(df.columns):
         aggs.append(F.count(C.quoted(c)).alias(f"c{i}"))
@@ -261,10 +292,12 @@ def fit_marginals(
             if row[f"lo{i}"] is None:
                 out.append(Marginal(c, "number", dtype, 1.0, (0.0, 0.0), 0.0, 0.0, decimals))
                 continue
-            grid = quantile_grid(chosen[c], row[f"q{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"v{i}"])
-            out.append(Marginal(c, "number", dtype, gone, grid, row[f"lo{i}"], row[f"hi{i}"], decimals))
+            quantiles = row[f"q{i}"][: KNOTS + 1]
+            ends = tuple(float(x) for x in row[f"q{i}"][KNOTS + 1 :]) if chosen[c] == "empirical" and row[f"hi{i}"] > row[f"lo{i}"] else ()
+            grid = quantile_grid(chosen[c], quantiles, row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"v{i}"])
+            out.append(Marginal(c, "number", dtype, gone, grid, row[f"lo{i}"], row[f"hi{i}"], decimals, head=ends[: len(TAILS)], tail=ends[len(TAILS) :]))
         elif role == "text":
-            out.append(Marginal(c, "text", dtype, gone, tuple(row[f"q{i}"] or (1.0, 1.0))))
+            out.append(Marginal(c, "text", dtype, gone, tuple((row[f"q{i}"] or (1.0, 1.0))[: KNOTS + 1])))
         elif role == "category":
             names, cumulative, table = shares[c]
             weak = _table_attenuation(table) if table is not None else 1.0

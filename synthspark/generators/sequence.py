@@ -101,7 +101,8 @@ class SequenceModel:
     """Context copula (with length and start), gap grid, and what drives the steps.
 
     Scores of the measures ``vector`` follow a vector autoregression around a level set by the context, the categories
-    ``chained`` follow Markov chains of the context.
+    ``chained`` follow Markov chains of the context. Scores become ranks by the distribution that they have over all
+    contexts, so that the values are spread like the real ones.
     """
 
     spark: SparkSession
@@ -116,6 +117,8 @@ class SequenceModel:
     carry: np.ndarray
     effect: np.ndarray
     covariance: np.ndarray
+    # Levels of the measures over the steps' contexts (d, KNOTS), ascending, each for an equal share of the steps.
+    levels: np.ndarray
     chained: list[Marginal]
     chains: list[Chain]
     columns: list[str]
@@ -136,8 +139,6 @@ class SequenceModel:
         out = {self.key: self._key_value(), self.index: self._index_value(seed)}
         for m in self.static:
             out[m.name] = C.quoted(m.name)
-        bounded = [normal_cdf(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col(f"_y{i}")))).alias(f"_p{i}") for i in range(len(self.vector))]
-        rows = rows.select("*", *bounded)
         for i, m in enumerate(self.vector):
             value = m.value(F.col(f"_p{i}"))
             if m.null_share > 0:
@@ -166,7 +167,7 @@ class SequenceModel:
         return x.cast(self.index_type)
 
     def _steps(self, context: DataFrame, seed: int) -> DataFrame:
-        """One row per step: the context with ``_t``, scores ``_y{i}`` and middles of category intervals ``_q{j}``.
+        """One row per step: the context with ``_t``, ranks ``_p{i}`` of scores and middles of category intervals ``_q{j}``.
 
         A piece of a sequence is made from the state that the pieces before it lead to; its draws hang on the sequence
         and the piece alone.
@@ -174,7 +175,9 @@ class SequenceModel:
         d, chains, widest = len(self.vector), self.chains, PIECE
         weights, level = self.carry[None], np.linalg.solve(np.eye(d) - self.carry, self.effect)
         shock = root_of(self.covariance)
-        start = root_of(stationary(self.carry, self.covariance))
+        around_level = stationary(self.carry, self.covariance)
+        start = root_of(around_level)
+        ranks = [ranks_of(self.levels[i], math.sqrt(max(around_level[i, i], 0.0))) for i in range(d)]
         middles = []
         for m, chain in zip(self.chained, chains):
             edges = np.array([0.0, *m.shares])
@@ -235,7 +238,7 @@ class SequenceModel:
                 steps = batch.column("_end").to_numpy() - batch.column("_start").to_numpy() + 1
                 inside = np.arange(noise.shape[1]) < steps[:, None]
                 owner, at = np.nonzero(inside)
-                made = [pa.array(scores[inside][:, i]) for i in range(d)]
+                made = [pa.array(np.interp(scores[inside][:, i], *ranks[i])) for i in range(d)]
                 bucket, states = batch.column("_bucket").to_numpy(), batch.column("_states").flatten().to_numpy().reshape(count, len(chains)).astype(np.int64)
                 for j, chain in enumerate(chains):
                     current, path = states[:, j], np.zeros(inside.shape, np.int64)
@@ -247,7 +250,7 @@ class SequenceModel:
                 held = [batch.column(c).take(places) for c in kept]
                 yield pa.RecordBatch.from_arrays([*held, pa.array(at + batch.column("_start").to_numpy()[owner]), *made], names)
 
-        names = [*kept, "_t", *[f"_y{i}" for i in range(d)], *[f"_q{j}" for j in range(len(chains))]]
+        names = [*kept, "_t", *[f"_p{i}" for i in range(d)], *[f"_q{j}" for j in range(len(chains))]]
         starts = context.mapInArrow(begin, f"`{ROW}` bigint, _vector array<double>, _states array<double>")
         longest = context.agg(F.max("__length")).first()[0] or 1
         n_pieces = -(-int(longest) // widest)
@@ -269,6 +272,15 @@ class SequenceModel:
         return joined.mapInArrow(walk, T.StructType(fields))
 
 
+def ranks_of(levels: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending scores and their ranks, 0 to 1, in an equal mixture of normal distributions around ``levels``."""
+    middles, shares = np.unique(levels, return_counts=True)
+    spread = max(spread, 1e-6)
+    scores = np.unique(np.add.outer(middles, spread * np.linspace(-6, 6, 97)))
+    below = np.frompyfunc(lambda x: math.erfc(-x / math.sqrt(2)) / 2, 1, 1)
+    return scores, below((scores[:, None] - middles) / spread).astype(float) @ (shares / shares.sum())
+
+
 def steps_of(sequences: DataFrame, length: str) -> DataFrame:
     """One row per piece ``_g`` of a sequence with its first and last step."""
     last = F.floor((F.col(length) - 1) / PIECE)
@@ -302,7 +314,7 @@ def par_fit(
     static_kinds = {"__length": "numerical", "__start": "numerical", **{c: kinds[c] for c in context}}
     context_model = copula_fit(per_key.drop("__key"), static_kinds, "empirical")
     static = [m for m in context_model.marginals if m.name not in ("__length", "__start")]
-    fitted = fit_marginals(df.select(*[C.quoted(c) for c in measures]), {c: kinds[c] for c in measures}, "empirical")
+    fitted = fit_marginals(df.select(*[C.quoted(c) for c in measures]), {c: kinds[c] for c in measures}, "empirical", tails=True)
     if any(not m.modelled for m in fitted):
         raise ValueError(f"columns {[m.name for m in fitted if not m.modelled]} cannot follow an autoregression")
     chained = [m for m in fitted if m.kind == "category" and m.table is None]
@@ -331,6 +343,14 @@ def par_fit(
     if gram[0, 0] == 0:
         covariance = np.eye(d)
     carry = stabilised(solved[width:].T[None])[0] if d else np.zeros((0, 0))
+    levels = np.zeros((d, KNOTS))
+    if d and gram[0, 0] > 0:
+        # The levels that the contexts of the steps lead to, as middles of equal shares.
+        weights = np.linalg.solve(np.eye(d) - carry, solved[:width].T)
+        shares = C.doubles((k + 0.5) / KNOTS for k in range(KNOTS))
+        level = [F.aggregate(F.zip_with("_x", C.doubles(w), lambda x, v: x * v), F.lit(0.0), lambda a, b: a + b) for w in weights.tolist()]
+        row = moves.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"l{i}") for i, c in enumerate(level)]).first()
+        levels = np.array([row[f"l{i}"] for i in range(d)])
 
     chains = []
     for j, m in enumerate(chained):
@@ -347,7 +367,7 @@ def par_fit(
         chains.append(Chain.of_counts(counts))
     return SequenceModel(
         df.sparkSession, key, df.schema[key].dataType, index, df.schema[index].dataType, context_model, tuple(float(g) for g in (gaps or [1.0])), vector,
-        carry, solved[:width].T, (covariance + covariance.T) / 2, chained, chains, df.columns,
+        carry, solved[:width].T, (covariance + covariance.T) / 2, levels, chained, chains, df.columns,
     )
 
 

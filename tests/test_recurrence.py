@@ -238,6 +238,19 @@ def test_steps_follow_context_and_other_measures(spark):
     assert made.groupBy("k").agg(F.count_distinct("side").alias("d"), F.count("*").alias("n")).agg(F.max("d"), F.min("n")).first() == (1, 1200)
 
 
+def test_long_tails_and_context_levels_keep_their_spread(spark):
+    """Few values lie far out, and one context lies higher: neither may widen what is made."""
+    far = "-30 * ln((pmod(xxhash64(id), 1000000) + 1) / 1000001.0D)"
+    df = stored(spark.range(20_000).selectExpr("id % 400 as k", "id div 400 as t", "if(id % 400 < 100, 'hi', 'lo') as side", f"{far} + if(id % 400 < 100, 40, 0) + if(id = 7, 3000, 0) as v"))
+    kinds = {"k": "id", "t": "numerical", "side": "categorical", "v": "numerical"}
+    made = stored(par_fit(df, "k", "t", ["side"], kinds).sample(2000, seed=1))
+    facts = [F.avg("v").alias("mean"), F.percentile_approx("v", 0.99).alias("far"), F.avg(F.when(F.col("side") == "hi", F.col("v"))).alias("hi")]
+    want, got = df.agg(*facts, F.stddev("v").alias("spread")).first(), made.agg(*facts, F.stddev("v").alias("spread")).first()
+    assert got["spread"] == pytest.approx(want["spread"], rel=0.25)
+    for c in ("mean", "far", "hi"):
+        assert got[c] == pytest.approx(want[c], rel=0.12)
+
+
 def test_categories_alone_and_single_steps(spark):
     df = frame(spark, [(k, t, "x" if (k + t) % 2 else "y") for k in range(20) for t in range(1 + k % 4)], "k long, t long, c string")
     made = stored(par_fit(df, "k", "t", sdtypes={"k": "id", "t": "numerical", "c": "categorical"}).sample(200, seed=1))
