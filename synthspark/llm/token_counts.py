@@ -35,6 +35,8 @@ _LONGEST = 64
 MASKS = {"<EMAIL>": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<IP>": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<NUMBER>": r"\b\d{5,}\b"}
 # Every masked string matches this cheaper pattern.
 MASKABLE = r"@|[0-9]{5}|[0-9]\.[0-9]"
+# Bits of the marks that tell which documents may have edits.
+MARKS = 1 << 23
 EDITS = "seq int, start int, length int, replacement string"
 
 
@@ -186,6 +188,20 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"doc {kind}, tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key may be in ``wanted``: all that are, and of the others those that fall on a marked bit.
+
+    The marks are a table of 1 MB at most, whatever there is to find.
+    """
+    place = F.pmod(F.xxhash64(*[F.col(c).cast(rows.schema[c].dataType) for c in key]), F.lit(MARKS))
+    placed = wanted.where("id IS NOT NULL").select(place.alias("place"))
+    marks = placed.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    asked = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(marks), "bucket")
+    bit = F.bitmap_bit_position("place")
+    octet = F.conv(F.hex(F.substring("marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return asked.where(F.getbit(octet, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Edited documents: ``(doc, text, tokens, leaf_chars, leaf_tokens, edits, reencoded)``, keyed as before the edits.
 
@@ -198,8 +214,10 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str
     key = [c for c in ("id", "print") if c in edits.columns]
     # A document's edits are one log, as long as its history.
     logs = edits.where("id IS NOT NULL").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("log"))
-    known = _keyed(docs, id_col, text_col).where("text IS NOT NULL").dropDuplicates(["doc"])
-    rows = known.select("doc", "text", *[F.col(f"doc.{c}").alias(c) for c in key]).join(logs, key).drop(*key)
+    known = _keyed(docs, id_col, text_col).where("text IS NOT NULL")
+    # Texts without edits stay where they are but for a few, and equal rows are looked for among the rest only.
+    known = _likely(known.select("doc", "text", *[F.col(f"doc.{c}").alias(c) for c in key]), edits, key)
+    rows = known.join(logs, key).drop(*key).dropDuplicates(["doc"])
     rows = rows.join(trees.dropDuplicates(["doc"]), "doc").select("doc", "text", "leaf_chars", "leaf_tokens", "log")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,3 +173,31 @@ def test_stages_keep_columns(spark, messy, empty):
             assert docs.columns == messy.columns, name
             assert own(docs), name
         assert set(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_texts_without_edits_are_shuffled_once_at_most(spark):
+    """Equal rows are looked for behind the join with the edits only."""
+    from synthspark.llm import token_counts
+
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d e"), (3, None), (None, "x y")], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 0, 0, 1, "zz")], "id long, seq int, start int, length int, replacement string")
+    out = token_counts.apply_edits(docs, token_counts.build_trees(docs), edits)
+    assert [(r["doc"]["id"], r["text"], r["edits"]) for r in out.collect()] == [(1, "zz b c", 1)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    known = next(k for k, line in enumerate(lines) if "LogicalRDD" in line or "LocalRelation" in line)
+    above, at = [], depth(lines[known])
+    for line in reversed(lines[:known]):
+        if depth(line) < at:
+            at = depth(line)
+            above.append(line.lstrip(" :+-").split(" ")[0])
+    assert above.index("Join") < above.index("Aggregate")
+
+
+def test_marks_lose_no_key(spark):
+    from synthspark.llm import token_counts
+
+    rows = spark.range(30_000).selectExpr("id", "hash(id) * 7L as print")
+    wanted = rows.where("id % 50 = 0").withColumn("id", F.col("id").cast("int"))
+    got = {r["id"] for r in token_counts._likely(rows, wanted, ["id", "print"]).collect()}
+    assert set(range(0, 30_000, 50)) <= got and len(got) < 700
