@@ -93,3 +93,18 @@ def test_null_ids_ties_and_clashing_columns(spark):
     kept = near_copies.keep_one(df)
     assert kept.columns == df.columns and kept.count() == 4
     assert near_copies.near_copy_groups(df.limit(0)).count() == 0
+
+
+def test_fingerprints_of_op2_link_first(spark, monkeypatch):
+    """The stage takes the pairs that op2's fingerprints link; the bands alone are not its method."""
+    from synthspark.llm import simhash
+
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct: seen.append({r["bits"] % (1 << 64) for r in distinct.collect()}) or links(distinct))
+    # Case and order of repeats: one set of five-word shingles may come from texts of different fingerprints.
+    docs = [*variants()[:30], (1000, ""), (1001, None), (1002, "One two THREE"), (1003, "one two three")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, frame, SMALL).collect()}
+    assert seen == [{brute.fingerprint(text, 3) for _, text in docs}]
+    roots = plain([(i, t or "") for i, t in docs])
+    assert kept - {1000, 1001} == {i for i in roots if roots[i] == i} - {1000, 1001} and len(kept & {1000, 1001}) == 1
