@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from synthspark.operators import missing as M
+from synthspark.operators import neighbours as N
 from tests.conftest import rows
 
 
@@ -42,6 +43,21 @@ def test_knn_is_exact(spark, complete):
     assert np.mean(np.isclose(got, want)) > 0.99
 
 
+def test_knn_compares_few_pairs_when_the_whole_column_is_coarse(spark, monkeypatch):
+    """The only column without holes has three values, so a grid over it alone compares a third of all pairs."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    x = np.column_stack([rng.integers(0, 9000, n), rng.integers(0, 50_000, n), rng.integers(0, 3, n) * 40]).astype(float)
+    x[::13, 0], x[::7, 1] = np.nan, np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    compared = []
+    top = N._top
+    monkeypatch.setattr(N, "_top", lambda pairs, *rest: compared.append(pairs.count()) or top(pairs, *rest))
+    got = np.array([r[1:] for r in rows(M.impute_knn(df, "id"), "id")], dtype=float)
+    assert np.allclose(got, brute_knn(x))
+    assert sum(compared) < 50 * n
+
+
 def brute_mice(x, rounds):
     """Chained regressions, least missing column first, row by row."""
     gone = np.isnan(x)
