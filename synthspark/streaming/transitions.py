@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,12 +23,18 @@ def _allowed(before: str | None, after: str | None) -> bool:
     return after == "queued" if before is None else after in TRANSITIONS.get(before, [])
 
 
+# Events in one stored piece.
+PIECE = 5_000
+
+
 class Moves(StatefulProcessor):
     """Events of a job wait until the watermark has passed them, then move the job in order of time and id.
 
-    State of a job: its last event, and the waiting events by millisecond, each with a timer. An event that comes again
-    while it waits counts once; one that comes after the watermark has passed its time is left out. With ``idle_ms`` a
-    job without events for that long is forgotten.
+    State of a job: its last event, and the waiting events in pieces: what one batch brought, ordered and cut at ``PIECE``
+    events. One timer stands for the earliest of them, and when it expires, all that the watermark has passed move at once.
+    So calls to the state follow the jobs and pieces of a batch, not its events. An event that comes again while it waits
+    counts once; one that comes after the watermark has passed its time is left out. With ``idle_ms`` a job without events
+    for longer than that is forgotten.
     """
 
     def __init__(self, idle_ms: int | None):
@@ -35,44 +42,111 @@ class Moves(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, at long")
-        self.waiting = handle.getMapState("waiting", "ms long", "events string")
+        # Pieces: number in order of arrival and first millisecond of each. Due: when the timer of the waiting events expires.
+        self.job = handle.getValueState("job", "status string, at long, due long, pieces string")
+        self.waiting = handle.getMapState("waiting", "piece long", "events string")
+
+    def _job(self) -> tuple:
+        kept = self.job.get()
+        return (kept[0], kept[1], kept[2], json.loads(kept[3])) if kept else (None, None, None, [])
+
+    def _store(self, status: str | None, at: int | None, due: int | None, pieces: list) -> None:
+        if at is None and not pieces:
+            self.job.clear()
+            return
+        first = min((ms for _, ms in pieces), default=None)
+        if first is not None and (due is None or first + 1 < due):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            # One more than the event's own time: then no event of that millisecond can follow.
+            due = first + 1
+            self.handle.registerTimer(due)
+        self.job.update((status, at, due, json.dumps(pieces)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         watermark = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[int, dict] = {}
+        fresh: dict[tuple, str] = {}
         for frame in rows:
             for number, status, at in zip(frame["event_id"].tolist(), frame["status"].tolist(), frame["at"].tolist()):
                 if at // 1000 >= watermark:
-                    fresh.setdefault(int(at // 1000), {})[(int(at), number)] = status
-        for ms, events in fresh.items():
-            if self.waiting.containsKey((ms,)):
-                known = {(at, number): status for at, number, status in json.loads(self.waiting.getValue((ms,))[0])}
-                events = events | known
-            else:
-                # One more than the event's own time: then no event of that millisecond can follow.
-                self.handle.registerTimer(ms + 1)
-            self.waiting.updateValue((ms,), (json.dumps([[at, number, status] for (at, number), status in sorted(events.items())]),))
+                    fresh[(int(at), number)] = status
+        if fresh:
+            status, at, due, pieces = self._job()
+            number = max((n for n, _ in pieces), default=-1)
+            events = sorted(fresh)
+            for start in range(0, len(events), PIECE):
+                part = events[start : start + PIECE]
+                number += 1
+                self.waiting.updateValue((number,), (json.dumps([[*e, fresh[e]] for e in part]),))
+                pieces.append([number, part[0][0] // 1000])
+            self._store(status, at, due, pieces)
         yield from ()
 
+    def _passed(self, pieces: list, watermark: int, left: list) -> Iterator[tuple]:
+        """Waiting events before the watermark by time and id, each once; pieces that still wait are added to ``left``.
+
+        A piece is read when the events before it are through. Of an event that came twice the first counts.
+        """
+        heap: list[tuple] = []
+        known = None
+        ordered = sorted(pieces, key=lambda p: p[1])
+        for place, (number, first) in enumerate(ordered):
+            if first >= watermark:
+                left.append([number, first])
+                continue
+            events = json.loads(self.waiting.getValue((number,))[0])
+            later = [e for e in events if e[0] // 1000 >= watermark]
+            if later:
+                self.waiting.updateValue((number,), (json.dumps(later),))
+                left.append([number, later[0][0] // 1000])
+            else:
+                self.waiting.removeKey((number,))
+            for at, event, status in events[: len(events) - len(later)]:
+                heapq.heappush(heap, (at, event, number, status))
+            until = ordered[place + 1][1] if place + 1 < len(ordered) else watermark
+            while heap and heap[0][0] // 1000 < until:
+                at, event, _, status = heapq.heappop(heap)
+                if (at, event) != known:
+                    known = (at, event)
+                    yield at, event, status
+        while heap:
+            at, event, _, status = heapq.heappop(heap)
+            if (at, event) != known:
+                known = (at, event)
+                yield at, event, status
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        last = self.last.get() if self.last.exists() else None
-        before, at = (last[0], last[1]) if last else (None, None)
-        wrong = []
-        if self.waiting.containsKey((ms,)):
-            for at, number, after in json.loads(self.waiting.getValue((ms,))[0]):
-                if not _allowed(before, after):
-                    wrong.append((number, key[0], before, after))
-                before = after
-            self.waiting.removeKey((ms,))
-            self.last.update((before, at))
-            if self.idle_ms is not None:
-                self.handle.registerTimer(ms + 1 + self.idle_ms)
-        elif at is not None and self.idle_ms is not None and at // 1000 + self.idle_ms <= ms:
-            self.last.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        before, last, due, pieces = self._job()
+        found = last
+        wrong: list[tuple] = []
+        left: list = []
+        for at, number, after in self._passed(pieces, watermark, left):
+            if self._idle(last, at // 1000):
+                before = None
+            if not _allowed(before, after):
+                wrong.append((number, key[0], before, after))
+            before, last = after, at
+            if len(wrong) == PIECE:
+                yield _moves(wrong)
+                wrong = []
+        moved = last != found
+        # An event at the watermark itself may still come.
+        if self._idle(last, watermark):
+            before, last = None, None
+        elif moved and self.idle_ms is not None:
+            self.handle.registerTimer(last // 1000 + 1 + self.idle_ms)
+        if moved or last != found or pieces != left:
+            self._store(before, last, due if due is not None and due > watermark else None, left)
         if wrong:
-            yield pd.DataFrame(wrong, columns=["event_id", "job_id", "previous_status", "status"])
+            yield _moves(wrong)
+
+    def _idle(self, last: int | None, ms: int) -> bool:
+        return last is not None and self.idle_ms is not None and last // 1000 + self.idle_ms < ms
+
+
+def _moves(wrong: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(wrong, columns=["event_id", "job_id", "previous_status", "status"])
 
 
 def stream_transitions(stream: DataFrame, root: str, delay: str = "1 hour", idle_ms: int | None = None) -> DataFrame:

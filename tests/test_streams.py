@@ -2,13 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from synthspark.generators.copula import copula_fit
 from synthspark.operators.history import invalid_transitions
 from synthspark.streaming.copula import stream_fit_copula
-from synthspark.streaming.transitions import stream_transitions
+from synthspark.streaming.transitions import Moves, _allowed, stream_transitions
 from tests.conftest import rows
 
 EVENTS = "event_id long, job_id string, status string, ts timestamp"
@@ -39,6 +40,121 @@ def test_transitions_late_and_repeated_across_restarts(spark, tmp_path):
     assert rows(got) == rows(invalid_transitions(whole))
 
 
+class Kept:
+    """State of one job in memory, which counts the calls that it gets."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return Cell(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class Cell:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def _do(self, call, key, *value):
+        self.kept.calls += 1
+        return getattr(self.kept.values, call)((self.name, key), *value)
+
+    def exists(self):
+        return self._do("get", None) is not None
+
+    def get(self):
+        return self._do("get", None)
+
+    def update(self, value):
+        self._do("__setitem__", None, value)
+
+    def clear(self):
+        self._do("pop", None, None)
+
+    def containsKey(self, key):  # noqa: N802
+        return self._do("get", key) is not None
+
+    def getValue(self, key):  # noqa: N802
+        return self._do("get", key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._do("__setitem__", key, value)
+
+    def removeKey(self, key):  # noqa: N802
+        self._do("pop", key, None)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def _played(batches, idle_ms=None):
+    """Moves of one job: ``batches`` are (watermark, events of id, status, microsecond)."""
+    kept, moves, out = Kept(), Moves(idle_ms), []
+    moves.init(kept)
+    for watermark, events in batches:
+        frame = pd.DataFrame(events, columns=["event_id", "status", "at"])
+        for made in moves.handleInputRows(("j",), iter([frame]), At(watermark)):
+            out += made.values.tolist()
+        for ms in sorted(t for t in kept.timers if t <= watermark):
+            for made in moves.handleExpiredTimer(("j",), At(watermark), At(ms)):
+                out += made.values.tolist()
+            kept.timers.discard(ms)
+    return out, kept
+
+
+def _plain(events, idle_ms=None):
+    out, before, last = [], None, None
+    for at, number, after in sorted({(at, number, status) for number, status, at in events}):
+        if idle_ms is not None and last is not None and at // 1000 - last // 1000 > idle_ms:
+            before = None
+        if not _allowed(before, after):
+            out.append([number, "j", before, after])
+        before, last = after, at
+    return out
+
+
+def test_state_is_called_by_batch_and_not_by_event():
+    states = ["queued", "training", "generating", "validating", "complete", "failed"]
+    events = [(i, states[i % 5], (5_000 + i) * 1000) for i in range(3000)]
+    out, kept = _played([(0, events), (2_500, []), (10_000, [])])
+    assert out == _plain(events) and kept.calls < 30
+
+
+@pytest.mark.parametrize("idle_ms", [None, 40])
+def test_waiting_pieces_pass_in_order(monkeypatch, idle_ms):
+    """Late and repeated events in pieces that overlap, with watermarks that cut them anywhere."""
+    monkeypatch.setattr("synthspark.streaming.transitions.PIECE", 7)
+    rng = random.Random(11)
+    states = ["queued", "training", "generating", "validating", "complete", "failed"]
+    events = [(i, rng.choice(states), 1_000_000 + rng.randrange(0, 4_000) * 500) for i in range(300)]
+    by_time = sorted(events, key=lambda e: e[2])
+    batches = []
+    for at in range(0, 300, 20):
+        part = by_time[at : at + 20] + rng.sample(by_time[max(0, at - 8) : at + 20], 6)
+        rng.shuffle(part)
+        batches.append((by_time[max(0, at - 8)][2] // 1000, part))
+    out, kept = _played([*batches, (10**9, [])], idle_ms)
+    assert out == _plain(events, idle_ms)
+    # A job that is forgotten leaves nothing behind.
+    assert not kept.timers or idle_ms and not any(v for v in kept.values.values())
+
+
 def test_copula_of_a_stream_that_drifts(spark, tmp_path):
     """Each file has values of its own range, so no batch knows the whole distribution."""
     df = spark.range(6000).selectExpr(
