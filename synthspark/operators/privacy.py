@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from synthspark.functions import columns as C
 from synthspark.functions.distribution import value_counts
 from synthspark.operators.neighbours import nearest
+from synthspark.session import stored
 from synthspark.spec import FIDELITY_THRESHOLD, PRIVACY_THRESHOLD
 
 
@@ -120,23 +121,25 @@ def singling_out_multivariate(
 
 
 def linkability_links(
-    targets: DataFrame, synthetic: DataFrame, row_id: str, first: list[str], second: list[str], k: int = 1
+    targets: DataFrame, synthetic: DataFrame, row_id: str, first: list[str], second: list[str], k: int = 1, keep: list[str] | None = None
 ) -> DataFrame:
-    """``(query_id, linked)``: whether the k nearest synthetic rows by either column set share a row.
+    """``(query_id, linked)`` and the ``keep`` columns: whether the k nearest synthetic rows by either column set share a row.
 
     Distances are Gower: range-scaled differences of numbers plus mismatches of categories.
     """
-    hits = None
-    for names in (first, second):
-        found = _gower_neighbours(targets, synthetic, row_id, names, k)
-        hits = found if hits is None else hits.join(found, ["query_id", "donor_id"])
-    linked = hits.select(F.col("query_id").alias(row_id)).distinct().withColumn("_hit", F.lit(True))
-    return targets.select(F.col(row_id)).join(linked, row_id, "left").select(
-        F.col(row_id).alias("query_id"), F.coalesce("_hit", F.lit(False)).alias("linked")
-    )
+    out = targets.select(row_id, *[C.quoted(c) for c in dict.fromkeys([*(keep or []), *first, *second])])
+    for i, names in enumerate((first, second)):
+        keyed = _gower_neighbours(targets, synthetic, row_id, names, k).withColumnRenamed("_near", f"_near{i}")
+        same = F.lit(True)
+        for j, c in enumerate(names):
+            same = same & C.quoted(c).eqNullSafe(F.col(f"_k{j}"))
+        out = out.join(keyed, same, "left").drop(*[f"_k{j}" for j in range(len(names))])
+    shared = F.col(row_id).isNotNull() & F.coalesce(F.arrays_overlap("_near0", "_near1"), F.lit(False))
+    return out.select(F.col(row_id).alias("query_id"), *(keep or []), shared.alias("linked"))
 
 
 def _gower_neighbours(targets: DataFrame, synthetic: DataFrame, row_id: str, names: list[str], k: int) -> DataFrame:
+    """``(_k0, _k1, …, _near)``: ids of the k nearest synthetic rows of every different vector of ``names``."""
     numbers = [c for c in names if C.is_numeric(targets.schema[c].dataType)]
     if not numbers:
         raise ValueError("a linkability column set needs at least one number column")
@@ -155,35 +158,34 @@ def _gower_neighbours(targets: DataFrame, synthetic: DataFrame, row_id: str, nam
         return total
 
     whole = [C.quoted(c).isNotNull() for c in numbers]
-    queries, donors = targets.select(row_id, *names), synthetic.select(row_id, *names)
+    queries, donors = targets.select(*[C.quoted(c) for c in names]), synthetic.select(row_id, *[C.quoted(c) for c in names])
     for present in whole:
         queries, donors = queries.filter(present), donors.filter(present)
-    # Equal targets share one search.
-    vectors = queries.groupBy(*names).agg(F.min(row_id).alias(row_id))
+    # Equal targets share one search, under a number of their own.
+    vectors = stored(queries.distinct().withColumn(row_id, F.monotonically_increasing_id()), "vectors")
     pairs = nearest(vectors, donors, row_id, k, complete=numbers, distance=gower, reach=lambda w: w, scales=scale)
-    same = None
-    for c in names:
-        test = queries[c].eqNullSafe(vectors[c])
-        same = test if same is None else same & test
-    members = queries.join(vectors.withColumnRenamed(row_id, "_rep"), same).select(queries[row_id].alias("member"), "_rep")
-    return members.join(pairs, F.col("_rep") == F.col("query_id")).select(F.col("member").alias("query_id"), "donor_id")
+    near = pairs.groupBy(F.col("query_id").alias("_vector")).agg(F.collect_list("donor_id").alias("_near"))
+    keyed = vectors.select(F.col(row_id).alias("_vector"), *[C.quoted(c).alias(f"_k{j}") for j, c in enumerate(names)])
+    return keyed.join(near, "_vector").drop("_vector")
 
 
 def linkability_risk(
     real: DataFrame, synthetic: DataFrame, control: DataFrame, row_id: str, first: list[str], second: list[str], k: int = 1
 ) -> DataFrame:
-    """``(attempts, attack_rate, control_rate, risk)``; every real row is a target."""
-    parts = []
-    for side, df in (("real", real), ("control", control)):
-        links = linkability_links(df, synthetic, row_id, first, second, k)
-        parts.append(links.agg(F.count("*").alias("n"), F.count_if("linked").alias("h")).select(F.lit(side).alias("side"), "n", "h"))
-    both = C.union_all(parts)
+    """``(attempts, attack_rate, control_rate, risk)``; every real row is a target.
+
+    Rows of both tables are searched for together, so the synthetic table is prepared once per column set.
+    """
+    names = list(dict.fromkeys([row_id, *first, *second]))
+    sides = [df.select(*[C.quoted(c) for c in names], F.lit(side).alias("_side")) for side, df in (("real", real), ("control", control))]
+    links = linkability_links(C.union_all(sides), synthetic, row_id, first, second, k, keep=["_side"])
+    both = links.groupBy(F.col("_side").alias("side")).agg(F.count("*").alias("n"), F.count_if("linked").alias("h"))
 
     def value(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name)))
 
     rates = both.agg(
-        value("real", "n").alias("attempts"),
+        F.coalesce(value("real", "n"), F.lit(0)).alias("attempts"),
         _rate(value("real", "h"), value("real", "n")).alias("attack_rate"),
         _rate(value("control", "h"), value("control", "n")).alias("control_rate"),
     )

@@ -105,6 +105,32 @@ def test_links(spark):
     assert out["attack_rate"] == 1.0 and out["control_rate"] < 0.2
 
 
+def test_links_search_both_sides_at_once(spark, monkeypatch):
+    """Real and control rows with the same ids, repeated vectors and empty cells against all pairs; two searches in all."""
+    import random
+
+    rng = random.Random(4)
+    made = lambda step: [(i, rng.randrange(60) + step, rng.choice([None, "a", "b"]), rng.choice([None, *range(40)])) for i in range(150)]
+    tables = [made(0), made(0), made(3)]
+
+    def best(row, c, others):
+        span = max(s[c] for s in tables[1] if s[c] is not None) - min(s[c] for s in tables[1] if s[c] is not None)
+        near = [(round(abs(row[c] - s[c]) / span + sum(row[o] != s[o] for o in others), 9), s[0]) for s in tables[1] if s[c] is not None]
+        return min(near)[1]
+
+    def rate(targets):
+        hits = [r[3] is not None and best(r, 1, [2]) == best(r, 3, []) for r in targets]
+        return round(sum(hits) / len(hits), 4)
+
+    searches = []
+    nearest = V.nearest
+    monkeypatch.setattr(V, "nearest", lambda *a, **o: searches.append(1) or nearest(*a, **o))
+    frames = [spark.createDataFrame(t, "id long, x long, g string, y long") for t in tables]
+    out = V.linkability_risk(*frames, "id", ["x", "g"], ["y"]).first()
+    assert (out["attempts"], out["attack_rate"], out["control_rate"]) == (150, rate(tables[0]), rate(tables[2]))
+    assert len(searches) == 2
+
+
 def test_allocation_rounds_do_not_grow_with_requests(spark, monkeypatch):
     """Large and small requests in turn: the rounds follow the budget's digits, the result plain admission."""
     import random
