@@ -82,7 +82,8 @@ def run_job(real: DataFrame, config: RunConfig, control: DataFrame | None = None
         synthetic = apply_constraints(synthetic, config.constraints, seed=config.seed)
     left = validate(synthetic, config.constraints) if config.constraints else []
     scores = score_tables(real, synthetic, kinds, control)
-    gated = V.quality_gate(scores, config.min_fidelity, config.min_privacy)
+    # Scored once: the row is kept, and the gate and every later reader look at it there.
+    gated = stored(V.quality_gate(scores, config.min_fidelity, config.min_privacy), "scores")
     passed = gated.first()["passed"]
     stages.append("complete" if passed else "failed")
     output = None

@@ -9,6 +9,7 @@ from synthspark.operators import budget as B
 from synthspark.operators import evaluate as E
 from synthspark.operators import history as H
 from synthspark.operators import privacy as V
+from synthspark.plans.generation import RunConfig, run_job
 from tests.conftest import rows
 
 
@@ -107,8 +108,6 @@ def test_links(spark):
 
 def test_links_search_both_sides_at_once(spark, monkeypatch):
     """Real and control rows with the same ids, repeated vectors and empty cells against all pairs; two searches in all."""
-    import random
-
     rng = random.Random(4)
     made = lambda step: [(i, rng.randrange(60) + step, rng.choice([None, "a", "b"]), rng.choice([None, *range(40)])) for i in range(150)]
     tables = [made(0), made(0), made(3)]
@@ -131,6 +130,16 @@ def test_links_search_both_sides_at_once(spark, monkeypatch):
     assert len(searches) == 2
 
 
+def test_job_scores_are_worked_out_once(spark):
+    df = spark.range(400).selectExpr("id % 7 as g", "(hash(id) % 1000) / 10.0D as x")
+    result = run_job(df, RunConfig(num_rows=400, sdtypes={"g": "categorical", "x": "numerical"}))
+    spark.sparkContext.setJobGroup("scores", "")
+    row = result.scores.first()
+    spark.sparkContext.setJobGroup("others", "")
+    assert row["passed"] == (result.status == "complete")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("scores")) <= 1
+
+
 def test_allocation_rounds_do_not_grow_with_requests(spark, monkeypatch):
     """Large and small requests in turn: the rounds follow the budget's digits, the result plain admission."""
     import random
